@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import audio, secret_scan, sharding
+from strata.llm import audio, minhash, mixing, secret_scan, sharding
+from strata.llm.near_dup_sql import near_dup_sql
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +18,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sampled_splitters": lambda s, d: sharding.shard_digest(_docs(s, d)),
         "op2_audio_features": lambda s, d: audio.audio_digest(_docs(s, d)),
+        "op4_minhash_components": lambda s, d: minhash.near_duplicates(_docs(s, d), minhash.MinHashParams(words=3, percent=85)),
         "op5_entropy_secrets": lambda s, d: secret_scan.secret_digest(_docs(s, d)),
+        "op9_weighted_fair_queueing": lambda s, d: mixing.mix_digest(_docs(s, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_minhash_components": near_dup_sql(3, 85), "op9_weighted_fair_queueing": mixing.MIX_SQL}
