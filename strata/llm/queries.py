@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import audio, minhash, mixing, secret_scan, sharding
+from strata.llm import audio, decontam, license_scan, minhash, mixing, secret_scan, sharding
 from strata.llm.near_dup_sql import near_dup_sql
 
 
@@ -20,7 +20,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_audio_features": lambda s, d: audio.audio_digest(_docs(s, d)),
         "op4_minhash_components": lambda s, d: minhash.near_duplicates(_docs(s, d), minhash.MinHashParams(words=3, percent=85)),
         "op5_entropy_secrets": lambda s, d: secret_scan.secret_digest(_docs(s, d)),
+        "op6_license_diagonals": lambda s, d: license_scan.license_digest(_docs(s, d)),
         "op9_weighted_fair_queueing": lambda s, d: mixing.mix_digest(_docs(s, d)),
+        "op10_bm25_block_max": lambda s, d: decontam.benchmark_hits(_docs(s, d), s.read.parquet(f"{d}/benchmark.parquet")),
     }
 
 
