@@ -97,6 +97,14 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     return aimed.join(taken, same, "left").select("doc_id", "source", "size", "source_size", "target", (F.col("size") * got).alias("taken"))
 
 
+def mix_documents(docs: DataFrame, **how) -> DataFrame:
+    """docs, each row as often as the mix takes it; rows that it leaves out are gone, and so are rows without words."""
+    got = mixed(docs, **how).where("taken > 0").select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), (F.col("taken") / F.col("size")).cast("int").alias("_mix_times"))
+    got = got.groupBy("_mix_id", "_mix_source", "_mix_size").agg(F.max("_mix_times").alias("_mix_times"))
+    same = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (word_count(F.col("text")) == F.col("_mix_size"))
+    return docs.join(got, same).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*[docs[f"`{c}`"] for c in docs.columns])
+
+
 def mix_digest(docs: DataFrame) -> DataFrame:
     return mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
 

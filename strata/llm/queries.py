@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import audio, decontam, license_scan, minhash, mixing, secret_scan, sharding
+from strata.llm import audio, decontam, license_scan, minhash, mixing, quality, secret_scan, sharding
 from strata.llm.near_dup_sql import near_dup_sql
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sampled_splitters": lambda s, d: sharding.shard_digest(_docs(s, d)),
         "op2_audio_features": lambda s, d: audio.audio_digest(_docs(s, d)),
+        "op3_hierarchical_bayes": lambda s, d: quality.quality_digest(_docs(s, d), s.read.parquet(f"{d}/labels.parquet")),
         "op4_minhash_components": lambda s, d: minhash.near_duplicates(_docs(s, d), minhash.MinHashParams(words=3, percent=85)),
         "op5_entropy_secrets": lambda s, d: secret_scan.secret_digest(_docs(s, d)),
         "op6_license_diagonals": lambda s, d: license_scan.license_digest(_docs(s, d)),

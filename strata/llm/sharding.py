@@ -20,7 +20,7 @@ import bisect
 import math
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,93 +62,93 @@ def _quantile_splitters(keys: list[tuple[int, int, float]], aim: float) -> list[
     return sorted(set(out))
 
 
-def _ranged(rows: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
-    """rows with `rng`, the number of splitters at or below (h, i)."""
-    hs, ids = [s[0] for s in splitters], [s[1] for s in splitters]
-
-    def run(batches):
-        keys = np.array(hs, np.int64)
-        for batch in batches:
-            h, i = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            lo, hi = np.searchsorted(keys, h, side="left"), np.searchsorted(keys, h, side="right")
-            rng = hi.astype(np.int64)
-            for k in np.flatnonzero(hi > lo):  # only a group that a splitter names
-                rng[k] = bisect.bisect_right(ids, int(i[k]), int(lo[k]), int(hi[k]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rng)], names=[*batch.schema.names, "rng"])
-
-    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", rng long")
-
-
-def shard_records(docs: DataFrame, n_shards: int = 8, group_col: str = "text", ranges_per_shard: int = 64, samples_per_range: int = 32, range_bytes: int = 128 << 20, seed: int = 7) -> DataFrame:
-    """doc_id, size, h, shard, slot and rng for each row of docs. Ranges number n_shards * ranges_per_shard, more if a range would pass range_bytes."""
-    spark = docs.sparkSession
-    ship(spark)
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    rows = docs.select(
-        F.xxhash64(F.col(group_col)).alias("h"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("i"),
-        size.alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
-        F.col("doc_id").isNull().alias("no_id"),
-    )
+def _range_of(splitters: list[tuple[int, int]]):
+    """A function of (h, i): the number of splitters at or below it."""
+    hs, ids = np.array([s[0] for s in splitters], np.int64), [s[1] for s in splitters]
+
+    @F.pandas_udf("long")
+    def rng(h: pd.Series, i: pd.Series) -> pd.Series:
+        h, i = h.to_numpy(), i.to_numpy()
+        lo, hi = np.searchsorted(hs, h, side="left"), np.searchsorted(hs, h, side="right")
+        out = hi.astype(np.int64)
+        for k in np.flatnonzero(hi > lo):  # only a group that a splitter names
+            out[k] = bisect.bisect_right(ids, int(i[k]), int(lo[k]), int(hi[k]))
+        return pd.Series(out)
+
+    return rng
+
+
+def _keyed(docs: DataFrame, group_col: str) -> list[Column]:
+    return [
+        F.xxhash64(F.col(group_col)).alias(f"{_PREFIX}h"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias(f"{_PREFIX}i"),
+        (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias(f"{_PREFIX}size"),
+    ]
+
+
+class Plan:
+    """Splitters, and for each range its shard and the number of records of that shard before it."""
+
+    def __init__(self, splitters: list[tuple[int, int]], places: list[tuple[int, int, int]], group_col: str):
+        self.splitters, self.places, self.group_col = splitters, places, group_col
+
+    def place(self, docs: DataFrame) -> DataFrame:
+        """docs with `shard` and `slot`, columns of that name replaced. Rows move once, to a task per range."""
+        h, i, size, r = (F.col(f"{_PREFIX}{c}") for c in ("h", "i", "size", "r"))
+        kept = [c for c in docs.columns if c not in ("shard", "slot")]
+        keyed = docs if f"{_PREFIX}h" in docs.columns else docs.select(*[F.col(f"`{c}`") for c in kept], *_keyed(docs, self.group_col))
+        rows = keyed.withColumn(f"{_PREFIX}r", _range_of(self.splitters)(h, i))
+        within = F.row_number().over(Window.partitionBy(r).orderBy(h, i, size)) - 1
+        places = docs.sparkSession.createDataFrame(self.places, f"{_PREFIX}r long, shard int, {_PREFIX}first long")
+        return rows.withColumn(f"{_PREFIX}n", within).join(places, f"{_PREFIX}r").select(*[F.col(f"`{c}`") for c in kept], "shard", (F.col(f"{_PREFIX}first") + F.col(f"{_PREFIX}n")).alias("slot"))
+
+
+def shard_plan(docs: DataFrame, n_shards: int = 8, group_col: str = "text", ranges_per_shard: int = 64, samples_per_range: int = 32, range_bytes: int = 128 << 20, seed: int = 7) -> Plan:
+    """Ranges number n_shards * ranges_per_shard, more if a range would pass range_bytes."""
+    ship(docs.sparkSession)
+    rows = docs.select(*[c.alias(n) for c, n in zip(_keyed(docs, group_col), ("h", "i", "size"), strict=True)])
     rows = written(rows, "shard-keys")
-    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    if not total:
+        return Plan([], [(0, 0, 0)], group_col)
     n_ranges = max(n_shards * ranges_per_shard, math.ceil(total / range_bytes))
     aim = max(1.0, total / n_ranges)
-    if n == 0:
-        return rows.select("i", "no_id", "size", "h", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("rng"))
     rate = n_ranges * samples_per_range / total
-    weight = F.greatest(F.col("size").cast("double"), F.lit(1 / rate))
-    keys = [tuple(r) for r in rows.where(_unit("h", "i", seed=seed) < F.col("size") * F.lit(rate)).select("h", "i", weight).collect()]
-    splitters = _quantile_splitters(sorted(keys), aim)
+
+    def sample(frame: DataFrame, rate: float, seed: int) -> list[tuple[int, int, float]]:
+        weight = F.greatest(F.col("size").cast("double"), F.lit(1 / rate))
+        drawn = frame.where(_unit("h", "i", seed=seed) < F.col("size") * F.lit(rate)).select("h", "i", weight.alias("w"))
+        return sorted((r[0], r[1], r[2]) for r in drawn.collect())
+
+    splitters = _quantile_splitters(sample(rows, rate, seed), aim)
     for again in range(8):
-        ranged = _ranged(rows, splitters)
-        per = ranged.groupBy("rng").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min("h") != F.max("h"), F.min("i") != F.max("i"), F.max("size")).collect()
-        over = {r[0]: r for r in per if r[1] > 2 * aim and (r[3] or r[4]) and r[1] > 1.5 * r[5]}
+        ranged = rows.withColumn("r", _range_of(splitters)("h", "i"))
+        per = ranged.groupBy("r").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), (F.min("h") != F.max("h")) | (F.min("i") != F.max("i")), F.max("size")).collect()
+        over = [r[0] for r in per if r[3] and r[1] > 2 * aim and r[1] > 1.5 * r[4]]
         if not over:
             break
-        # a third of the aim per draw: each overfull range gets splitters of its own
-        near = F.col("rng").isin(list(over)) if len(over) < 1000 else F.lit(True)
-        more = ranged.where(near & (_unit("h", "i", seed=seed + 1 + again) < F.col("size") * F.lit(4 * rate))).select("rng", "h", "i", F.greatest(F.col("size").cast("double"), F.lit(0.25 / rate))).collect()
-        own: dict[int, list] = {}
-        for g, h, i, w in more:
-            own.setdefault(g, []).append((h, i, w))
-        added = {s for g in over for s in _quantile_splitters(sorted(own.get(g, [])), aim)}
-        if added <= set(splitters):
+        wanted = docs.sparkSession.createDataFrame([(g,) for g in over], "r long")
+        more = _quantile_splitters(sample(ranged.join(wanted, "r", "left_semi"), 4 * rate, seed + 1 + again), aim)
+        if set(more) <= set(splitters):
             break
-        splitters = sorted(added | set(splitters))
-    # one row per range: its shard and how many records of that shard lie before it
-    offsets, before, taken = [], 0, [0] * n_shards
-    for g, bytes_, count, *_ in sorted(per, key=lambda r: r[0]):
-        shard = min(n_shards - 1, int((before + bytes_ / 2) * n_shards / total))
-        offsets.append((g, shard, taken[shard]))
+        splitters = sorted(set(more) | set(splitters))
+    places, before, taken = [], 0, [0] * n_shards
+    for g, size, count, *_ in sorted(per, key=lambda r: r[0]):
+        shard = min(n_shards - 1, int((before + size / 2) * n_shards / total))
+        places.append((g, shard, taken[shard]))
         taken[shard] += count
-        before += bytes_
-    places = spark.createDataFrame(offsets, "rng long, shard int, first long")
-    within = F.row_number().over(Window.partitionBy("rng").orderBy("h", "i", "size")) - 1
-    placed = _ranged(rows, splitters).withColumn("within", within).join(places, "rng")
-    return placed.select("i", "no_id", "size", "h", "text_crc32", "shard", (F.col("first") + F.col("within")).alias("slot"), "rng")
+        before += size
+    return Plan(splitters, places, group_col)
 
 
-def shard_digest(docs: DataFrame, n_shards: int = 8) -> DataFrame:
-    """The shard of every document under the law `bytes`."""
-    return shard_records(docs, n_shards).select(
-        F.when(~F.col("no_id"), F.col("i")).alias("doc_id"),
-        "size",
-        "text_crc32",
-        F.lit("bytes").alias("law"),
-        "shard",
-        "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
+    """docs with `shard` and `slot`, for writing with partitionBy("shard")."""
+    return shard_plan(docs, n_shards).place(docs)
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
-    """docs with `shard` and `slot`, for writing with partitionBy("shard"). A column of that name is replaced.
-
-    Rows that repeat both doc_id and text get the first of their places.
-    """
-    key = [F.xxhash64(F.col("text")).alias(f"{_PREFIX}h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias(f"{_PREFIX}i")]
-    placed = shard_records(docs, n_shards).groupBy(F.col("h").alias(f"{_PREFIX}h"), F.col("i").alias(f"{_PREFIX}i")).agg(F.min(F.struct("shard", "slot")).alias(f"{_PREFIX}p"))
-    kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    return docs.select(*kept, *key).join(placed, [f"{_PREFIX}h", f"{_PREFIX}i"]).select(*kept, F.col(f"{_PREFIX}p.shard").alias("shard"), F.col(f"{_PREFIX}p.slot").alias("slot"))
+def shard_digest(docs: DataFrame, n_shards: int = 8) -> DataFrame:
+    """The shard of every document under the law `bytes`."""
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text).cast("long").alias("text_crc32"), *_keyed(docs, "text"))
+    placed = shard_plan(docs, n_shards).place(slim).withColumnRenamed(f"{_PREFIX}size", "size")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
