@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import audio, decontam, license_scan, minhash, mixing, quality, records, secret_scan, sharding
+from strata.llm import audio, decontam, license_scan, minhash, mixing, quality, records, secret_scan, sharding, suffix_dedup
 from strata.llm.near_dup_sql import near_dup_sql
 
 
@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_entropy_secrets": lambda s, d: secret_scan.secret_digest(_docs(s, d)),
         "op6_license_diagonals": lambda s, d: license_scan.license_digest(_docs(s, d)),
         "op7_framed_records": lambda s, d: records.records_digest(_docs(s, d), tokenizer_file("byte_bpe_50k.json")),
+        "op8_difference_cover": lambda s, d: suffix_dedup.repeats_digest(_docs(s, d)),
         "op9_weighted_fair_queueing": lambda s, d: mixing.mix_digest(_docs(s, d)),
         "op10_bm25_block_max": lambda s, d: decontam.benchmark_hits(_docs(s, d), s.read.parquet(f"{d}/benchmark.parquet")),
     }
