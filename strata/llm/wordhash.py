@@ -43,8 +43,9 @@ class Words:
 class WordHasher:
     def __init__(self, separators: bytes):
         self.sep = separators[:1] if b" " not in separators else b" "
-        self.is_word = np.ones(256, bool)
-        self.is_word[list(separators)] = False
+        word = np.ones(256, bool)
+        word[list(separators)] = False
+        self.is_word = word[list(LOWER)]  # upper-case letters part words only if their lower-case forms do
         table = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
         self.value = table[list(LOWER)]
         self._pow = self._inv = np.empty(0, np.uint64)
