@@ -6,8 +6,6 @@ to runs of neighbouring base keys, and runs of both sides that overlap without b
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,11 +65,3 @@ def region_conflicts(base: DataFrame, a: DataFrame, b: DataFrame, key: str, valu
         F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.max(F.col("c1").cast("int")).alias("x"), F.max(F.col("c2").cast("int")).alias("y"), F.min((F.col("c1") & F.col("c2") & F.col("same")).cast("int")).alias("same")
     )
     return runs.where("x = 1 AND y = 1 AND same = 0").select(*group, "first_key", "last_key")
-
-
-def all_columns(df: DataFrame, keys: list[str]) -> list[str]:
-    return [c for c in df.columns if c not in keys]
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda x, y: x | y, conditions, F.lit(False))

@@ -131,7 +131,7 @@ class Repository:
     # --- values ----------------------------------------------------------------------------------------------------
 
     def put_unkeyed(self, df: DataFrame) -> str:
-        """Contents without a commit; their id. Equal contents in the same row order of partitions are not written twice by put()."""
+        """Contents without a commit; the id to get them by."""
         name = uuid.uuid4().hex
         df.write.parquet(f"{self.root}/objects/{name}")
         return name
