@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.wordhash import ALNUM, WordHasher, grams, runs
+from strata.llm.wordhash import ALNUM, WordHasher, Words, grams, runs
 from strata.runtime import ship
 
 
@@ -92,8 +92,8 @@ class Index:
             self.sides.append((q if len(q) else whole, a if len(a) else whole))
 
     @staticmethod
-    def _grams(hasher: WordHasher, text: str, n: int) -> tuple[int, np.ndarray]:
-        """Runs of n words, or all words as one run; the run's length leads."""
+    def _grams(hasher: WordHasher, text: str, n: int) -> _Side:
+        """Runs of n words, or all words as one run."""
         w = hasher.batch([text.encode()])
         k = min(n, len(w.hash))
         return _Side(k, np.unique(grams(w, k)[1]) if k else np.empty(0, np.uint64))
@@ -174,8 +174,6 @@ def scan(texts: list[bytes], hasher: WordHasher, ix: Index, p: DecontamParams):
 
 
 def _runs_of(h: np.ndarray, k: int) -> np.ndarray:
-    from strata.llm.wordhash import Words
-
     n = len(h)
     return grams(Words(np.zeros(n, np.int64), h, np.array([n]), h, h, b""), k)[1] if n >= k else np.empty(0, np.uint64)
 
