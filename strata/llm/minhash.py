@@ -4,12 +4,14 @@
    random linear hash functions. Documents with equal sets form a class, represented by its least doc_id; all later steps
    work on representatives, so a group of copies costs one row however large it is.
 2. A band is `rows` consecutive minima; representatives that agree on a band share its bucket. In each bucket every
-   member is paired with the least one: as many pairs as members. Pairs whose signatures agree too rarely are dropped (the
-   bound lies over six standard deviations below the limit), the rest are confirmed on whole shingle sets.
-3. Members of a bucket that the confirmed links leave in different components are compared with each other as well, in
-   blocks of signatures, so that a link between two documents neither of which is linked with the least one isn't lost.
-   Only pairs of different components are compared, and blocks are dealt over tasks one pair of blocks at a time.
-4. Components by large-star and small-star; each document gets its class's.
+   member is paired with its hub, the member that meets most others over all its bands: as many pairs as members. Members
+   whose signature is fairly like the hub's are joined to the hub's group; groups are connected components of these pairs.
+3. Within a group members are compared in blocks, one pair of blocks a task: by set size, by signature (the bound lies five
+   standard deviations below the limit), then exactly on whole shingle sets. Pairs that links found in the task already join
+   are skipped. Only links leave the task, so a group of many texts that are nearly, but not quite, alike makes no rows.
+4. Members unlike their bucket's hub are compared with all of that bucket by signature, again in blocks, and what passes is
+   confirmed on whole sets. Two members of a bucket are either both in the hub's group or met here: no link is lost.
+5. Components by large-star and small-star; each document gets its class's.
 
 Banding is the only step that may miss a link: with 30 bands of 5 rows, one of similarity 0.85 with probability 2e-8, one
 of 0.8 with 7e-6.
@@ -50,7 +52,12 @@ class MinHashParams:
     def agree(self) -> int:
         """The least number of equal minima that a candidate needs."""
         s = self.percent / 100
-        return int(max(0, self.hashes * s - 6.5 * (self.hashes * s * (1 - s)) ** 0.5))
+        return int(max(0, self.hashes * s - 5 * (self.hashes * s * (1 - s)) ** 0.5))
+
+    @property
+    def fair(self) -> int:
+        """The number of equal minima of members that go into one group: it decides where they are compared, not whether."""
+        return self.hashes // 2
 
     def functions(self) -> tuple[np.ndarray, np.ndarray]:
         g = np.random.default_rng(self.seed)
@@ -100,35 +107,47 @@ def sketches(docs: DataFrame, p: MinHashParams) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(run, SKETCH)
 
 
+def _band_keys(sig: np.ndarray, p: MinHashParams) -> np.ndarray:
+    """(signatures, bands): a key of each band."""
+    w = np.random.default_rng(p.seed + 1).integers(1, 2**63, (p.bands, p.rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return mix((sig.reshape(-1, p.bands, p.rows).astype(np.uint64) * w).sum(axis=2, dtype=np.uint64) + np.arange(p.bands, dtype=np.uint64)).view(np.int64)
+
+
 def _banded(nodes: DataFrame, p: MinHashParams) -> DataFrame:
     """(band, node): one row for each band of each signature."""
 
     def run(batches):
-        w = np.random.default_rng(p.seed + 1).integers(1, 2**63, (p.bands, p.rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, p.bands, p.rows).astype(np.uint64)
-            key = mix((sig * w).sum(axis=2, dtype=np.uint64) + np.arange(p.bands, dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), p.bands))], names=["band", "node"])
+            keys = _band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32), p)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(batch.column(0).to_numpy(), p.bands))], names=["band", "node"])
 
     return nodes.select("node", "sig").mapInArrow(run, "band long, node long")
 
 
-def _signed(pairs: DataFrame, nodes: DataFrame, p: MinHashParams) -> DataFrame:
-    """The pairs (u, v) whose signatures agree often enough."""
+def _like(pairs: DataFrame, nodes: DataFrame, p: MinHashParams) -> DataFrame:
+    """The pairs (u, v) whose signatures are fairly alike."""
 
     def run(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, p.hashes) for c in (2, 3))
-            ok = pa.array((x == y).sum(axis=1) >= p.agree)
-            yield batch.select([0, 1]).filter(ok)
+            yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= p.fair))
 
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
     return pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u long, v long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, p: MinHashParams) -> DataFrame:
-    """The pairs (u, v) that are links by their whole shingle sets. reps: (doc_id, n, f1, f2) of a class's representative."""
-    need = pairs.select("u").union(pairs.select("v")).distinct()
+def _linked(x: np.ndarray, y: np.ndarray, p: MinHashParams) -> bool:
+    """Whether two sorted sets are a link."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if not len(small) or 100 * len(small) < p.percent * len(large):
+        return False
+    i = np.searchsorted(large, small)
+    both = int((large[np.minimum(i, len(large) - 1)] == small).sum())
+    return 100 * both >= p.percent * (len(x) + len(y) - both)
+
+
+def _shingles(docs: DataFrame, need: DataFrame, p: MinHashParams) -> DataFrame:
+    """(u, s): the sorted shingle set of each document named in need (u)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("u"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).join(need, "u", "left_semi")
 
     def make(batches):
@@ -143,50 +162,78 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, p: MinHashPar
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), pa.array(held, pa.binary())], names=["u", "s"])
                     held, at, size = [], i + 1, 0
 
-    sets = written(texts.mapInArrow(make, "u long, s binary"), "shingles")
+    return written(texts.mapInArrow(make, "u long, s binary").dropDuplicates(["u"]), "shingles")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, p: MinHashParams) -> DataFrame:
+    """The pairs (u, v) that are links by their whole shingle sets."""
+    sets = _shingles(docs, pairs.select("u").union(pairs.select("v")).distinct(), p)
 
     def run(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                i = np.searchsorted(large, small)
-                both = int((large[np.minimum(i, len(large) - 1)] == small).sum()) if len(large) else 0
-                ok.append(both > 0 and 100 * both >= p.percent * (len(x) + len(y) - both))
+            ok = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), p) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("u").alias("v"), F.col("s").alias("y")), "v").join(sets.withColumnRenamed("s", "x"), "u")
     return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def _rest(banded: DataFrame, nodes: DataFrame, comps: DataFrame, p: MinHashParams) -> DataFrame:
-    """Candidate pairs of one bucket but of different components, by signature, each from the first band it shares."""
-    joined = banded.join(comps, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = joined.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    members = joined.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / p.block)).cast("int"))
-    members = written(members.select("band", "node", "component", "lo", "n", "block"), "mixed")
-    # a pair of blocks is worth a look if its members are of different components; blocks of the least component alone meet no other such
-    blocks = members.groupBy("band", "block").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
-    left, right = (blocks.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "c0", "c1"))) for s in ("l", "r"))
-    work = left.join(right, "band").where("block_l <= block_r AND NOT (c0_l = c1_l AND c0_r = c1_r AND c0_l = c0_r)").select("band", "block_l", "block_r")
-    sides = work.withColumn("block", F.explode(F.array_distinct(F.array("block_l", "block_r")))).join(members.select("band", "block", "node", "component"), ["band", "block"])
-    rows = sides.join(nodes.select("node", "sig"), "node")
+def _in_blocks(members: DataFrame, key: str, p: MinHashParams, wanted: str = "true") -> DataFrame:
+    """key, block_l, block_r and the members of both blocks, for every pair of blocks of a key's members that meets `wanted`.
+
+    Members are dealt to blocks of about p.block; wanted may test x_l and x_r, the greatest x of either block.
+    """
+    sized = members.join(members.groupBy(key).agg(F.count("*").alias("_k")), key).withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("_k") / p.block)).cast("int")).drop("_k")
+    blocks = sized.groupBy(key, "block").agg(F.max("x").alias("x"))
+    left, right = (blocks.select(key, F.col("block").alias(f"block_{s}"), F.col("x").alias(f"x_{s}")) for s in ("l", "r"))
+    work = left.join(right, key).where(f"block_l <= block_r AND ({wanted})").select(key, "block_l", "block_r")
+    return work.withColumn("block", F.explode(F.array_distinct(F.array("block_l", "block_r")))).join(sized, [key, "block"]).drop("x")
+
+
+def _group_links(groups: DataFrame, nodes: DataFrame, docs: DataFrame, p: MinHashParams) -> DataFrame:
+    """Links within groups (node, component), exact."""
+    sets = _shingles(docs, groups.select(F.col("node").alias("u")), p).select(F.col("u").alias("node"), "s")
+    rows = _in_blocks(groups.withColumn("x", F.lit(0)), "component", p).join(nodes.select("node", "sig"), "node").join(sets, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, block = table["node"].to_numpy(), table["block"].to_numpy()
+        left, right = table["block_l"][0].as_py(), table["block_r"][0].as_py()
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, p.hashes)
+        sets = [np.frombuffer(x, np.uint64) for x in table["s"].to_pylist()]
+        n = np.array([len(x) for x in sets])
+        root = np.arange(len(node))
+        u, v = [], []
+        for i in np.argsort(node):
+            if block[i] != left:
+                continue
+            js = np.flatnonzero((block == right) & (root != root[i]) & ((node > node[i]) | (left != right)) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * p.percent))
+            for j in js[(sig[js] == sig[i]).sum(axis=1) >= p.agree]:
+                if root[j] != root[i] and _linked(sets[i], sets[j], p):
+                    root[root == root[j]] = root[i]
+                    u.append(node[i])
+                    v.append(node[j])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return rows.groupBy("component", "block_l", "block_r").applyInArrow(compare, "u long, v long")
+
+
+def _apart(members: DataFrame, nodes: DataFrame, p: MinHashParams) -> DataFrame:
+    """Candidate pairs by signature of members (band, node, x) of which one is unlike the hub (x = 1), from the first band they share."""
+    rows = _in_blocks(members, "band", p, "x_l = 1 OR x_r = 1").join(members.where("x = 1").select("band", "node", F.lit(True).alias("unlike")), ["band", "node"], "left").join(nodes.select("node", "n", "sig"), "node")
 
     def compare(table: pa.Table) -> pa.Table:
         out_u, out_v = [], []
         band = table["band"][0].as_py()
-        node, comp = table["node"].to_numpy(), table["component"].to_numpy()
+        node, n = table["node"].to_numpy(), table["n"].to_numpy()
+        unlike = np.array([x is True for x in table["unlike"].to_pylist()])
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, p.hashes)
-        w = np.random.default_rng(p.seed + 1).integers(1, 2**63, (p.bands, p.rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        keys = mix((sig.reshape(-1, p.bands, p.rows).astype(np.uint64) * w).sum(axis=2, dtype=np.uint64) + np.arange(p.bands, dtype=np.uint64)).view(np.int64)
+        keys = _band_keys(sig, p)
         for i in range(len(node)):
-            js = np.flatnonzero((comp != comp[i]) & (node > node[i]))
+            js = np.flatnonzero((node > node[i]) & (unlike | unlike[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * p.percent))
             js = js[(sig[js] == sig[i]).sum(axis=1) >= p.agree] if len(js) else js
             if len(js):
                 shared = keys[js] == keys[i]
-                first = keys[i][shared.argmax(axis=1)]
-                js = js[shared.any(axis=1) & (first == band)]
+                js = js[shared.any(axis=1) & (keys[i][shared.argmax(axis=1)] == band)]
             out_u += [node[i]] * len(js)
             out_v += node[js].tolist()
         return pa.table({"u": pa.array(out_u, pa.int64()), "v": pa.array(out_v, pa.int64())})
@@ -201,17 +248,23 @@ def near_duplicates(docs: DataFrame, params: MinHashParams | None = None) -> Dat
     # classes of equal sets; `f` names a class, its least doc_id is the node
     classes = sk.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node"))
     classes = written(classes, "classes")
-    nodes = written(sk.join(classes, ["n", "f1", "f2"]).where("doc_id = node").select("node", "sig").dropDuplicates(["node"]), "nodes")
+    nodes = written(sk.join(classes, ["n", "f1", "f2"]).where("doc_id = node").select("node", "n", "sig").dropDuplicates(["node"]), "nodes")
     banded = _banded(nodes, p)
-    hubs = banded.groupBy("band").agg(F.min("node").alias("u"), F.count("*").alias("k")).where("k > 1").select("band", "u")
-    shared = written(banded.join(hubs, "band").select("band", "node", "u"), "buckets")
-    pairs = shared.where("node <> u").select("u", F.col("node").alias("v")).distinct()
-    links = written(_confirmed(written(_signed(pairs, nodes, p), "pairs"), docs, classes, p), "links")
-    comps = connected_components(links)
-    more = written(_rest(shared.select("band", "node"), nodes, comps, p), "pairs")
+    sizes = banded.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
+    shared = written(banded.join(sizes, "band").select("band", "node", "k"), "buckets")
+    met = shared.groupBy("node").agg(F.sum("k").alias("met"))
+    hubs = shared.join(met, "node").groupBy("band").agg(F.max(F.struct("met", (-F.col("node")).alias("least"))).alias("hub"))
+    to_hub = written(shared.join(hubs, "band").select("band", "node", (-F.col("hub.least")).alias("hub")), "hubs")
+    pairs = to_hub.where("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+    like = written(_like(pairs, nodes, p), "pairs")
+    links = written(_group_links(connected_components(like), nodes, docs, p), "links")
+    marked = to_hub.join(like.select(F.col("u").alias("hub"), F.col("v").alias("node"), F.lit(1).alias("_like")), ["hub", "node"], "left")
+    marked = marked.select("band", "node", F.when((F.col("hub") == F.col("node")) | F.col("_like").isNotNull(), 0).otherwise(1).alias("x"))
+    torn = marked.groupBy("band").agg(F.max("x").alias("t")).where("t = 1").select("band")
+    more = written(_apart(written(marked.join(torn, "band", "left_semi"), "apart"), nodes, p), "pairs")
     if not more.isEmpty():
-        extra = _confirmed(more, docs, classes, p)
-        comps = connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(extra))
+        links = links.union(_confirmed(more, docs, p))
+    comps = connected_components(links)
     named = classes.join(comps, "node", "left").select("n", "f1", "f2", F.coalesce("component", "node").alias("component"))
     # a group of copies is one class: without salt its rows would meet in one task
     out = sk.select("doc_id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left")
