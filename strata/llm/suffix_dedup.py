@@ -274,7 +274,7 @@ def repeated_spans(docs: DataFrame, params: RepeatParams | None = None) -> DataF
     each = met.select("sid", F.explode(F.arrays_zip("pos", "h", "ask")).alias("x")).select("sid", "x.pos", "x.h", "x.ask")
     twice = each.groupBy("h").agg(F.count("*").alias("times"), F.max("ask").alias("asked")).where("times > 1 AND asked").select("h")
     found = each.where("ask").join(twice, "h").groupBy("sid").agg(F.array_sort(F.collect_list("pos")).alias("starts"))
-    out = _tidy(met.select("sid", "sure").join(found, "sid", "left"))
+    out = _tidy(met.select("sid", "sure").dropDuplicates(["sid"]).join(found, "sid", "left"))
 
     def join_runs(batches):
         for batch in batches:
