@@ -2,8 +2,9 @@
 
 A record is framed as length (u64), masked checksum of the length (u32), payload, masked checksum of the payload (u32), all
 little-endian. The checksum is CRC-32, rotated right by 15 bits plus a constant, so that a checksum of bytes that hold
-checksums isn't degenerate. The payload is a flag and the doc_id (i8, i64), then the ids (u32). The index holds a pair of u64
-per record: its offset, and the number of ids before it in its file; its last 24 bytes are the totals, a checksum and a magic number.
+checksums isn't degenerate. The payload is a byte (0: ids of 2 bytes, 2: of 4 bytes; plus 1 if there is a doc_id), the
+doc_id (i64), then the ids. The index holds a pair of u64 per record: its offset, and the number of ids before it in its
+file; its last 24 bytes are the totals, a checksum and a magic number.
 
 Files hold documents in ascending doc_id order, file after file: texts are range-partitioned and sorted, each task
 encodes its part and writes one file under a name of its own, then renames it; a task that runs again writes the same bytes.
@@ -38,7 +39,7 @@ from strata.runtime import new_path, ship, written
 #: The mask of TFRecord checksums, and how a record and an index end.
 MASK = 0xA282EAD8
 MAGIC = 0x5354524349445831
-HEAD, DOC = struct.Struct("<QI"), struct.Struct("<bq")
+HEAD, DOC = struct.Struct("<QI"), struct.Struct("<Bq")
 END_ID = 2
 #: The pre-tokenizer's pattern, and characters whose classes are the same in every Unicode version.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -70,7 +71,7 @@ def unframe(buffer, at: int) -> tuple[bytes, int]:
 class Encoder:
     """Ids of texts by the tokenizers library, piece by piece where that is exact."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
@@ -170,7 +171,9 @@ def write_file(uri: str, records: Iterable[tuple[int | None, bytes]]) -> tuple[i
     offsets, starts, at, ids = [], [], 0, 0
     with fs.open_output_stream(f"{own}.rec") as out:
         for doc_id, tokens in records:
-            data = frame(DOC.pack(doc_id is not None, doc_id or 0) + tokens)
+            wide = np.frombuffer(tokens, "<u4")
+            narrow = not len(wide) or wide.max() < 1 << 16
+            data = frame(DOC.pack((0 if narrow else 2) + (doc_id is not None), doc_id or 0) + (wide.astype("<u2").tobytes() if narrow else tokens))
             out.write(data)
             offsets.append(at)
             starts.append(ids)
@@ -210,8 +213,8 @@ class RecordFile:
                 end = int(self.index[k + 1, 0]) if k + 1 < len(self) else size
                 f.seek(at)
                 payload, _ = unframe(f.read(end - at), 0)
-                has, doc_id = DOC.unpack_from(payload)
-                yield int(self.index[k, 1]), doc_id if has else None, np.frombuffer(payload, "<u4", offset=DOC.size)
+                kind, doc_id = DOC.unpack_from(payload)
+                yield int(self.index[k, 1]), doc_id if kind & 1 else None, np.frombuffer(payload, "<u4" if kind & 2 else "<u2", offset=DOC.size).astype("<u4")
 
 
 PARTS = "part int, path string, n_records long, n_ids long"
