@@ -1,10 +1,12 @@
 """Secret scan: fixed credential patterns, and sliding-window Shannon entropy per character class.
 
-A candidate string is a maximal run of token characters; its class is the narrowest that holds all of it (hex, upper
-case and digits, or the base64 alphabet). A window moves over it; the counts of its characters change by one going out
-and one coming in, and with them the sum of c*log2(c), so each step costs the same whatever the window's length. Windows
-whose entropy reaches the threshold of their class are joined to spans. A span is suppressed if it is on the allow-list
-(well-known identifiers and sample values), holds no digit, or lies within a base match.
+A candidate string is a maximal run of token characters. It is cut into the maximal runs of each class (hex, upper case
+and digits, the base64 alphabet), so a key behind `id=` or in a path is judged by its own class; a run that a narrower
+class holds whole belongs to that class alone. A window of the class moves over each of its runs; the counts of its
+characters change by one going out and one coming in, and with them the sum of c*log2(c), so each step costs the same
+whatever the window's length. Windows whose entropy reaches the threshold of their class are joined to spans; spans of
+different classes may overlap. A run shorter than its class's window has no window. A span is suppressed if it is on the
+allow-list (well-known identifiers and sample values), holds no digit, or lies within a base match.
 
 Defined results: a null text is an empty text and has no spans. Repeated rows give repeated result rows. Offsets are
 code points, ends exclusive. Extra columns of the input, whatever their names, are ignored.
@@ -100,12 +102,12 @@ class SecretScan:
             if not r["digit"].search(s):
                 continue
             blocked = [(a.start(), a.end()) for a in r["allowed"].finditer(s)] if r["allowed"] else []
-            c = class_of(s, r["classes"])
-            for x, y in entropy_spans(s, 0, len(s), c.window, c.bits) if c else ():
-                if any(p <= x and y <= q for p, q in blocked) or not r["digit"].search(s, x, y):
-                    continue
-                if not any(p <= lo + x and lo + y <= q for p, q, _ in base):
-                    out.append((lo + x, lo + y, c.name))
+            for c, a, b in class_runs(s, r["classes"]):
+                for x, y in entropy_spans(s, a, b, c.window, c.bits):
+                    if any(p <= x and y <= q for p, q in blocked) or not r["digit"].search(s, x, y):
+                        continue
+                    if not any(p <= lo + x and lo + y <= q for p, q, _ in base):
+                        out.append((lo + x, lo + y, c.name))
         return ordered(out)
 
 
@@ -113,12 +115,12 @@ def ordered(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def class_of(s: str, classes) -> EntropyClass | None:
-    """The narrowest class that holds all of s, if s fills its window."""
-    for c, pattern in classes:
-        if pattern.fullmatch(s):
-            return c if len(s) >= c.window else None
-    return None
+def class_runs(s: str, classes):
+    """(class, start, end) of the maximal runs of each class in s that fill its window, each under the narrowest class that holds it."""
+    for k, (c, pattern) in enumerate(classes):
+        for m in pattern.finditer(s):
+            if m.end() - m.start() >= c.window and not any(narrow.fullmatch(s, m.start(), m.end()) for _, narrow in classes[:k]):
+                yield c, m.start(), m.end()
 
 
 def entropy_spans(s: str, lo: int, hi: int, window: int, bits: float) -> list[tuple[int, int]]:

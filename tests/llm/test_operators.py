@@ -225,6 +225,21 @@ def test_secrets(spark, odd):
     assert secret_scan.secret_digest(odd).count() == len(fixture_rows()) + 1 and secret_scan.secret_digest(docs(spark, [])).count() == 0
 
 
+def test_secrets_behind_other_characters(spark):
+    """A key is judged by its own class, whatever token characters touch it."""
+    import random
+
+    r = random.Random(5)
+    keys = [("entropy_hex", "".join(r.sample("0123456789ABCDEF", 16))), ("entropy_hex", "".join(r.sample("0123456789ABCDEF", 16) + r.sample("0123456789abcdef", 16))), ("entropy_upper", "".join(r.sample("GHIJKLMNOPQRSTUVWXYZ0123456789", 16)))]
+    cases = [(kind, key, before, after) for kind, key in keys for before in ("", "id=", "/v1/", "ref_", "x-") for after in ("", "=", "/raw", "_z", "-z")]
+    got = by_id(secret_scan.secret_digest(docs(spark, [(i, f"é {b}{k}{a} end", None, None, None) for i, (_, k, b, a) in enumerate(cases)])))
+    for i, (kind, key, before, _) in enumerate(cases):
+        at = 2 + len(before)
+        assert f"{kind}:{at}:{at + len(key)}" in got[i]["spans"].split(","), cases[i]
+    alone = secret_scan.SecretScan().entropy(keys[0][1], [])
+    assert alone == [(0, 16, "entropy_hex")]  # not again as upper case
+
+
 def test_incremental_entropy():
     import math
     import random
