@@ -278,5 +278,14 @@ def drop_near_duplicates(docs: DataFrame, params: MinHashParams | None = None) -
     Rows without doc_id stay, whatever their text.
     """
     gone = near_duplicates(docs, params).where("NOT kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti")
-    return kept
+    return _one_of_each(docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti"))
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of those that repeat a doc_id and text. Only rows whose doc_id and text hash repeat are moved."""
+    key = [F.col("doc_id").cast("long").alias("_again_id"), F.xxhash64("text").alias("_again_text")]
+    again = written(docs.where("doc_id IS NOT NULL").select(*key).groupBy("_again_id", "_again_text").agg(F.count("*").alias("_k")).where("_k > 1").drop("_k"), "repeats")
+    if again.isEmpty():
+        return docs
+    same = (F.col("doc_id").cast("long") == F.col("_again_id")) & (F.xxhash64("text") == F.col("_again_text"))
+    return docs.join(again, same, "left_anti").union(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -189,6 +189,13 @@ def test_minhash_odd_rows(spark, odd):
     assert [(r["component_id"], r["kept"]) for r in rows] == [(None, True)] * 2
 
 
+def test_minhash_leaves_one_of_repeated_rows(spark, odd):
+    assert Counter(r["doc_id"] for r in minhash.drop_near_duplicates(odd).collect())[10] == 1
+    rows = fixture_rows() + fixture_rows()[:1] * 40 + fixture_rows()[6:8] * 2
+    kept = [r["doc_id"] for r in minhash.drop_near_duplicates(docs(spark, rows)).collect()]
+    assert sorted(kept) == sorted(i for i, v in classes(fixture_rows(), 5, 80).items() if v[2])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 100)]
     got = dict((r[0], r[1]) for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
