@@ -1,8 +1,8 @@
 """Near-duplicate classes: many universal hash minima, banding, signature check, exact check, connected components.
 
 1. One pass over the texts gives each document its shingle set's size, a 128-bit sum over the set, and `hashes` minima of
-   random linear hash functions. Documents with equal sets form a class, represented by its least doc_id; all later steps
-   work on representatives, so a group of copies costs one row however large it is.
+   random linear hash functions. Documents with equal sets form a class, a node, represented by its row of least doc_id and text hash; all later
+   steps work on nodes, so a group of copies costs one row however large it is.
 2. A band is `rows` consecutive minima; representatives that agree on a band share its bucket. In each bucket every
    member is paired with its hub, the member that meets most others over all its bands: as many pairs as members. Members
    whose signature is fairly like the hub's are joined to the hub's group; groups are connected components of these pairs.
@@ -17,8 +17,9 @@ Banding is the only step that may miss a link: with 30 bands of 5 rows, one of s
 of 0.8 with 7e-6.
 
 Defined results: a null text is an empty one; a text without words has an empty set and is linked with nothing. A row
-without doc_id is in no group: component null, kept. Rows that repeat a doc_id are one node; if their texts differ, the
-node has the links of both. Extra columns are ignored.
+without doc_id is in no group: component null, kept. Rows that repeat a doc_id with different texts are nodes of their
+own, and the doc_id joins their components: it has the links of all. Where rows are dropped each is judged by its own
+text, so a doc_id doesn't join anything there. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,26 +86,26 @@ def _minima(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = "doc_id long, n long, f1 long, f2 long, sig binary"
+SKETCH = "doc_id long, tkey long, n long, f1 long, f2 long, sig binary"
 
 
 def sketches(docs: DataFrame, p: MinHashParams) -> DataFrame:
-    """Set size, set fingerprint and signature of each row of docs (doc_id, text)."""
+    """Text hash, set size, set fingerprint and signature of each row of docs (doc_id, text)."""
     ship(docs.sparkSession)
 
     def run(batches):
         hasher, (a, b) = WordHasher(SPACE), p.functions()
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(1)]
+            texts = [t.as_py() for t in batch.column(2)]
             n, f1, f2, sig = [], [], [], []
             for s in _sets(texts, hasher, p.words):
                 n.append(len(s))
                 f1.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
                 f2.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
                 sig.append(_minima(s, a, b).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "f1", "f2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "tkey", "n", "f1", "f2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tkey"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(run, SKETCH)
 
 
 def _band_keys(sig: np.ndarray, p: MinHashParams) -> np.ndarray:
@@ -146,9 +147,11 @@ def _linked(x: np.ndarray, y: np.ndarray, p: MinHashParams) -> bool:
     return 100 * both >= p.percent * (len(x) + len(y) - both)
 
 
-def _shingles(docs: DataFrame, need: DataFrame, p: MinHashParams) -> DataFrame:
-    """(u, s): the sorted shingle set of each document named in need (u)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("u"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).join(need, "u", "left_semi")
+def _shingles(docs: DataFrame, need: DataFrame, classes: DataFrame, p: MinHashParams) -> DataFrame:
+    """(u, s): the sorted shingle set of each node named in need (u)."""
+    named = classes.join(need, F.col("node") == F.col("u"), "left_semi").select(F.col("node").alias("u"), F.col("least.doc_id").alias("_id"), F.col("least.tkey").alias("_tkey"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    texts = own.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey"))).select("u", "text")
 
     def make(batches):
         hasher = WordHasher(SPACE)
@@ -165,9 +168,9 @@ def _shingles(docs: DataFrame, need: DataFrame, p: MinHashParams) -> DataFrame:
     return written(texts.mapInArrow(make, "u long, s binary").dropDuplicates(["u"]), "shingles")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, p: MinHashParams) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: MinHashParams) -> DataFrame:
     """The pairs (u, v) that are links by their whole shingle sets."""
-    sets = _shingles(docs, pairs.select("u").union(pairs.select("v")).distinct(), p)
+    sets = _shingles(docs, pairs.select("u").union(pairs.select("v")).distinct(), classes, p)
 
     def run(batches):
         for batch in batches:
@@ -190,9 +193,9 @@ def _in_blocks(members: DataFrame, key: str, p: MinHashParams, wanted: str = "tr
     return work.withColumn("block", F.explode(F.array_distinct(F.array("block_l", "block_r")))).join(sized, [key, "block"]).drop("x")
 
 
-def _group_links(groups: DataFrame, nodes: DataFrame, docs: DataFrame, p: MinHashParams) -> DataFrame:
+def _group_links(groups: DataFrame, nodes: DataFrame, docs: DataFrame, classes: DataFrame, p: MinHashParams) -> DataFrame:
     """Links within groups (node, component), exact."""
-    sets = _shingles(docs, groups.select(F.col("node").alias("u")), p).select(F.col("u").alias("node"), "s")
+    sets = _shingles(docs, groups.select(F.col("node").alias("u")), classes, p).select(F.col("u").alias("node"), "s")
     rows = _in_blocks(groups.withColumn("x", F.lit(0)), "component", p).join(nodes.select("node", "sig"), "node").join(sets, "node")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -241,14 +244,14 @@ def _apart(members: DataFrame, nodes: DataFrame, p: MinHashParams) -> DataFrame:
     return rows.groupBy("band", "block_l", "block_r").applyInArrow(compare, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, params: MinHashParams | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text)."""
-    p = params or MinHashParams()
+def _linked_classes(docs: DataFrame, p: MinHashParams) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketches of docs, the classes of equal sets (n, f1, f2, least, node) and links (u, v) of nodes that join all that are alike."""
     sk = written(sketches(docs, p), "sketches")
-    # classes of equal sets; `f` names a class, its least doc_id is the node
-    classes = sk.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node"))
-    classes = written(classes, "classes")
-    nodes = written(sk.join(classes, ["n", "f1", "f2"]).where("doc_id = node").select("node", "n", "sig").dropDuplicates(["node"]), "nodes")
+    # `least` names the class's representative, as doc_ids may repeat; a node's number holds once the table is written
+    classes = sk.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "tkey")).alias("least"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    own = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("tkey") == F.col("least.tkey"))
+    nodes = written(sk.join(classes, ["n", "f1", "f2"]).where(own).select("node", "n", "sig").dropDuplicates(["node"]), "nodes")
     banded = _banded(nodes, p)
     sizes = banded.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
     shared = written(banded.join(sizes, "band").select("band", "node", "k"), "buckets")
@@ -257,15 +260,34 @@ def near_duplicates(docs: DataFrame, params: MinHashParams | None = None) -> Dat
     to_hub = written(shared.join(hubs, "band").select("band", "node", (-F.col("hub.least")).alias("hub")), "hubs")
     pairs = to_hub.where("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     like = written(_like(pairs, nodes, p), "pairs")
-    links = written(_group_links(connected_components(like), nodes, docs, p), "links")
+    links = written(_group_links(connected_components(like), nodes, docs, classes, p), "links")
     marked = to_hub.join(like.select(F.col("u").alias("hub"), F.col("v").alias("node"), F.lit(1).alias("_like")), ["hub", "node"], "left")
     marked = marked.select("band", "node", F.when((F.col("hub") == F.col("node")) | F.col("_like").isNotNull(), 0).otherwise(1).alias("x"))
     torn = marked.groupBy("band").agg(F.max("x").alias("t")).where("t = 1").select("band")
     more = written(_apart(written(marked.join(torn, "band", "left_semi"), "apart"), nodes, p), "pairs")
     if not more.isEmpty():
-        links = links.union(_confirmed(more, docs, p))
-    comps = connected_components(links)
-    named = classes.join(comps, "node", "left").select("n", "f1", "f2", F.coalesce("component", "node").alias("component"))
+        links = links.union(_confirmed(more, docs, classes, p))
+    return sk, classes, links
+
+
+def _named(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(n, f1, f2, first): the least row of the group of each class."""
+    comps = written(classes.join(connected_components(links), "node", "left").select("n", "f1", "f2", "least", F.coalesce("component", "node").alias("component")), "groups")
+    return comps.join(comps.groupBy("component").agg(F.min("least").alias("first")), "component").select("n", "f1", "f2", "first")
+
+
+def near_duplicates(docs: DataFrame, params: MinHashParams | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text)."""
+    p = params or MinHashParams()
+    sk, classes, links = _linked_classes(docs, p)
+    # a doc_id of several texts joins their classes
+    sets = F.struct("n", "f1", "f2")
+    torn = sk.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(sets).alias("a"), F.max(sets).alias("b")).where("a <> b").select("doc_id")
+    torn = written(torn, "torn")
+    if not torn.isEmpty():
+        met = sk.join(torn, "doc_id").join(classes.select("n", "f1", "f2", "node"), ["n", "f1", "f2"]).select("doc_id", "node").distinct()
+        links = links.union(met.join(met.groupBy("doc_id").agg(F.min("node").alias("u")), "doc_id").where("u <> node").select("u", F.col("node").alias("v")))
+    named = _named(classes, links).withColumn("component", F.col("first.doc_id")).drop("first")
     # a group of copies is one class: without salt its rows would meet in one task
     out = sk.select("doc_id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
@@ -273,12 +295,16 @@ def near_duplicates(docs: DataFrame, params: MinHashParams | None = None) -> Dat
 
 
 def drop_near_duplicates(docs: DataFrame, params: MinHashParams | None = None) -> DataFrame:
-    """docs without the rows that a smaller document of their group stands for; of rows that repeat a doc_id and text one stays.
+    """docs with one row of each group of texts alike, that of the least doc_id; of rows without words one of each doc_id and text.
 
     Rows without doc_id stay, whatever their text.
     """
-    gone = near_duplicates(docs, params).where("NOT kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return _one_of_each(docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti"))
+    sk, classes, links = _linked_classes(docs, params or MinHashParams())
+    rows = sk.where("n > 0 AND doc_id IS NOT NULL").join(_named(classes, links), ["n", "f1", "f2"])
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tkey") == F.col("first.tkey"))
+    gone = rows.where(~own).select(F.col("doc_id").alias("_gone_id"), F.col("tkey").alias("_gone_text")).distinct()
+    same = (F.col("doc_id").cast("long") == F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_text"))
+    return _one_of_each(docs.join(gone, same, "left_anti"))
 
 
 def _one_of_each(docs: DataFrame) -> DataFrame:

@@ -196,6 +196,18 @@ def test_minhash_leaves_one_of_repeated_rows(spark, odd):
     assert sorted(kept) == sorted(i for i, v in classes(fixture_rows(), 5, 80).items() if v[2])
 
 
+def test_minhash_doc_ids_of_several_texts(spark):
+    """A doc_id has the links of all its texts; rows are dropped by their own text."""
+    a, b, c, e = (prose(70 + i, 120) for i in range(4))
+    rows = [(5, a, "en", "s", 0), (5, b, "en", "s", 0), (3, a, "en", "s", 0), (4, edited(b, 60), "en", "s", 0), (7, c, "en", "s", 0), (7, e, "en", "s", 0), (8, edited(e, 60), "en", "s", 0), (2, prose(80, 90), "en", "s", 0)]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {(2, 2, True), (3, 3, True), (4, 3, False), (5, 3, False), (7, 7, True), (8, 7, False)}
+    kept = sorted((r["doc_id"], r["text"]) for r in minhash.drop_near_duplicates(docs(spark, rows)).collect())
+    assert kept == sorted([(2, prose(80, 90)), (3, a), (4, edited(b, 60)), (7, c), (7, e)])
+    rows = [(1, a, "en", "s", 0), (9, a, "en", "s", 0), (9, b, "en", "s", 0)]
+    assert sorted((r["doc_id"], r["text"]) for r in minhash.drop_near_duplicates(docs(spark, rows)).collect()) == sorted([(1, a), (9, b)])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 100)]
     got = dict((r[0], r[1]) for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
