@@ -8,7 +8,8 @@ weight of each word, then blocks of items, by the sum of each word's largest wei
 threshold are retrieved. A retrieved item is reported if enough of its question's and of its answer's word n-grams stand in the passage.
 
 The index holds test items, whose number doesn't grow with the corpus. It is built in blocks of at most `index_bytes` of
-item text; a larger benchmark takes several passes over the texts.
+item text; a larger benchmark takes several passes over the texts. Term counts, the number of items and their lengths are
+those of all items, so scores and passages don't depend on the blocks.
 
 An item's answer is its last sentence; an item of one sentence is cut at two thirds of its words.
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.wordhash import ALNUM, WordHasher, Words, grams, runs
-from strata.runtime import ship
+from strata.runtime import ship, written
 
 
 @dataclass(frozen=True)
@@ -54,10 +55,21 @@ def parts(text: str) -> tuple[str, str]:
     return " ".join(words[:cut]), " ".join(words[cut:])
 
 
+@dataclass(frozen=True)
+class Totals:
+    """What an index in blocks needs of all items: their number, mean and greatest length, and in how many each term stands."""
+
+    items: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
 class Index:
     """Postings in rows by term: items ascending, so each block of items is a run; `most` and `blocks` hold block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]], p: DecontamParams):
+    def __init__(self, items: list[tuple[int, str]], p: DecontamParams, totals: Totals | None = None):
         hasher = WordHasher(ALNUM)
         words = [hasher.batch([t.encode()]).hash for _, t in items]
         kept = sorted((i for i in range(len(items)) if len(words[i])), key=lambda i: (len(words[i]), items[i][0]))
@@ -70,8 +82,11 @@ class Index:
         tf = np.concatenate([r[1] for r in rows]).astype(float) if rows else np.empty(0)
         item = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
         self.terms, at, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.log(1 + (len(rows) - df + 0.5) / (df + 0.5))
-        norm = p.k1 * (1 - p.b + p.b * size[item] / size.mean()) if rows else np.empty(0)
+        count, mean = len(rows), size.mean() if rows else 0.0
+        if totals:
+            count, mean, self.longest, df = totals.items, totals.mean, totals.longest, totals.df[np.searchsorted(totals.terms, self.terms)]
+        idf = np.log(1 + (count - df + 0.5) / (df + 0.5))
+        norm = p.k1 * (1 - p.b + p.b * size[item] / mean) if rows else np.empty(0)
         w = idf[at] * tf * (p.k1 + 1) / (tf + norm) if rows else np.empty(0)
         w = w / np.bincount(item, w, len(rows))[item] if rows else w
         order = np.lexsort((item, at))
@@ -178,6 +193,37 @@ def _runs_of(h: np.ndarray, k: int) -> np.ndarray:
     return grams(Words(np.zeros(n, np.int64), h, np.array([n]), h, h, b""), k)[1] if n >= k else np.empty(0, np.uint64)
 
 
+def _item_terms(items: DataFrame) -> DataFrame:
+    """(part, term, size): a row for each distinct term of each item, and one without term that holds the item's number of words."""
+
+    def run(batches):
+        hasher = WordHasher(ALNUM)
+        for batch in batches:
+            for part, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = hasher.batch([text.as_py()]).hash
+                if len(words):
+                    terms = np.unique(words).view(np.int64)
+                    size = pa.array([None] * len(terms) + [len(words)], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(size), pa.int32()), pa.array(terms.tolist() + [None], pa.int64()), size], names=["part", "term", "size"])
+
+    return items.select("part", F.col("text").cast("binary").alias("text")).mapInArrow(run, "part int, term long, size long")
+
+
+def _totals(items: DataFrame):
+    """The Totals of items (part, text), with the terms of one part, as a function of the part."""
+    rows = written(_item_terms(items), "item-terms")
+    count, words, longest = rows.agg(F.count("size"), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    df = written(rows.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")), "item-counts")
+
+    def of(part: int) -> Totals:
+        own = df.join(rows.where((F.col("part") == part) & F.col("term").isNotNull()), "term", "left_semi").collect()
+        term, num = np.array([r[0] for r in own], np.int64).view(np.uint64), np.array([r[1] for r in own], np.int64)
+        order = np.argsort(term)
+        return Totals(count, words / count if count else 0.0, longest, term[order], num[order])
+
+    return of
+
+
 HITS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
 
@@ -190,10 +236,12 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, params: DecontamParams
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, math.ceil(size / p.index_bytes))
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
+    totals = _totals(dealt) if n > 1 else lambda part: None
     found = None
     for k in range(n):
-        own = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()]
-        shared = spark.sparkContext.broadcast(Index(own, p))
+        own = [(r[0], r[1]) for r in dealt.where(F.col("part") == k).select("item_id", "text").orderBy("item_id", "text").collect()]
+        shared = spark.sparkContext.broadcast(Index(own, p, totals(k)))
 
         def run(batches, shared=shared):
             hasher, ix = WordHasher(ALNUM), shared.value

@@ -460,6 +460,15 @@ def test_decontamination(spark, odd):
     assert decontam.benchmark_hits(odd, bench.limit(0)).count() == 0 and decontam.benchmark_hits(docs(spark, []), bench).count() == 0
 
 
+def test_decontamination_does_not_depend_on_blocks(spark):
+    items = [(i, prose(3000 + i, 8 + i % 40) + ". " + prose(4000 + i, 6 + i % 9) + ".") for i in range(40)] + [(99, "..."), (98, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, prose(i, 70) + " " + " ".join(items[i % 40][1].split()[: 9 + i % 22]) + " " + prose(i + 500, 60), None, None, None) for i in range(160)]
+    d = docs(spark, rows)
+    whole, cut = (sorted(map(tuple, decontam.benchmark_hits(d, bench, decontam.DecontamParams(index_bytes=size)).collect())) for size in (16 << 20, 1500))
+    assert whole == cut and 0 < len({r[0] for r in whole}) < len(rows)
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 
