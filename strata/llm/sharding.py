@@ -17,6 +17,7 @@ records than shards leave shards empty; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 
 import numpy as np
@@ -121,7 +122,7 @@ def shard_plan(docs: DataFrame, n_shards: int = 8, group_col: str = "text", rang
         return sorted((r[0], r[1], r[2]) for r in drawn.collect())
 
     splitters = _quantile_splitters(sample(rows, rate, seed), aim)
-    for again in range(8):
+    for again in itertools.count():  # ends: splitters grow each round and are keys of records
         ranged = rows.withColumn("r", _range_of(splitters)("h", "i"))
         per = ranged.groupBy("r").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), (F.min("h") != F.max("h")) | (F.min("i") != F.max("i")), F.max("size")).collect()
         over = [r[0] for r in per if r[3] and r[1] > 2 * aim and r[1] > 1.5 * r[4]]

@@ -68,6 +68,22 @@ def test_sharding_odd_rows(spark, odd):
     assert [(r["doc_id"], r["size"], r["slot"]) for r in one] == [(None, 1, 0)]
 
 
+def test_sharding_measures_the_last_ranges(spark, monkeypatch):
+    """Ranges that need many rounds of subdividing: no row is lost and no slot given twice."""
+    calls = []
+
+    def slow(keys, aim):
+        calls.append(len(keys))
+        return [] if len(calls) == 1 else [keys[6][:2]]
+
+    monkeypatch.setattr(sharding, "_quantile_splitters", slow)
+    rows = [(i, f"text {i:03}", "en", "s", 0) for i in range(80)]
+    d = docs(spark, rows)
+    got = sharding.shard_plan(d, 2, ranges_per_shard=6).place(d).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(80))
+    assert len({(r["shard"], r["slot"]) for r in got}) == 80 and len(calls) > 9
+
+
 # --- 2 -------------------------------------------------------------------------------------------------------------
 
 
