@@ -14,7 +14,8 @@ those of all items, so scores and passages don't depend on the blocks.
 An item's answer is its last sentence; an item of one sentence is cut at two thirds of its words.
 
 Defined results: null and empty texts or items match nothing. Rows that repeat a doc_id count as one document. Items with
-equal text are each reported. Rows without doc_id aren't reported. Extra columns are ignored.
+equal text are each reported. Rows without doc_id aren't reported, but those in which an item stands are dropped: rows are
+dropped by doc_id and text hash. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -224,18 +225,17 @@ def _totals(items: DataFrame):
     return of
 
 
-HITS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
+HITS = "doc_id long, tkey long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, params: DecontamParams | None = None) -> DataFrame:
-    """One row per document and item found in it: its best passage."""
+def _found(docs: DataFrame, benchmark: DataFrame, p: DecontamParams) -> DataFrame:
+    """A row for each passage of docs in which an item stands, with the doc_id, if any, and the hash of the text."""
     spark = docs.sparkSession
     ship(spark)
-    p = params or DecontamParams()
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, math.ceil(size / p.index_bytes))
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
     totals = _totals(dealt) if n > 1 else lambda part: None
     found = None
@@ -246,20 +246,27 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, params: DecontamParams
         def run(batches, shared=shared):
             hasher, ix = WordHasher(ALNUM), shared.value
             for batch in batches:
-                texts = [t.as_py() for t in batch.column(1)]
-                ids = batch.column(0)
-                out = [(ids[d].as_py(), ix.ids[i], *(round(x, 6) for x in rest[:3]), rest[3]) for d, i, *rest in scan(texts, hasher, ix, p)]
-                cols = list(zip(*out, strict=True)) or [()] * 6
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+                texts = [t.as_py() for t in batch.column(2)]
+                ids, keys = batch.column(0), batch.column(1)
+                out = [(ids[d].as_py(), keys[d].as_py(), ix.ids[i], *(round(x, 6) for x in rest[:3]), rest[3]) for d, i, *rest in scan(texts, hasher, ix, p)]
+                cols = list(zip(*out, strict=True)) or [()] * 7
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in HITS.split(", ")])
 
         hits = rows.mapInArrow(run, HITS)
         found = hits if found is None else found.union(hits)
+    return found
+
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, params: DecontamParams | None = None) -> DataFrame:
+    """One row per document and item found in it: its best passage."""
+    found = _found(docs.where("doc_id IS NOT NULL"), benchmark, params or DecontamParams())
     best = F.struct(F.col("score"), F.col("question_overlap"), F.col("answer_overlap"), (-F.col("first_word")).alias("w"))
     return found.groupBy("doc_id", "item_id").agg(F.max(best).alias("b")).select("doc_id", "item_id", "b.score", "b.question_overlap", "b.answer_overlap", (-F.col("b.w")).alias("first_word"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, params: DecontamParams | None = None) -> DataFrame:
-    """docs without those in which an item is found."""
-    hit = benchmark_hits(docs, benchmark, params).select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long") == F.col("_hit_id"), "left_anti")
+    """docs without the rows in which an item is found, with or without doc_id."""
+    hit = _found(docs, benchmark, params or DecontamParams()).select(F.col("doc_id").alias("_hit_id"), F.col("tkey").alias("_hit_text")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_hit_id")) & (F.xxhash64("text") == F.col("_hit_text"))
+    return docs.join(hit, same, "left_anti")

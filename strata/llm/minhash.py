@@ -19,7 +19,7 @@ of 0.8 with 7e-6.
 Defined results: a null text is an empty one; a text without words has an empty set and is linked with nothing. A row
 without doc_id is in no group: component null, kept. Rows that repeat a doc_id with different texts are nodes of their
 own, and the doc_id joins their components: it has the links of all. Where rows are dropped each is judged by its own
-text, so a doc_id doesn't join anything there. Extra columns are ignored.
+text, with or without doc_id, and a doc_id doesn't join anything. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -244,11 +244,12 @@ def _apart(members: DataFrame, nodes: DataFrame, p: MinHashParams) -> DataFrame:
     return rows.groupBy("band", "block_l", "block_r").applyInArrow(compare, "u long, v long").distinct()
 
 
-def _linked_classes(docs: DataFrame, p: MinHashParams) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The sketches of docs, the classes of equal sets (n, f1, f2, least, node) and links (u, v) of nodes that join all that are alike."""
+def _linked_classes(docs: DataFrame, p: MinHashParams, unnamed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketches of docs, and of its rows with doc_id, or of all, the classes of equal sets (n, f1, f2, least, node) and links (u, v) of nodes that join all that are alike."""
     sk = written(sketches(docs, p), "sketches")
     # `least` names the class's representative, as doc_ids may repeat; a node's number holds once the table is written
-    classes = sk.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "tkey")).alias("least"))
+    least = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tkey")  # a row without doc_id comes last
+    classes = sk.where("n > 0" if unnamed else "n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min(least).alias("least"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     own = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("tkey") == F.col("least.tkey"))
     nodes = written(sk.join(classes, ["n", "f1", "f2"]).where(own).select("node", "n", "sig").dropDuplicates(["node"]), "nodes")
@@ -297,21 +298,21 @@ def near_duplicates(docs: DataFrame, params: MinHashParams | None = None) -> Dat
 def drop_near_duplicates(docs: DataFrame, params: MinHashParams | None = None) -> DataFrame:
     """docs with one row of each group of texts alike, that of the least doc_id; of rows without words one of each doc_id and text.
 
-    Rows without doc_id stay, whatever their text.
+    Rows without doc_id are judged too; of their group they stay only if no row with doc_id is in it.
     """
-    sk, classes, links = _linked_classes(docs, params or MinHashParams())
-    rows = sk.where("n > 0 AND doc_id IS NOT NULL").join(_named(classes, links), ["n", "f1", "f2"])
+    sk, classes, links = _linked_classes(docs, params or MinHashParams(), unnamed=True)
+    rows = sk.where("n > 0").join(_named(classes, links), ["n", "f1", "f2"])
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tkey") == F.col("first.tkey"))
     gone = rows.where(~own).select(F.col("doc_id").alias("_gone_id"), F.col("tkey").alias("_gone_text")).distinct()
-    same = (F.col("doc_id").cast("long") == F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_text"))
     return _one_of_each(docs.join(gone, same, "left_anti"))
 
 
 def _one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of those that repeat a doc_id and text. Only rows whose doc_id and text hash repeat are moved."""
     key = [F.col("doc_id").cast("long").alias("_again_id"), F.xxhash64("text").alias("_again_text")]
-    again = written(docs.where("doc_id IS NOT NULL").select(*key).groupBy("_again_id", "_again_text").agg(F.count("*").alias("_k")).where("_k > 1").drop("_k"), "repeats")
+    again = written(docs.select(*key).groupBy("_again_id", "_again_text").agg(F.count("*").alias("_k")).where("_k > 1").drop("_k"), "repeats")
     if again.isEmpty():
         return docs
-    same = (F.col("doc_id").cast("long") == F.col("_again_id")) & (F.xxhash64("text") == F.col("_again_text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_again_id")) & (F.xxhash64("text") == F.col("_again_text"))
     return docs.join(again, same, "left_anti").union(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -485,6 +485,20 @@ def test_decontamination_does_not_depend_on_blocks(spark):
     assert whole == cut and 0 < len({r[0] for r in whole}) < len(rows)
 
 
+def test_stages_judge_rows_without_doc_id(spark):
+    a, b, c = (prose(90 + i, 120) for i in range(3))
+    rows = [(i, t, "en", "s", 0) for i, t in [(1, a), (None, a), (None, edited(a, 60)), (None, b), (None, b), (None, edited(b, 60)), (None, c), (None, ""), (None, ""), (None, None), (2, "")]]
+    kept = [(r["doc_id"], r["text"]) for r in minhash.drop_near_duplicates(docs(spark, rows)).collect()]
+    of_b = [x for x in kept if x[1] in (b, edited(b, 60))]
+    assert len(of_b) == 1 and Counter(kept) == Counter([(1, a), *of_b, (None, c), (None, ""), (None, None), (2, "")])
+    item = prose(5000, 20) + ". " + prose(5001, 8) + "."
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(i, t, "en", "s", 0) for i, t in [(None, a), (None, b + " " + item), (None, None), (3, c + " " + item), (3, c)]]
+    left = [(r["doc_id"], r["text"]) for r in decontam.drop_contaminated(docs(spark, rows), bench).collect()]
+    assert Counter(left) == Counter([(None, a), (None, None), (3, c)])
+    assert {r["doc_id"] for r in decontam.benchmark_hits(docs(spark, rows), bench).collect()} == {3}
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 
