@@ -10,15 +10,18 @@ Files hold documents in ascending doc_id order, file after file: texts are range
 encodes its part and writes one file under a name of its own, then renames it; a task that runs again writes the same bytes.
 
 Encoding: byte-level BPE never joins across the pieces of its pre-tokenizer, so the ids of a text are those of its pieces
-in a row. Each distinct piece is encoded once by the tokenizers library and kept in a bounded cache. Texts with characters outside
-the ranges listed below, or with the string of a special token, go to the library whole.
+in a row. Each distinct piece is encoded once by the library's model and kept in a bounded cache. Texts with characters outside
+the ranges listed below, or with the string of a special token, go to the library whole; so does every text if the tokenizer's
+file has a normalizer, another pre-tokenizer, or a model that is not byte-level BPE without dropout.
 
 Defined results: a null text is an empty text: its end id alone. A null doc_id sorts first and is read back as null. Repeated rows are
-records of their own. Extra columns are ignored. An empty table gives no records.
+records of their own. Rows that share a doc_id, null too, stand in the order of their texts' hashes, then texts, and may lie in several
+files. Extra columns are ignored. An empty table gives no records.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -68,6 +71,26 @@ def unframe(buffer, at: int) -> tuple[bytes, int]:
     return payload, a + n + 4
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level BPE writes for bytes: itself for a visible Latin-1 character, else the next unused from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+LETTERS = _byte_letters()
+
+
+def by_pieces(settings: dict) -> bool:
+    """Whether a tokenizer's file parts texts as PIECES does and encodes the pieces apart, by byte-level BPE."""
+    pre, model = settings.get("pre_tokenizer") or {}, settings.get("model") or {}
+    return (
+        settings.get("normalizer") is None
+        and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        and model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    )
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, piece by piece where that is exact."""
 
@@ -78,9 +101,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            self.apart = by_pieces(json.load(f))
+        self.model = self.tokenizer.model
         self.pieces = regex.compile(PIECES).findall
         self.other, self.uneven = re.compile(OTHER).search, re.compile(r"\s\s|^\s|\s\Z|[\t\r]").search
-        self.spaced = regex.compile(r" \p{L}+").fullmatch
         self.cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.most = most
@@ -89,21 +114,23 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces; words that begin with a space stand in one text, which the library parts into the same pieces."""
+        """Encodes new pieces by the model alone, which spares the library's bookkeeping of offsets."""
         if len(self.cache) + len(pieces) > self.most:
             self.cache.clear()
-        run = [p for p in pieces if self.spaced(p)]
-        if run:
-            e = self.tokenizer.encode("".join(run), add_special_tokens=False)
-            ids, at = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
-            ends = np.searchsorted(at, np.arange(len(run)), side="right") * 4
-            data, a = ids.tobytes(), 0
-            for p, b in zip(run, ends.tolist(), strict=True):
-                self.cache[p] = data[a:b]
-                a = b
+        model, cache = self.model.tokenize, self.cache
+        # a line feed parts the pieces: none that is learnt here in a row holds one
+        rows = [p for p in pieces if "\n" not in p]
+        lettered = dict(zip(rows, "\n".join(rows).encode().decode("latin-1").translate(LETTERS).split(LETTERS[10]), strict=True)) if rows else {}
+        ids, counts = [], []
         for p in pieces:
-            if p not in self.cache:
-                self.cache[p] = self.whole(p)
+            w = lettered.get(p) or p.encode().decode("latin-1").translate(LETTERS)
+            own = [t.id for t in model(w)]
+            ids += own
+            counts.append(len(own))
+        data, a = np.array(ids, "<u4").tobytes(), 0
+        for p, n in zip(pieces, counts, strict=True):
+            cache[p] = data[a : a + 4 * n]
+            a += 4 * n
 
     def parted(self, text: str) -> list[str] | None:
         """Strings that the pre-tokenizer never joins, none for a text that the library has to part itself.
@@ -111,7 +138,7 @@ class Encoder:
         Where white space is single spaces and newlines inside the text, those are the words with the white space before
         them, so the pattern isn't needed.
         """
-        if self.other(text) or any(s in text for s in self.special):
+        if not self.apart or self.other(text) or any(s in text for s in self.special):
             return None
         if self.uneven(text):
             return self.pieces(text)
@@ -141,7 +168,7 @@ class Encoder:
                 del known[p]
             new = [p for p in dict.fromkeys(parts) if p not in known]
         texts = [p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in new]
-        pieces = [self.pieces(t) for t in texts]
+        pieces = [[t] if p.isalpha() else self.pieces(t) for p, t in zip(new, texts, strict=True)]  # letters alone are one piece
         unknown = list(set().union(*pieces).difference(self.cache))
         if unknown:
             self.learn(unknown)
@@ -163,9 +190,15 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system for an address that Spark takes: Hadoop's names of S3 are one to Arrow."""
+    scheme, _, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
+
+
 def write_file(uri: str, records: Iterable[tuple[int | None, bytes]]) -> tuple[int, int]:
     """Writes uri.rec and uri.idx; the records and the ids in them."""
-    fs, path = pafs.FileSystem.from_uri(uri)
+    fs, path = filesystem(uri)
     own = f"{path}.{uuid.uuid4().hex}"
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     offsets, starts, at, ids = [], [], 0, 0
@@ -192,7 +225,7 @@ class RecordFile:
     """Records of one file by number, in any order."""
 
     def __init__(self, uri: str):
-        self.fs, self.path = pafs.FileSystem.from_uri(uri)
+        self.fs, self.path = filesystem(uri)
         with self.fs.open_input_file(f"{self.path}.idx") as f:
             raw = f.read()
         body, tail, (check, magic) = raw[:-24], raw[-24:-12], struct.unpack("<IQ", raw[-12:])
@@ -228,7 +261,8 @@ def write_records(docs: DataFrame, tokenizer_path: str, uri: str, end_id: int |
     n = max(4 * spark.sparkContext.defaultParallelism, -(-total // file_bytes))
     end = np.array([] if end_id is None else [end_id], "<u4").tobytes()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    placed = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_tie")]  # so that many rows of one doc_id, or of none, are dealt over several ranges
+    placed = rows.withColumn("_tie", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order, "text").drop("_tie")
 
     def run(batches):
         made, part = encoder(tokenizer_path), TaskContext.get().partitionId()
