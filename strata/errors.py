@@ -31,6 +31,7 @@ class Code(Enum):
     MERGE_CONFLICT = "merge conflict"
     INVALID_BASE32 = "invalid base32 string"
     QUERY_SYNTAX = "query can't be parsed"
+    CHUNK_NOT_EXISTS = "chunk does not exist"
     TYPE_MISMATCH = "object is of another type"
 
 

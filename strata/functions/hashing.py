@@ -6,7 +6,7 @@ import base64
 import binascii
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,19 +63,35 @@ def segment_hashes(df: DataFrame, key: str, values: list[str], per_segment: int
     return seg.groupBy("segment").agg(F.min("k").alias("first_key"), F.count("*").alias("n"), F.sum("b").alias("bytes"), F.substring(F.sha2(ordered, 256), 1, 40).alias("hash"))
 
 
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    """The bucket of a row: 60 bits of the hash of its keys, modulo `buckets`. Of two counts that divide, the lesser's buckets are unions of the greater's."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *[F.col(f"`{k}`").cast("string") for k in keys]).cast("binary")), 1, 15), 16, 10).cast("long")
+    return F.pmod(h, F.lit(buckets)).cast("int")
+
+
+def row_sums(*cols: Column) -> tuple[Column, Column]:
+    """Two sums (120 bits) of the hashes of a group's rows: they add up, so no task gathers a group, and groups can be joined later."""
+    digest = content_hash(*cols)
+    part = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)"))
+    return part(1).alias("s1"), part(16).alias("s2")
+
+
+def bucket_sums(df: DataFrame, keys: list[str], values: list[str], buckets: int) -> DataFrame:
+    """bucket, n, s1, s2: the number and the hash sums of the rows of each bucket, whatever files hold them and in whatever order."""
+    s1, s2 = row_sums(*[F.col(f"`{c}`") for c in keys + values])
+    return df.groupBy(bucket_of(keys, buckets).alias("bucket")).agg(F.count("*").alias("n"), s1, s2)
+
+
 def bucket_hashes(df: DataFrame, keys: list[str], values: list[str], buckets: int = 256) -> DataFrame:
     """bucket, n, hash: a digest per hash bucket of keys, independent of row order."""
-    b = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("\x1f", *keys).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(buckets))
-    row = content_hash(*[F.col(c) for c in keys + values])
-    rows = df.select(b.alias("bucket"), row.alias("h"))
-    return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256), 1, 40).alias("hash"))
+    return bucket_sums(df, keys, values, buckets).select("bucket", "n", F.concat_ws(":", "n", "s1", "s2").alias("hash"))
 
 
-def chunk_bounds(data: bytes, mean_bits: int = 12, window: int = 256, most: int = 32768) -> list[tuple[int, int]]:
+def chunk_bounds(data, mean_bits: int = 12, window: int = 256, most: int = 32768) -> list[tuple[int, int]]:
     """Content-defined chunks: a boundary where a rolling hash of the last `window` bytes has mean_bits zero bits."""
     import numpy as np
 
-    if not data:
+    if not len(data):
         return []
     table = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64)
     base = 0x9E3779B97F4A7C15
@@ -114,12 +130,17 @@ def chunks(df: DataFrame, payload: str, *keep: str) -> DataFrame:
     rows = df.select(*keep, F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("_payload"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
-    def run(frames):
-        for f in frames:
-            out = []
-            for row in f.itertuples(index=False):
-                data = bytes(row[-1])
-                out += [(*row[:-1], i, b - a, hashlib.sha256(data[a:b]).hexdigest()[:40]) for i, (a, b) in enumerate(chunk_bounds(data))]
-            yield pd.DataFrame(out, columns=[*f.columns[:-1], "chunk_no", "n_bytes", "chunk_hash"])
-
-    return rows.mapInPandas(run, f"{schema}, chunk_no int, n_bytes long, chunk_hash string")
+    def run(batches):
+        for batch in batches:
+            at, no, size, digest = [], [], [], []
+            for i, v in enumerate(batch.column(batch.num_columns - 1)):
+                data = v.as_buffer()
+                bounds = chunk_bounds(data)
+                at += [i] * len(bounds)
+                no += range(len(bounds))
+                size += [b - a for a, b in bounds]
+                digest += [hashlib.sha256(data[a:b]).hexdigest()[:40] for a, b in bounds]
+            kept = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(no, pa.int32()), pa.array(size, pa.int64()), pa.array(digest, pa.string())], names=[*batch.schema.names[:-1], "chunk_no", "n_bytes", "chunk_hash"])
+
+    return rows.mapInArrow(run, f"{schema}, chunk_no int, n_bytes long, chunk_hash string")

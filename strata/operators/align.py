@@ -10,6 +10,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strata.errors import Code, StrataError
 from strata.runtime import ship
@@ -60,3 +61,21 @@ def align(lhs: DataFrame, rhs: DataFrame, key: str, idx: str = "_rid", value: st
         return pd.DataFrame(rows, columns=[key, "op", "lhs_first", "lhs_n", "rhs_first", "rhs_n"])
 
     return lhs.select(key, idx, value).groupBy(key).cogroup(rhs.select(key, idx, value).groupBy(key)).applyInPandas(run, schema)
+
+
+def merge3(base: DataFrame, a: DataFrame, b: DataFrame, key: str, idx: str = "_rid", value: str = "value") -> DataFrame:
+    """Three-way merge of lists: key, idx, value. Each input (key, idx, value), one list per key; a conflict is an error.
+
+    One task a list: an alignment looks at both lists as wholes. Many lists are merged side by side.
+    """
+    ship(base.sparkSession)
+    kinds = dict(base.dtypes)
+    sides = [d.select(key, idx, value, F.lit(n).alias("_side")) for n, d in enumerate((base, a, b))]
+
+    def run(k, rows):
+        own = [rows[rows["_side"] == n].sort_values(idx)[value].tolist() for n in range(3)]
+        out = merge_lists(*own)
+        return pd.DataFrame({key: [k[0]] * len(out), idx: range(len(out)), value: out})
+
+    both = sides[0].unionByName(sides[1]).unionByName(sides[2])
+    return both.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {idx} long, {value} {kinds[value]}")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.errors import Code, StrataError
+from strata.operators.ordinal import with_ordinal
+
 # --- values in a column -------------------------------------------------------------------------------------------
 
 
@@ -70,9 +73,10 @@ def blob_splice(b: Column, pos: int, dels: int, ins: Column) -> Column:
 
 
 def rows_map_set(df: DataFrame, edits: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """Upsert of edits by key; of edits that repeat a key the last by `order` holds."""
-    if order:
-        edits = edits.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_r = 1").drop("_r", order)
+    """Upsert of edits by key; of edits that repeat a key the last by `order` holds, without it the greatest row."""
+    rest = [c for c in df.columns if c != key]
+    last = F.max(F.struct(*([order] if order else []), *rest)).alias("_l")
+    edits = edits.groupBy(key).agg(last).select(key, *[F.col(f"_l.`{c}`").alias(c) for c in rest])
     return df.join(edits.select(key), key, "left_anti").unionByName(edits.select(*df.columns))
 
 
@@ -93,6 +97,25 @@ def rows_list_splice(df: DataFrame, start: int, dels: int, ins: DataFrame, idx:
     return head.unionByName(ins.withColumn(idx, F.col(idx) + start)).unionByName(tail)
 
 
+def rows_multi_splice(df: DataFrame, splices: DataFrame, ins: DataFrame, idx: str = "_rid") -> DataFrame:
+    """Many splices in one step. splices: (seq, start, dels), places of the list as it is; ins: (seq, pos, the list's columns).
+
+    Splices at one place put their elements there in the order of seq. Splices that cut the same elements, or into what another cuts,
+    are an error. Beyond the end elements follow the last. What is cut is an anti-join, the rest one renumbering by ranges.
+    """
+    w = Window.orderBy("start", "seq")  # over splices, not rows
+    overlap = splices.withColumn("_end", F.max(F.col("start") + F.col("dels")).over(w.rowsBetween(Window.unboundedPreceding, -1))).where(F.col("_end") > F.col("start"))
+    bad = overlap.limit(1).collect()
+    if bad:
+        raise StrataError(Code.INVALID_PARAMETER, f"splices overlap at {bad[0]['start']}")
+    cut = splices.where("dels > 0").select(F.explode(F.sequence(F.col("start"), F.col("start") + F.col("dels") - 1)).alias(idx))
+    values = [c for c in df.columns if c != idx]
+    none = F.lit(0).cast("long")
+    kept = df.join(cut, idx, "left_anti").select(F.col(idx).alias("_at"), F.lit(1).alias("_kind"), none.alias("_seq"), none.alias("_pos"), *values)
+    put = ins.join(splices.select("seq", "start"), "seq").select(F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.col("seq").cast("long").alias("_seq"), F.col("pos").cast("long").alias("_pos"), *values)
+    return with_ordinal(kept.unionByName(put), ["_at", "_kind", "_seq", "_pos"], idx).select(*df.columns)
+
+
 def rows_list_append(df: DataFrame, more: DataFrame, idx: str = "_rid") -> DataFrame:
     return rows_list_splice(df, 2**62, 0, more, idx)
 

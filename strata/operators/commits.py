@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.errors import Code, StrataError
+from strata.runtime import remove_written, written
+
 
 def list_keys(commits: DataFrame) -> DataFrame:
     return commits.select("key").distinct()
@@ -73,20 +76,28 @@ def merge_commits(heads: DataFrame, target: str, ref: str) -> DataFrame:
     return t.join(heads.where(F.col("branch") == ref).select("key", F.col("version").alias("parent2")), "key")
 
 
-def ancestry(commits: DataFrame, start: DataFrame, depth: int | None = None, max_rounds: int = 10_000) -> DataFrame:
-    """key, version, distance of all ancestors of start (key, version), by rounds of joins on the frontier.
+def ancestry(commits: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+    """key, version, distance of all ancestors of start (key, version), start included at 0, none further than `depth`.
 
-    Each round is written to the shared folder, so a long history doesn't make a long plan.
+    Paths double in each round: with the ancestors nearer than 2^k known, and for every commit those just 2^k steps up, one
+    join gives the ancestors nearer than 2^(k+1). So rounds grow with the logarithm of the history's depth. Each round is written
+    to the shared folder, so a long history doesn't make a long plan. A graph with a cycle is an error.
     """
-    from strata.runtime import written
-
-    edges = commits.select("key", "version", F.explode(F.array_compact(F.array("parent1", "parent2"))).alias("parent"))
-    frontier = written(start.select("key", "version").distinct().withColumn("distance", F.lit(0)), "ancestry")
-    seen = frontier
-    for i in range(1, max_rounds if depth is None else depth + 1):
-        nxt = frontier.select("key", "version").join(edges, ["key", "version"]).select("key", F.col("parent").alias("version")).distinct()
-        frontier = written(nxt.join(seen.select("key", "version"), ["key", "version"], "left_anti").withColumn("distance", F.lit(i)), "ancestry")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
+    own = start.select("key").distinct()
+    parents = F.explode(F.array_compact(F.array("parent1", "parent2"))).alias("up")
+    jump = written(commits.select("key", "version", parents).distinct().join(own, "key", "left_semi"), "ancestry")
+    found = written(start.select("key", "version").distinct().withColumn("distance", F.lit(0)), "ancestry")
+    most, step = None, 1
+    while (depth is None or step <= depth) and not jump.isEmpty():
+        most = commits.count() if most is None else most
+        if step > most:
+            raise StrataError(Code.INVALID_PARAMETER, "the commit graph has a cycle")
+        further = found.join(jump, ["key", "version"]).select("key", F.col("up").alias("version"), (F.col("distance") + step).alias("distance"))
+        nearer, longer = found, jump
+        found = written(found.unionByName(further).groupBy("key", "version").agg(F.min("distance").alias("distance")), "ancestry")
+        again = jump.select("key", F.col("version").alias("up"), F.col("up").alias("top"))
+        jump = written(jump.join(again, ["key", "up"]).select("key", "version", F.col("top").alias("up")).distinct(), "ancestry")
+        remove_written(nearer)
+        remove_written(longer)
+        step *= 2
+    return found if depth is None else found.where(F.col("distance") <= depth)

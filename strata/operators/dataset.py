@@ -22,9 +22,12 @@ def with_hash(entries: DataFrame, payload: str = "payload") -> DataFrame:
     return entries.withColumn("hash", content_hash(F.col(payload)))
 
 
-def put_entries(ds: DataFrame, entries: DataFrame) -> DataFrame:
-    """Upsert by entry name."""
-    return ds.join(entries.select("entry"), "entry", "left_anti").unionByName(entries.select(*ds.columns))
+def put_entries(ds: DataFrame, entries: DataFrame, order: str | None = None) -> DataFrame:
+    """Upsert by entry name. Of entries that repeat a name one holds: the last by `order`, without it the greatest row."""
+    rest = [c for c in ds.columns if c != "entry"]
+    last = F.max(F.struct(*([order] if order else []), *rest)).alias("_l")
+    one = entries.groupBy("entry").agg(last).select("entry", *[F.col(f"_l.`{c}`").alias(c) for c in rest])
+    return ds.join(one.select("entry"), "entry", "left_anti").unionByName(one.select(*ds.columns))
 
 
 def delete_entries(ds: DataFrame, names: DataFrame) -> DataFrame:

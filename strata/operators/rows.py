@@ -120,7 +120,9 @@ def delete_where(df: DataFrame, cond: Column) -> DataFrame:
 
 
 def delete_row(df: DataFrame, rid: int) -> DataFrame:
-    """One row removed: later ordinals go down by one, and nothing is sorted."""
+    """One row removed: later ordinals go down by one, and nothing is sorted. An index that no row has is an error."""
+    if rid < 0 or df.where(F.col(RID) == rid).isEmpty():
+        raise StrataError(Code.INDEX_OUT_OF_RANGE, str(rid))
     return df.where(F.col(RID) != rid).withColumn(RID, F.when(F.col(RID) > rid, F.col(RID) - 1).otherwise(F.col(RID)))
 
 

@@ -1,6 +1,6 @@
 """Keyword search: a tokenized inverted index and boolean queries over it.
 
-A query is words, AND, OR, parentheses and `field : word`. Words are runs of ASCII letters and digits, lower-cased. OR is
+A query is words, AND, OR, parentheses and `field : word`. Words are runs of letters and digits of any script, lower-cased. OR is
 the default between words, AND binds more tightly.
 """
 
@@ -9,13 +9,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.errors import Code, StrataError
 
 ALL = "ALL_FIELDS"
-SPLIT = r"[^a-z0-9]+"
+SPLIT = r"[^\p{L}\p{N}]+"
 
 
 def terms(text: Column) -> Column:
@@ -85,7 +86,7 @@ def parse(query: str):
         if peek() == ":":
             take()
             field, t = t, take()
-        words = [w for w in re.split(SPLIT, t.lower()) if w]
+        words = [w for w in regex.split(SPLIT, t.lower()) if w]
         if not words:
             raise StrataError(Code.QUERY_SYNTAX, query)
         return Term(field, words[0]) if len(words) == 1 else Op("and", tuple(Term(field, w) for w in words))
@@ -136,3 +137,16 @@ def search(docs: DataFrame, query: str, entry: str, fields: list[str]) -> DataFr
         return out
 
     return docs.where(test(tree)).select(F.col(entry).alias("entry"))
+
+
+def scored(index: DataFrame, query: str) -> DataFrame:
+    """entry, score of the entries that satisfy the query, the best first: the sum over its words of how rare each is."""
+    own = list(dict.fromkeys(leaves(parse(query))))
+    hit = lambda t: (F.col("field") == t.field) & (F.col("term") == t.word)
+    n = index.agg(F.count_distinct("entry")).first()[0]
+    df = index.agg(*[F.count_if(hit(t)).alias(f"_t{i}") for i, t in enumerate(own)]).first()  # a number per word
+    weight = F.lit(0.0)
+    for i, t in enumerate(own):
+        weight = F.when(hit(t), F.log(F.lit(1 + (n - df[i] + 0.5) / (df[i] + 0.5)))).otherwise(weight)
+    found = index.withColumn("score", weight).where("score > 0").groupBy("entry").agg(F.sum("score").alias("score"))
+    return found.join(search_index(index, query), "entry", "left_semi").orderBy(F.desc("score"), "entry")

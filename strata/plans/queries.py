@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from strata.functions import hashing, text
 from strata.operators import aggregates, align, collections, commits, dataset, diff, merge, rows, search
 from strata.operators.ordinal import with_ordinal
+from strata.plans.objects import BlobObject, MapObject
+from strata.plans.repository import Repository, VersionedDataset
+from strata.runtime import new_path
+from strata.sources import csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,7 +95,7 @@ def scan_column(s, d):
 
 @query("SELECT o_orderkey AS _rid, o_orderstatus FROM orders")
 def get_column(s, d):
-    return table(s, d, "orders").select(F.col("o_orderkey").alias("_rid"), "o_orderstatus")
+    return rows.get_column(table(s, d, "orders").withColumnRenamed("o_orderkey", "_rid"), "o_orderstatus")
 
 
 @query("SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS column_name")
@@ -99,14 +103,10 @@ def get_schema(s, d):
     return s.createDataFrame([(c,) for c in table(s, d, "orders").columns], "column_name string")
 
 
-@query("SELECT 'o_orderstatus' AS column_name, sha256(string_agg(o_orderstatus, '|' ORDER BY o_orderkey)) AS version FROM orders UNION ALL SELECT 'o_orderpriority', sha256(string_agg(o_orderpriority, '|' ORDER BY o_orderkey)) FROM orders")
+@query("""SELECT column_name, sum(('0x' || md5(o_orderkey || '|' || v)[1:13])::HUGEINT)::VARCHAR AS version FROM (SELECT o_orderkey, 'o_orderstatus' AS column_name, o_orderstatus AS v FROM orders
+UNION ALL SELECT o_orderkey, 'o_orderpriority', o_orderpriority FROM orders) GROUP BY column_name""")
 def get_table_columns(s, d):
-    o = table(s, d, "orders")
-    out = None
-    for c in ("o_orderstatus", "o_orderpriority"):
-        one = o.agg(F.sha2(F.expr(f"listagg({c}, '|') WITHIN GROUP (ORDER BY o_orderkey)"), 256).alias("version")).select(F.lit(c).alias("column_name"), "version")
-        out = one if out is None else out.union(one)
-    return out
+    return _column_versions(table(s, d, "orders"), "o_orderkey", ["o_orderstatus", "o_orderpriority"])
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING'")
@@ -125,21 +125,22 @@ def table_size(s, d):
     return table(s, d, "lineitem").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey, list_extract(string_split(p_type, ' '), 2) AS second, list_extract(string_split(p_type, ' '), 10) AS tenth FROM part")
+@query("SELECT p_partkey, list_extract(string_split(p_name, ' '), 2) AS second, list_extract(string_split(p_name, ' '), 1 + p_partkey % 3) AS any FROM part")
 def list_get(s, d):
-    a = F.split("p_type", " ")
-    return table(s, d, "part").select("p_partkey", collections.list_get(a, 1).alias("second"), collections.list_get(a, 9).alias("tenth"))
+    a = F.split("p_name", " ")
+    beyond = F.when(F.col("p_partkey") % 3 == 0, collections.list_get(a, 0)).when(F.col("p_partkey") % 3 == 1, collections.list_get(a, 1)).otherwise(collections.list_get(a, 2))
+    return table(s, d, "part").select("p_partkey", collections.list_get(a, 1).alias("second"), beyond.alias("any"))
 
 
-@query("SELECT p_partkey, p_brand AS brand, CAST(NULL AS VARCHAR) AS missing FROM part")
+@query("SELECT p_partkey, p_brand AS brand, CASE WHEN p_brand = 'Brand#2' THEN p_type END AS type FROM part")
 def map_get(s, d):
-    m = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type"))
-    return table(s, d, "part").select("p_partkey", F.try_element_at(m, F.lit("brand")).alias("brand"), F.try_element_at(m, F.lit("nope")).alias("missing"))
+    m = F.create_map(F.lit("brand"), F.col("p_brand"), F.col("p_brand"), F.col("p_type"))
+    return table(s, d, "part").select("p_partkey", F.try_element_at(m, F.lit("brand")).alias("brand"), F.try_element_at(m, F.lit("Brand#2")).alias("type"))
 
 
-@query("SELECT p_partkey, list_contains(string_split(p_type, ' '), 'STEEL') AS found FROM part")
+@query("SELECT p_partkey, list_contains(string_split(p_name, ' '), 'widget') AS found FROM part")
 def set_contains(s, d):
-    return table(s, d, "part").select("p_partkey", F.array_contains(F.split("p_type", " "), "STEEL").alias("found"))
+    return table(s, d, "part").select("p_partkey", F.array_contains(F.split("p_name", " "), "widget").alias("found"))
 
 
 @query(f"SELECT _rid, p_name, (SELECT count(*) - 10 FROM part) AS more FROM {PART_R} WHERE _rid < 10")
@@ -241,12 +242,78 @@ def map_dual_diff(s, d):
     return diff.dual_diff(orders_a(s, d), orders_b(s, d), ["o_orderkey"], KV)
 
 
-@query(DUAL)
+_stored: dict[tuple[str, str, str], Repository] = {}
+
+
+def stored(s, d, name: str, build: Callable[[Repository], None]) -> Repository:
+    """A repository in the shared folder, built once per application and input: what is stored lasts from one query to the next."""
+    key = (s.sparkContext.applicationId, d, name)
+    if key not in _stored:
+        repo = Repository(s, new_path(s, f"query-{name}"))
+        build(repo)
+        _stored[key] = repo
+    return _stored[key]
+
+
+def _orders_repo(repo: Repository, s, d) -> None:
+    """Orders on master; dev as in ORDERS_B; hot with three rows changed and one gone."""
+    repo.put("orders", orders_a(s, d), keys=["o_orderkey"])
+    repo.branch("orders", "dev", old="master")
+    repo.put("orders", orders_b(s, d), "dev", keys=["o_orderkey"])
+    repo.branch("orders", "hot", old="master")
+    few = orders_a(s, d).where("o_orderkey <> 5").withColumn("o_orderstatus", F.when(F.col("o_orderkey").isin(7, 70, 140), "X").otherwise(F.col("o_orderstatus")))
+    repo.put("orders", few, "hot", keys=["o_orderkey"])
+
+
+def orders_repo(s, d) -> Repository:
+    return stored(s, d, "orders", lambda repo: _orders_repo(repo, s, d))
+
+
+@query(DUAL.replace(ORDERS_B, "(SELECT o_orderkey, CASE WHEN o_orderkey IN (7, 70, 140) THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey <> 5)"))
 def pruned_diff(s, d):
-    a, b = orders_a(s, d), orders_b(s, d)
-    hash_of = lambda t: hashing.bucket_hashes(t, ["o_orderkey"], KV)
-    bucket = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("\x1f", "o_orderkey").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(256))
-    return diff.pruned_dual_diff(a, b, ["o_orderkey"], KV, hash_of(a), hash_of(b), bucket)
+    """Of two stored versions only the segments that differ are read."""
+    return orders_repo(s, d).diff("orders", "master", "hot")
+
+
+@query(DUAL)
+def repository_diff(s, d):
+    return orders_repo(s, d).diff("orders", "master", "dev")
+
+
+@query(f"SELECT * FROM {ORDERS_B}")
+def repository_get(s, d):
+    return orders_repo(s, d).get("orders", "dev")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey IN (3, 10, 77)")
+def repository_lookup(s, d):
+    repo = orders_repo(s, d)
+    return repo.lookup(repo.commit("orders", repo.head("orders", "master"))["data"], s.createDataFrame([(3,), (10,), (77,), (-1,)], "o_orderkey bigint"))
+
+
+@query(f"SELECT 'frame' AS kind, 3::BIGINT AS n_objects, true AS shared, (SELECT 2 * count(*) - 1 FROM orders) + (SELECT count(*) FROM {ORDERS_B}) AS n_rows")
+def repository_storage(s, d):
+    """Kinds, objects, and whether versions share segments; n_rows: of all versions."""
+    repo = orders_repo(s, d)
+    every = repo.segments().agg(F.count("*").alias("listed"), F.sum("n").alias("n_rows"))
+    return repo.storage_info().join(F.broadcast(every)).select("kind", "n_objects", (F.col("n_segments") < F.col("listed")).alias("shared"), "n_rows")  # one row
+
+
+@query("SELECT unnest(['dev', 'hot', 'master']) AS branch, unnest([1, 1, 0]) AS depth")
+def repository_history(s, d):
+    """How far each branch's head is from the first version."""
+    repo = orders_repo(s, d)
+    out = None
+    for b in repo.list_branches("orders"):
+        one = repo.history("orders", repo.head("orders", b)).agg(F.max("distance").alias("depth")).select(F.lit(b).alias("branch"), "depth")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("SELECT unnest(['dev', 'hot', 'master']) AS branch, unnest([true, true, false]) AS latest")
+def repository_is_latest(s, d):
+    repo = orders_repo(s, d)
+    return s.createDataFrame([(b, repo.is_latest("orders", repo.head("orders", b))) for b in repo.list_branches("orders")], "branch string, latest boolean")
 
 
 @query(f"SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders EXCEPT SELECT * FROM {ORDERS_B}")
@@ -259,9 +326,9 @@ def map_intersect(s, d):
     return diff.map_intersect(orders_a(s, d), orders_b(s, d), ["o_orderkey"], KV)
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 400000")
 def set_diff(s, d):
-    return diff.set_diff(table(s, d, "customer").select(F.col("c_custkey").alias("k")), table(s, d, "orders").select(F.col("o_custkey").alias("k")), ["k"])
+    return diff.set_diff(table(s, d, "customer").select(F.col("c_custkey").alias("k")), table(s, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("k")), ["k"])
 
 
 @query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
@@ -372,11 +439,26 @@ def set_merge3(s, d):
     return merge.set_merge3(base, a, b, ["k"])
 
 
-@query("SELECT s_suppkey AS _rid, s_name, s_acctbal + 1 AS s_acctbal FROM supplier")
+def _supplier_repo(repo: Repository, s, d) -> None:
+    """Supplier on master; dev with s_acctbal one higher."""
+    t = repo.table("supplier")
+    t.create(supplier_r(s, d))
+    t.fork("dev").put_column("s_acctbal", supplier_r(s, d).select("_rid", (F.col("s_acctbal") + 1).alias("s_acctbal")))
+
+
+@query(f"SELECT _rid, s_suppkey, s_name, s_nationkey, s_acctbal + 1 AS s_acctbal FROM {SUPP_R}")
 def merge_table(s, d):
-    t = table(s, d, "supplier").select(F.col("s_suppkey").alias("_rid"), "s_name", "s_nationkey", "s_acctbal")
-    ref = t.select("_rid", (F.col("s_acctbal") + 1).alias("s_acctbal"))
-    return rows.drop_column(rows.put_column(t, "s_acctbal", ref), "s_nationkey")
+    def build(repo):
+        _supplier_repo(repo, s, d)
+        repo.table("supplier").merge_column("dev", "s_acctbal")
+
+    return stored(s, d, "merge", build).table("supplier").read()
+
+
+@query("""SELECT p_brand, count(*) AS lhs_n, count(*) FILTER (p_size % 10 <> 3) AS rhs_n FROM part GROUP BY p_brand""")
+def list_align_sizes(s, d):
+    """The stretches of an alignment cover both lists."""
+    return list_align(s, d).groupBy("p_brand").agg(F.sum("lhs_n").alias("lhs_n"), F.sum("rhs_n").alias("rhs_n"))
 
 
 @query()
@@ -404,8 +486,8 @@ _list_query("list_splice", lambda a: collections.list_splice(a, 1, 2, F.array(F.
 _list_query("list_insert", lambda a: collections.list_insert(a, 2, F.array(F.lit("x"))), "a[:2] || ['x'] || a[3:]")
 _list_query("list_delete", lambda a: collections.list_delete(a, 1, 100), "a[:1]")
 _list_query("list_append", lambda a: collections.list_append(a, F.array(F.lit("z"))), "a || ['z']")
-_list_query("set_insert", lambda a: collections.set_insert(a, F.lit("STEEL")), "list_sort(list_distinct(a || ['STEEL']))")
-_list_query("set_remove", lambda a: collections.set_remove(a, F.lit("STEEL")), "list_sort(list_distinct(list_filter(a, lambda x: x <> 'STEEL')))")
+_list_query("set_insert", lambda a: collections.set_insert(a, F.lit("widget")), "list_sort(list_distinct(a || ['widget']))")
+_list_query("set_remove", lambda a: collections.set_remove(a, F.lit("widget")), "list_sort(list_distinct(list_filter(a, lambda x: x <> 'widget')))")
 
 
 def _map_query(name: str, expr, sql: str):
@@ -510,25 +592,112 @@ def delete_rows_eq(s, d):
     return rows.delete_rows(supplier_r(s, d), "s_nationkey", 5).select("_rid", "s_suppkey", "s_name")
 
 
-@query("""SELECT 'supplier::' || c AS key, b AS branch FROM (SELECT unnest(['s_suppkey', 's_name', 's_nationkey', 's_acctbal']) AS c), (SELECT unnest(['master', 'dev']) AS b)""")
+def _tables(s, d) -> Repository:
+    def build(repo):
+        _supplier_repo(repo, s, d)
+        dev = repo.table("supplier", "dev")
+        dev.put_column("extra", supplier_r(s, d).select("_rid", F.lit("x").alias("extra")))
+        repo.table("gone").create(supplier_r(s, d).select("_rid", "s_name").where("_rid < 3"))
+        repo.table("gone").fork("dev")
+        repo.table("gone").drop_all()
+
+    return stored(s, d, "tables", build)
+
+
+@query("SELECT unnest(['supplier', 'supplier', 'gone']) AS name, unnest(['master', 'dev', NULL]) AS branch")
 def branch_table(s, d):
-    cols = table(s, d, "supplier").columns
-    master = s.createDataFrame([(f"supplier::{c}", "master", i) for i, c in enumerate(cols)], "key string, branch string, version long")
-    return commits.fork(master, "master", "dev").select("key", "branch")
+    repo = _tables(s, d)
+    return s.createDataFrame([(n, b) for n in ("supplier", "gone") for b in repo.table(n).branches() or [None]], "name string, branch string")
+
+
+@query("SELECT unnest(['s_name', 'extra', 'nope']) AS name, unnest([true, true, false]) AS anywhere, unnest([true, false, false]) AS on_master, unnest(['dev,master', 'dev', '']) AS branches")
+def exists_column(s, d):
+    t = _tables(s, d).table("supplier")
+    return s.createDataFrame([(c, t.exists_column(c), t.exists_column(c, "master"), ",".join(t.column_branches(c))) for c in ("s_name", "extra", "nope")], "name string, anywhere boolean, on_master boolean, branches string")
 
 
-@query(f"SELECT _rid, s_suppkey::VARCHAR AS s_suppkey, s_name FROM {SUPP_R}")
+@query("SELECT unnest(['supplier', 'gone', 'none']) AS name, unnest([true, false, false]) AS found, unnest([true, true, false]) AS key_lives")
+def delete_table(s, d):
+    """A table whose branches are all deleted is gone; its key and versions stay."""
+    repo = _tables(s, d)
+    return s.createDataFrame([(n, repo.table(n).exists(), repo.exists(n)) for n in ("supplier", "gone", "none")], "name string, found boolean, key_lives boolean")
+
+
+@query(f"SELECT _rid, s_acctbal AS lhs_s_acctbal, s_acctbal + 1 AS rhs_s_acctbal FROM {SUPP_R}")
+def table_diff(s, d):
+    def build(repo):
+        _supplier_repo(repo, s, d)
+
+    return stored(s, d, "table-diff", build).table("supplier").diff("dev").select("_rid", "lhs_s_acctbal", "rhs_s_acctbal")
+
+
+def _csv_folder(s, d) -> str:
+    """Supplier as a CSV folder: header, then name|nation|key lines."""
+    path = new_path(s, "query-csv")
+    csv.dump_table(supplier_r(s, d).drop("s_acctbal"), path)
+    return path
+
+
+@query(f"SELECT _rid, s_suppkey::VARCHAR AS s_suppkey, s_name, s_nationkey::VARCHAR AS s_nationkey FROM {SUPP_R}")
 def load_table(s, d):
-    lines = with_ordinal(table(s, d, "supplier").select(F.col("s_suppkey"), F.concat_ws("|", F.col("s_suppkey").cast("string"), "s_name").alias("line")), ["s_suppkey"])
-    parts = text.split_fields(F.col("line"), "|")
-    return lines.select("_rid", *[F.coalesce(F.try_element_at(parts, F.lit(i + 1)), F.lit("")).alias(c) for i, c in enumerate(("s_suppkey", "s_name"))])
+    return csv.load_table(s, _csv_folder(s, d))
 
 
-@query(f"SELECT _rid, s_name || '|' || s_nationkey || '|' || s_suppkey AS line FROM {SUPP_R}")
+@query(f"SELECT 0 AS line_no, 's_name|s_nationkey|s_suppkey' AS line UNION ALL SELECT _rid + 1, s_name || '|' || s_nationkey || '|' || s_suppkey FROM {SUPP_R}")
 def dump_table(s, d):
-    t = supplier_r(s, d)
-    cols = sorted(("s_suppkey", "s_name", "s_nationkey"))
-    return t.select("_rid", F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("line"))
+    return csv.numbered_lines(s, _csv_folder(s, d)).select("line_no", "line")
+
+
+@query("SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS _rid, l_orderkey, l_linenumber FROM lineitem")
+def ordinals_in_ranges(s, d):
+    """Numbered in ranges, as tables of more than a range's rows are."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
+    return with_ordinal(table(s, d, "lineitem").select(*order), order, rows_per_part=4096).select("_rid", "l_orderkey", "l_linenumber")
+
+
+@query(f"""SELECT row_number() OVER (ORDER BY at, kind, seq, pos) - 1 AS _rid, n_name FROM (
+SELECT _rid AS at, 1 AS kind, 0 AS seq, 0 AS pos, n_name FROM {NATION_R} WHERE _rid NOT IN (2, 3, 10)
+UNION ALL SELECT 2, 0, 0, r_regionkey, r_name FROM region UNION ALL SELECT 7, 0, 2, 0, 'second' UNION ALL SELECT 7, 0, 1, 0, 'first' UNION ALL SELECT 1000, 0, 4, 0, 'end')""")
+def list_multi_splice(s, d):
+    cuts = s.createDataFrame([(0, 2, 2), (1, 7, 0), (2, 7, 0), (3, 10, 1), (4, 1000, 0)], "seq int, start long, dels long")
+    words = s.createDataFrame([(1, 0, "first"), (2, 0, "second"), (4, 0, "end")], "seq int, pos long, n_name string")
+    ins = table(s, d, "region").select(F.lit(0).alias("seq"), F.col("r_regionkey").cast("long").alias("pos"), F.col("r_name").alias("n_name")).unionByName(words)
+    return collections.rows_multi_splice(nation_r(s, d).select("_rid", "n_name"), cuts, ins)
+
+
+@query("""SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY at, p_partkey) - 1 AS _rid, value FROM (SELECT p_brand, 1 AS at, p_partkey, p_name AS value FROM part
+UNION ALL SELECT DISTINCT p_brand, 0, 0, 'b first' FROM part UNION ALL SELECT DISTINCT p_brand, 2, 0, 'a last' FROM part)""")
+def list_merge3(s, d):
+    """Side a has put an element at each list's end, side b one at its start."""
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    base = table(s, d, "part").select("p_brand", (F.row_number().over(w) - 1).cast("long").alias("_rid"), F.col("p_name").alias("value"))
+    a = base.unionByName(base.groupBy("p_brand").agg(F.count("*").alias("_rid")).withColumn("value", F.lit("a last")))
+    b = base.withColumn("_rid", F.col("_rid") + 1).unionByName(base.select("p_brand").distinct().select("p_brand", F.lit(0).cast("long").alias("_rid"), F.lit("b first").alias("value")))
+    return align.merge3(base, a, b, "p_brand")
+
+
+@query("SELECT unnest(['a', 'c', 'd']) AS k, unnest(['9', '3', '4']) AS v")
+def buffered_edit(s, d):
+    """Several edits of a map as one version."""
+    def build(repo):
+        m = MapObject(repo, "m")
+        m.create({"a": "1", "b": "2", "c": "3"})
+        m.edit().set({"a": "5", "d": "4"}).delete("b").set({"a": "9"}).commit()
+
+    return MapObject(stored(s, d, "buffered", build), "m").read().select("k", "v")
+
+
+@query("SELECT sha256('0123456789'[1:3] || 'abc' || '0123456789'[6:] || 'end') AS digest, 14::BIGINT AS n, '2abc5' AS part")
+def blob_object(s, d):
+    def build(repo):
+        b = BlobObject(repo, "b")
+        b.create(b"0123456789", part_bytes=3)
+        b.splice(3, 2, b"abc", part_bytes=3)
+        b.append(b"end")
+
+    b = BlobObject(stored(s, d, "blob", build), "b")
+    whole = b.read().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "data"))), lambda x: x["data"].cast("string")), "").alias("t"))
+    return whole.select(F.sha2("t", 256).alias("digest"), F.length("t").cast("long").alias("n"), F.lit(b.read_range(2, 5).decode()).alias("part"))
 
 
 # --- datasets ------------------------------------------------------------------------------------------------------
@@ -587,10 +756,46 @@ def exists_entry(s, d):
     return dataset.exists_entries(_orders_ds(s, d), names)
 
 
-@query(f"SELECT entry, branch FROM {DS}, (SELECT unnest(['master', 'dev']) AS branch) WHERE branch = 'master' OR o_orderkey % 3 = 0")
+def _dataset_repo(s, d) -> Repository:
+    """Orders as a dataset; dev has every fifth changed and every seventh deleted; another dataset was made and deleted."""
+    def build(repo):
+        ds = repo.dataset("orders")
+        ds.create()
+        rows_ = _orders_ds(s, d)
+        ds.put(rows_.select("entry", "payload"))
+        dev = ds.fork("dev")
+        dev.put(rows_.where("o_orderkey % 5 = 0").select("entry", F.lit("changed").alias("payload")))
+        dev._write(dataset.delete_entries(dev.read(), rows_.where("o_orderkey % 7 = 0").select("entry")))
+        for n in ("gone", "kept"):
+            repo.dataset(n).create()
+        repo.dataset("gone").drop()
+
+    return stored(s, d, "dataset", build)
+
+
+@query(f"SELECT entry, CASE WHEN o_orderkey % 5 = 0 THEN 'changed' ELSE payload END AS payload, o_orderkey % 5 = 0 AS second FROM {DS} WHERE o_orderkey % 7 <> 0")
+def dataset_put(s, d):
+    """second: the entry has a version before."""
+    return _dataset_repo(s, d).dataset("orders", "dev").read().select("entry", "payload", F.col("parent").isNotNull().alias("second"))
+
+
+@query(f"SELECT DISTINCT 'orders' AS name, entry, CASE WHEN o_orderkey % 7 <> 0 THEN 'dev,master' ELSE 'master' END AS branches FROM {DS} WHERE o_orderkey IN (7, 8) UNION ALL SELECT 'orders', 'nope', ''")
 def entry_branches(s, d):
-    ds = _orders_ds(s, d)
-    return ds.select("entry", F.lit("master").alias("branch")).union(ds.where("o_orderkey % 3 = 0").select("entry", F.lit("dev"))).select("entry", "branch").distinct()
+    ds = _dataset_repo(s, d).dataset("orders")
+    names = [r[0] for r in _orders_ds(s, d).where("o_orderkey IN (7, 8)").select("entry").distinct().collect()] + ["nope"]
+    return s.createDataFrame([("orders", n, ",".join(ds.entry_branches(n))) for n in names], "name string, entry string, branches string")
+
+
+@query("SELECT unnest(['kept', 'orders']) AS name, unnest([1, 2]) AS n_branches")
+def list_dataset(s, d):
+    repo = _dataset_repo(s, d)
+    return s.createDataFrame([(n, len(repo.dataset(n).branches())) for n in VersionedDataset.names(repo)], "name string, n_branches int")
+
+
+@query(f"SELECT pos, payload FROM (SELECT entry, payload, o_orderkey AS pos FROM {DS} WHERE o_orderkey IN (1, 2, 3))")
+def dataset_select(s, d):
+    names = [r[0] for r in _orders_ds(s, d).where("o_orderkey IN (1, 2, 3)").orderBy("o_orderkey").select("entry").collect()]
+    return _dataset_repo(s, d).dataset("orders").select(names).select((F.col("pos") + 1).alias("pos"), "payload")
 
 
 @query(f"SELECT entry, sha256(payload)[1:40] AS version, payload FROM {DS}")
@@ -609,11 +814,11 @@ def select_entries(s, d):
     return dataset.select_entries(ds.select("entry", "payload"), named, check=False).select("pos", "entry", "payload")
 
 
-@query("SELECT unnest(['ds', '$ds']) AS key, unnest(['dev', 'dev']) AS branch UNION ALL SELECT unnest(['ds', '$ds', 'ds::1']), 'master'")
+@query(f"""SELECT l.entry, l.payload AS lhs, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'changed' END AS rhs FROM {DS} l WHERE o_orderkey % 7 = 0 OR o_orderkey % 5 = 0""")
 def branch_dataset(s, d):
-    h = s.createDataFrame([("ds", "master", 1), ("$ds", "master", 2), ("ds::1", "master", 3)], "key string, branch string, version int")
-    own = h.where("NOT key LIKE '%::%'")
-    return commits.fork(own, "master", "dev").union(h.where("key LIKE '%::%'")).select("key", "branch")
+    """What a branch of the dataset has changed since it was made, read from the segments that differ."""
+    repo = _dataset_repo(s, d)
+    return repo.diff("orders", "master", "dev").select("entry", F.col("lhs_payload").alias("lhs"), F.col("rhs_payload").alias("rhs"))
 
 
 @query(f"SELECT row_number() OVER (ORDER BY entry) - 1 AS line_no, payload FROM {DS}")
@@ -658,6 +863,13 @@ def histogram(s, d):
     return aggregates.histogram(s, 10, 1000, 0.3)
 
 
+@query("SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, true AS whole FROM documents")
+def chunk_bytes(s, d):
+    """The chunks of a text, in order, are the text: their bytes add up, and their numbers run from 0."""
+    c = hashing.chunks(table(s, d, "documents"), "text", "doc_id").groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"), (F.max("chunk_no") == F.count("*") - 1).alias("whole"))
+    return c
+
+
 @query()
 def chunk_dedup(s, d):
     c = hashing.chunks(table(s, d, "documents"), "text", "doc_id")
@@ -681,14 +893,30 @@ def inverted_index(s, d):
     return search.inverted_index(table(s, d, "part"), "p_partkey", FIELDS)
 
 
-@query(f"{_has('steel')} UNION {_has('tin')}")
+@query(f"{_has('widget')} UNION {_has('bolt')}")
 def search_or(s, d):
-    return search.search(table(s, d, "part"), "steel OR tin", "p_partkey", FIELDS)
+    return search.search(table(s, d, "part"), "widget OR bolt", "p_partkey", FIELDS)
 
 
-@query(f"{_has('steel')} INTERSECT {_has('large')}")
+@query(f"{_has('widget')} INTERSECT {_has('large')}")
 def search_and(s, d):
-    return search.search_index(search.inverted_index(table(s, d, "part"), "p_partkey", FIELDS), "steel AND large")
+    return search.search_index(search.inverted_index(table(s, d, "part"), "p_partkey", FIELDS), "widget AND large")
+
+
+@query(f"{_has('widget')} EXCEPT SELECT p_partkey FROM part WHERE p_partkey % 3 = 0 UNION SELECT p_partkey FROM part WHERE p_partkey % 3 = 1")
+def stored_index(s, d):
+    """A stored index brought up to date: every third entry lost the word, every third got it."""
+    def build(repo):
+        ds = repo.dataset("part")
+        ds.create()
+        repo.set_meta("part", "master", {"SCHEMA": "key,name"})
+        p = table(s, d, "part").select(F.col("p_partkey").cast("string").alias("entry"), F.col("p_partkey").alias("n"), F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name").alias("payload"))
+        ds.put(p.select("entry", "payload"))
+        ds.index()
+        ds.put(p.where("n % 3 = 0").select("entry", F.concat(F.col("entry"), F.lit(",plain")).alias("payload")))
+        ds.put(p.where("n % 3 = 1").select("entry", F.concat(F.col("entry"), F.lit(",blue widget")).alias("payload")))
+
+    return stored(s, d, "index", build).dataset("part").search("widget").select(F.col("entry").cast("long").alias("entry"))
 
 
 @query(_has("12", "p_brand"))
@@ -696,9 +924,9 @@ def search_field(s, d):
     return search.search(table(s, d, "part"), "p_brand : 12", "p_partkey", FIELDS)
 
 
-@query(f"SELECT l_orderkey, l_linenumber, l_partkey AS entry, l_quantity FROM lineitem WHERE l_partkey IN ({_has('steel')})")
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey AS entry, l_quantity FROM lineitem WHERE l_partkey IN ({_has('widget')})")
 def query_join(s, d):
-    names = search.search(table(s, d, "part"), "steel", "p_partkey", FIELDS)
+    names = search.search(table(s, d, "part"), "widget", "p_partkey", FIELDS)
     li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("entry"), "l_quantity")
     return dataset.join_by_entries(names, li)[0]
 
@@ -716,9 +944,9 @@ def tokenize(s, d):
     return table(s, d, "events").select("event_id", F.array_join(text.tokenize(F.col("props"), '{}": '), "_").alias("tokens"))
 
 
-@query("SELECT p_partkey, list_extract(string_split(p_type, ' '), 3) AS c, list_extract(string_split(p_type, ' '), 1) AS a FROM part")
+@query("SELECT p_partkey, list_extract(string_split(p_name, ' '), 2) AS c, list_extract(string_split(p_name, ' '), 1) AS a FROM part")
 def extract_elements(s, d):
-    e = text.extract_elements(F.split("p_type", " "), [2, 0])
+    e = text.extract_elements(F.split("p_name", " "), [1, 0])
     return table(s, d, "part").select("p_partkey", e[0].alias("c"), e[1].alias("a"))
 
 
@@ -745,7 +973,9 @@ def content_hash(s, d):
     return table(s, d, "documents").select("doc_id", hashing.content_hash(F.col("text")).alias("digest"))
 
 
-@query()
+@query("""SELECT doc_id, array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda b:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (g * 5 + 1)::INT, 5))::BIGINT) >> b) & 31)::INT + 1, 1)), '')), '') AS version
+  FROM (SELECT doc_id, sha256(strlen(text) || ':' || text)[1:40] AS h FROM documents)""")
 def content_version(s, d):
     return table(s, d, "documents").select("doc_id", hashing.base32(hashing.content_hash(F.col("text"))).alias("version"))
 

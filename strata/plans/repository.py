@@ -1,27 +1,37 @@
 """A repository of versioned objects: commits, branch heads and metadata in small Parquet tables, contents in immutable Parquet.
 
-root/objects/<hash>   contents, named by what they hold (or by a fresh id); never rewritten
+root/objects/<hash>   a manifest of the contents, named by what they hold: a row per segment (bucket of the keys), with its hash sums,
+                      rows, bytes and where it lies
+root/segments/<id>    the rows of the segments that one put has written, a folder for each; never rewritten
 root/commits          one row per commit: key, version, kind, data, ctx, parent1, parent2, seq
 root/heads            one row per move of a head: key, branch, version (null: deleted), seq
 root/meta             object, branch, k, v, seq
 
+A put writes the segments alone that its parent hasn't, and a diff reads those alone that differ: a row is in the same bucket in
+every version, and a bucket's hash sums say what it holds. The number of buckets follows the number of rows.
+
 Tables of commits and heads are appended to, a file per operation, and read with the filters pushed down; a head is the
-last row of its branch. Data are written before the commit, the commit before the head, so a failure leaves at most an
+last row of its branch. They are rewritten as one file each when files grow many. Data are written before the commit, the commit before the head, so a failure leaves at most an
 unreferenced object. One writer per repository is assumed, as for a single catalog process.
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strata.errors import Code, StrataError
-from strata.functions.hashing import NULL_VERSION, bucket_hashes, version_of
+from strata.functions.hashing import NULL_VERSION, bucket_of, bucket_sums, content_hash, version_of
+from strata.functions.text import split_fields
 from strata.operators import commits as graph
+from strata.operators import dataset as ops
 from strata.operators import diff as diff_ops
 from strata.operators import merge as merge_ops
 from strata.operators import rows as row_ops
@@ -31,27 +41,65 @@ from strata.sources import csv
 COMMITS = "key string, version string, kind string, data string, ctx string, parent1 string, parent2 string, seq long"
 HEADS = "key string, branch string, version string, seq long"
 META = "object string, branch string, k string, v string, seq long"
+LOG = "at long, op string, key string, branch string, version string, seq long"
+MANIFEST = "bucket int, n long, s1 string, s2 string, bytes long, path string"
 MASTER = "master"
+FINE = 65536  # the most buckets of an object; hash sums are taken at this grain and added up for fewer
+LEAST_ROWS, ROWS_PER_BUCKET, ROWS_PER_FILE = 1024, 1 << 16, 1 << 22
+
+
+@dataclass
+class Manifest:
+    """Where an object lies: its columns and keys, and its segments by bucket."""
+
+    schema: dict
+    keys: list[str]
+    buckets: int
+    segments: dict
 
 
 class Repository:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, most_files: int = 256):
         self.spark, self.root = spark, root.rstrip("/")
+        self.most_files = most_files
         self._seq = time.time_ns()
 
     # --- tables of the catalog -------------------------------------------------------------------------------------
 
     def _table(self, name: str, schema: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            return self.spark.createDataFrame([], schema)
+        if not self._there(path):
+            if not self._there(f"{path}.old"):
+                return self.spark.createDataFrame([], schema)
+            path = f"{path}.old"  # a compaction was cut off between its renames
         return self.spark.read.schema(schema).parquet(path)
 
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _there(self, path: str) -> bool:
+        fs, p = self._fs(path)
+        return fs.exists(p)
+
     def _append(self, name: str, schema: str, rows: list[tuple]) -> None:
         self._seq = max(self._seq + 1, time.time_ns())
-        self.spark.createDataFrame([(*r, self._seq) for r in rows], schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
+        path = f"{self.root}/{name}"
+        self.spark.createDataFrame([(*r, self._seq) for r in rows], schema).coalesce(1).write.mode("append").parquet(path)
+        fs, p = self._fs(path)
+        if len(fs.listStatus(p)) > self.most_files:
+            self.compact(name, schema)
+
+    def compact(self, name: str, schema: str) -> None:
+        """A table of the catalog as one file. The old folder goes when the new one is whole."""
+        path = f"{self.root}/{name}"
+        self._table(name, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}.new")
+        fs, p = self._fs(path)
+        path_of = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs.delete(path_of(f"{path}.old"), True)
+        fs.rename(p, path_of(f"{path}.old"))
+        fs.rename(path_of(f"{path}.new"), p)
+        fs.delete(path_of(f"{path}.old"), True)
 
     def commits(self) -> DataFrame:
         return self._table("commits", COMMITS).dropDuplicates(["key", "version"])
@@ -130,30 +178,88 @@ class Repository:
 
     # --- values ----------------------------------------------------------------------------------------------------
 
-    def put_unkeyed(self, df: DataFrame) -> str:
-        """Contents without a commit; the id to get them by."""
-        name = uuid.uuid4().hex
-        df.write.parquet(f"{self.root}/objects/{name}")
-        return name
+    def put_unkeyed(self, df: DataFrame, keys: list[str] | None = None) -> str:
+        """Contents without a commit; their digest, to get them by. Without keys, all columns make the buckets."""
+        return self._store_frame(df, keys or df.columns, None)
 
-    def get_unkeyed(self, data: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/objects/{data}")
+    def manifest(self, data: str) -> Manifest:
+        if not self._there(f"{self.root}/objects/{data}/_SUCCESS"):
+            raise StrataError(Code.CHUNK_NOT_EXISTS, data)
+        rows = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/objects/{data}").collect()  # a row per segment
+        about = json.loads(next(r["path"] for r in rows if r["bucket"] < 0))
+        return Manifest(about["schema"], about["keys"], about["buckets"], {r["bucket"]: r for r in rows if r["bucket"] >= 0})
 
-    def _content_id(self, df: DataFrame, keys: list[str]) -> str:
-        """A digest of bucket digests, whatever files hold the rows."""
-        values = sorted(c for c in df.columns if c not in keys)
-        parts = bucket_hashes(df, keys, values).orderBy("bucket").collect()  # one row per bucket
-        return version_of(("|".join([*keys, "/", *values]) + "".join(f"{r['bucket']}:{r['hash']}" for r in parts)).encode())
+    def _read(self, m: Manifest, buckets: Iterable[int] | None = None) -> DataFrame:
+        """The rows of an object, or of those of its segments."""
+        schema = StructType.fromJson(m.schema)
+        paths = [f"{self.root}/segments/{s['path']}" for b, s in m.segments.items() if buckets is None or b in buckets]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _store(self, value: DataFrame | str, keys: list[str] | None) -> tuple[str, str]:
+    def get_unkeyed(self, data: str) -> DataFrame:
+        return self._read(self.manifest(data))
+
+    def get_segment(self, data: str, bucket: int) -> DataFrame:
+        """One stored segment of an object."""
+        m = self.manifest(data)
+        if bucket not in m.segments:
+            raise StrataError(Code.CHUNK_NOT_EXISTS, f"{data}/{bucket}")
+        return self._read(m, {bucket})
+
+    def lookup(self, data: str, keys: DataFrame) -> DataFrame:
+        """The rows of an object whose keys are among those of `keys` (a few rows); only their segments are read."""
+        m = self.manifest(data)
+        hit = {r[0] for r in keys.select(bucket_of(m.keys, m.buckets)).distinct().limit(m.buckets).collect()}
+        return self._read(m, hit).join(keys.select(*m.keys).distinct(), m.keys, "left_semi")
+
+    def _store_frame(self, df: DataFrame, keys: list[str], parent: str | None) -> str:
+        """Writes the segments that the parent lacks, then the manifest. Equal contents have one digest, however many buckets they lie in."""
+        values = sorted(c for c in df.columns if c not in keys)
+        df = df.select(*[f"`{c}`" for c in [*keys, *values]])
+        fine = {r["bucket"]: (r["n"], int(r["s1"]), int(r["s2"])) for r in bucket_sums(df, keys, values, FINE).collect()}  # a row per bucket, FINE at most
+        total = [sum(v[i] for v in fine.values()) for i in range(3)]  # python's whole numbers have no bound
+        schema = df.schema.json()
+        columns = [f"{f.name}:{f.dataType.simpleString()}" for f in df.schema]
+        data = version_of("|".join([",".join(keys), *columns, *map(str, total)]).encode())
+        if self._there(f"{self.root}/objects/{data}/_SUCCESS"):
+            return data
+        old = self.manifest(parent) if parent else None
+        buckets = 1 if total[0] <= LEAST_ROWS else next((b for b in (16, 256, 4096) if total[0] <= b * ROWS_PER_BUCKET), FINE)
+        if old and (json.dumps(old.schema) != json.dumps(json.loads(schema)) or old.keys != keys):
+            old = None
+        if old and buckets > 1 and buckets // 16 <= old.buckets <= buckets * 16:
+            buckets = old.buckets
+        sums: dict[int, list[int]] = {}
+        for b, v in fine.items():
+            at = sums.setdefault(b % buckets, [0, 0, 0])
+            for i in range(3):
+                at[i] += v[i]
+        same = old.segments if old and old.buckets == buckets else {}
+        kept = {b: same[b] for b, v in sums.items() if b in same and [same[b]["n"], int(same[b]["s1"]), int(same[b]["s2"])] == v}
+        fresh = sorted(set(sums) - set(kept))
+        put = uuid.uuid4().hex
+        if fresh:
+            rows = df.withColumn("_bucket", bucket_of(keys, buckets))
+            if kept:
+                rows = rows.join(F.broadcast(self.spark.createDataFrame([(b,) for b in fresh], "_bucket int")), "_bucket", "left_semi")  # FINE rows at most
+            big = F.floor(F.rand(3) * F.lit(max(1, -(-total[0] // (buckets * ROWS_PER_FILE))))).cast("int")
+            rows.repartition("_bucket", big).write.partitionBy("_bucket").parquet(f"{self.root}/segments/{put}")
+        fs, _ = self._fs(self.root)
+        path_of = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        size = lambda b: fs.getContentSummary(path_of(f"{self.root}/segments/{put}/_bucket={b}")).getLength()
+        lines = [(-1, 0, "0", "0", 0, json.dumps({"schema": json.loads(schema), "keys": keys, "buckets": buckets}))]
+        lines += [(b, s["n"], s["s1"], s["s2"], s["bytes"], s["path"]) for b, s in kept.items()]
+        lines += [(b, sums[b][0], str(sums[b][1]), str(sums[b][2]), size(b), f"{put}/_bucket={b}") for b in fresh]
+        self.spark.createDataFrame(lines, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/objects/{data}")
+        return data
+
+    def _store(self, value: DataFrame | str, keys: list[str] | None, before: str | None = None) -> tuple[str, str]:
         if isinstance(value, str):
             return "string", value
-        data = self._content_id(value, keys) if keys else uuid.uuid4().hex
-        path = f"{self.root}/objects/{data}"
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            value.write.mode("overwrite").parquet(path)
-        return "frame", data
+        parent = None
+        if before and before != NULL_VERSION:
+            row = self.commits().where(F.col("version") == before).first()
+            parent = row["data"] if row and row["kind"] == "frame" else None
+        return "frame", self._store_frame(value, keys or value.columns, parent)
 
     def _commit(self, key: str, kind: str, data: str, ctx: str, parents: list[str]) -> str:
         two = (parents + [NULL_VERSION, NULL_VERSION])[:2]
@@ -169,7 +275,7 @@ class Repository:
             except StrataError:
                 raise StrataError(Code.REFERRING_VERSION_NOT_EXISTS, parent) from None
         before = parent if parent is not None else self._head(key, branch) or NULL_VERSION
-        kind, data = self._store(value, keys)
+        kind, data = self._store(value, keys, before)
         version = self._commit(key, kind, data, ctx, [before])
         if parent is None:
             self._append("heads", HEADS, [(key, branch, version)])
@@ -181,14 +287,14 @@ class Repository:
         b = self.head(key, ref) if ref is not None else self.commit(key, ref_version)["version"]
         if value is None:
             value = self._auto(key, a, b, keys or [])
-        kind, data = self._store(value, keys)
+        kind, data = self._store(value, keys, a)
         version = self._commit(key, kind, data, ctx, [a, b])
         self._append("heads", HEADS, [(key, target, version)])
         return version
 
-    def merge_versions(self, key: str, value: DataFrame | str, a: str, b: str, ctx: str = "") -> str:
+    def merge_versions(self, key: str, value: DataFrame | str, a: str, b: str, ctx: str = "", keys: list[str] | None = None) -> str:
         self.commit(key, a), self.commit(key, b)
-        kind, data = self._store(value, None)
+        kind, data = self._store(value, keys, a)
         return self._commit(key, kind, data, ctx, [a, b])
 
     def base(self, key: str, a: str, b: str) -> str | None:
@@ -212,13 +318,21 @@ class Repository:
         c = self.commit(key, version if version is not None else self.head(key, branch))
         return c["data"] if c["kind"] == "string" else self.get_unkeyed(c["data"])
 
-    def diff(self, key: str, lhs: str, rhs: str, keys: list[str]) -> DataFrame:
-        """What differs between the heads of two branches; nothing is read if both hold the same contents."""
-        a, b = (self.commit(key, self.head(key, x)) for x in (lhs, rhs))
-        left, right = self.get_unkeyed(a["data"]), self.get_unkeyed(b["data"])
-        values = [c for c in left.columns if c not in keys]
-        out = diff_ops.dual_diff(left, right, keys, values)
-        return out.limit(0) if a["data"] == b["data"] else out
+    def diff_versions(self, key: str, lhs: str, rhs: str, keys: list[str] | None = None) -> DataFrame:
+        """What differs between two versions: of segments of equal hash sums nothing is read."""
+        a, b = (self.commit(key, v)["data"] for v in (lhs, rhs))
+        x, y = self.manifest(a), self.manifest(b)
+        keys = keys or x.keys
+        changed = None
+        if x.keys == y.keys == keys and x.schema == y.schema and x.buckets == y.buckets:
+            sums = lambda m, k: [m.segments[k][c] for c in ("n", "s1", "s2")] if k in m.segments else None
+            changed = {k for k in x.segments.keys() | y.segments.keys() if sums(x, k) != sums(y, k)}
+        left, right = self._read(x, changed), self._read(y, changed)
+        return diff_ops.dual_diff(left, right, keys, [c for c in left.columns if c not in keys])
+
+    def diff(self, key: str, lhs: str, rhs: str, keys: list[str] | None = None) -> DataFrame:
+        """What differs between the heads of two branches."""
+        return self.diff_versions(key, self.head(key, lhs), self.head(key, rhs), keys)
 
     # --- metadata --------------------------------------------------------------------------------------------------
 
@@ -230,9 +344,45 @@ class Repository:
         last = rows.groupBy("k").agg(F.max(F.struct("seq", "v")).alias("_l")).select("k", "_l.v").where("v IS NOT NULL")
         return {r["k"]: r["v"] for r in last.collect()}
 
+    def exists_meta(self, obj: str, branch: str) -> bool:
+        return bool(self.meta(obj, branch))
+
+    def branch_meta(self, obj: str, old: str, new: str) -> None:
+        """The metadata of one branch copied to another that has none."""
+        if self.exists_meta(obj, new):
+            raise StrataError(Code.BRANCH_EXISTS, new)
+        if values := self.meta(obj, old):
+            self.set_meta(obj, new, values)
+
+    def delete_meta(self, obj: str, branch: str, *names: str) -> None:
+        """Some values, or without names all, of a branch's metadata."""
+        have = self.meta(obj, branch)
+        if gone := {k: None for k in (names or have) if k in have}:
+            self.set_meta(obj, branch, gone)
+
+    def log(self, rows: list[tuple[str, str, str, str]]) -> None:
+        """Adds (operation, key, branch, version) to the access log; keys of inner objects (with ::) are left out."""
+        if kept := [(int(time.time()), *r) for r in rows if "::" not in r[1]]:
+            self._append("log", LOG, kept)
+
+    def access_log(self) -> DataFrame:
+        return self._table("log", LOG).orderBy("seq")
+
+    def segments(self) -> DataFrame:
+        """data, bucket, n, bytes, path: the segments of every stored object; one that several share is in each."""
+        if not self._there(f"{self.root}/objects"):
+            return self.spark.createDataFrame([], "data string, bucket int, n long, bytes long, path string")
+        at = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/objects/*").where("bucket >= 0").select(at.alias("data"), "bucket", "n", "bytes", "path")
+
     def storage_info(self) -> DataFrame:
-        """kind, n_objects of the commits, each stored object once."""
-        return self.commits().groupBy("kind").agg(F.count_distinct("data").alias("n_objects"))
+        """kind, n_objects, n_segments, n_bytes: of the commits, each stored object, segment and string once."""
+        once = self.commits().select("kind", "data").distinct()
+        parts = once.where("kind = 'frame'").join(self.segments(), "data", "left").select("kind", "data", "path", "bytes")
+        parts = parts.unionByName(once.where("kind = 'string'").select("kind", "data", F.col("data").alias("path"), F.octet_length("data").cast("long").alias("bytes")))
+        objects = parts.groupBy("kind").agg(F.count_distinct("data").alias("n_objects"))
+        stored = parts.where("path IS NOT NULL").dropDuplicates(["kind", "path"]).groupBy("kind").agg(F.count("*").alias("n_segments"), F.sum("bytes").alias("n_bytes"))
+        return objects.join(stored, "kind", "left").na.fill(0)
 
     def table(self, name: str, branch: str = MASTER) -> VersionedTable:
         return VersionedTable(self, name, branch)
@@ -274,6 +424,31 @@ class VersionedTable:
         self.repo.branch(self.name, new, old=self.branch)
         return VersionedTable(self.repo, self.name, new)
 
+    def exists(self, branch: str | None = None) -> bool:
+        """Whether the table is on a branch, or on any."""
+        return branch in self.branches() if branch is not None else bool(self.branches())
+
+    def branches(self) -> list[str]:
+        return self.repo.list_branches(self.name)
+
+    def column_branches(self, col: str) -> list[str]:
+        """Branches whose table has the column."""
+        return [b for b in self.branches() if col in VersionedTable(self.repo, self.name, b).schema()]
+
+    def exists_column(self, col: str, branch: str | None = None) -> bool:
+        return branch in self.column_branches(col) if branch is not None else bool(self.column_branches(col))
+
+    def drop(self) -> None:
+        """The table's branch; its versions stay."""
+        self.repo.delete_branch(self.name, self.branch)
+
+    def drop_all(self) -> int:
+        """All branches, if there are any; their number."""
+        found = self.branches()
+        for b in found:
+            self.repo.delete_branch(self.name, b)
+        return len(found)
+
     def schema(self) -> set[str]:
         return set(self.read().columns) - {"_rid"}
 
@@ -322,34 +497,97 @@ class VersionedTable:
         return self.repo.merge(self.name, self.branch, merged, ref=ref, keys=["_rid"])
 
 
+DATASETS = "__DATASET_LIST__"
+ENTRY = "entry string, payload string, hash string, version string, parent string"
+
+
 class VersionedDataset:
-    """Entries of a repository on one branch: (entry, payload, hash). Entries are immutable; a branch copies none."""
+    """Entries of a repository on one branch. Entries are immutable: a put gives an entry a new version, whose parent is the one before.
+
+    version is a digest of the name, the content hash and the parent. A branch copies no entries.
+    """
 
     def __init__(self, repo: Repository, name: str, branch: str):
         self.repo, self.name, self.branch = repo, name, branch
 
+    @staticmethod
+    def names(repo: Repository) -> list[str]:
+        """All datasets, in byte order."""
+        return sorted(repo.meta(DATASETS, MASTER), key=str.encode)
+
+    def exists(self, branch: str | None = None) -> bool:
+        return branch in self.branches() if branch is not None else bool(self.branches())
+
+    def branches(self) -> list[str]:
+        return self.repo.list_branches(self.name)
+
     def create(self) -> str:
         if self.repo._head(self.name, self.branch) is not None:
             raise StrataError(Code.BRANCH_EXISTS, self.branch)
         self.repo.set_meta(self.name, self.branch, {"TYPE": "Dataset"})
-        return self.repo.put(self.name, self.repo.spark.createDataFrame([], "entry string, payload string, hash string"), self.branch, keys=["entry"])
+        self.repo.set_meta(DATASETS, MASTER, {self.name: "1"})
+        return self.repo.put(self.name, self.repo.spark.createDataFrame([], ENTRY), self.branch, keys=["entry"])
+
+    def drop(self) -> None:
+        """The dataset's branch; with the last one the dataset leaves the list."""
+        self.repo.delete_branch(self.name, self.branch)
+        self.repo.delete_meta(self.name, self.branch)
+        if not self.branches():
+            self.repo.delete_meta(DATASETS, MASTER, self.name)
 
     def read(self) -> DataFrame:
         return self.repo.get(self.name, self.branch)
 
     def fork(self, new: str) -> VersionedDataset:
         self.repo.branch(self.name, new, old=self.branch)
-        self.repo.set_meta(self.name, new, self.repo.meta(self.name, self.branch))
+        self.repo.branch_meta(self.name, self.branch, new)
         return VersionedDataset(self.repo, self.name, new)
 
+    def _write(self, entries: DataFrame) -> str:
+        return self.repo.put(self.name, entries, self.branch, keys=["entry"])
+
     def put(self, entries: DataFrame) -> str:
-        from strata.operators import dataset as ops
+        """Entries (entry, payload) put in or given a new version; of a name that is repeated the greatest payload holds."""
+        old = self.read()
+        one = ops.with_hash(entries.groupBy("entry").agg(F.max("payload").alias("payload")))
+        before = old.select("entry", F.col("version").alias("parent"))
+        fresh = one.join(before, "entry", "left").withColumn("version", content_hash(F.col("entry"), F.col("hash"), F.col("parent")))
+        return self._write(ops.put_entries(old, fresh.select(*old.columns)))
+
+    def get_entry(self, entry: str) -> dict:
+        data = self.repo.commit(self.name, self.repo.head(self.name, self.branch))["data"]
+        row = self.repo.lookup(data, self.repo.spark.createDataFrame([(entry,)], "entry string")).first()
+        if row is None:
+            raise StrataError(Code.ENTRY_NOT_EXISTS, entry)
+        return row.asDict()
+
+    def exists_entry(self, entry: str, branch: str | None = None) -> bool:
+        """Whether a branch, or any, has the entry."""
+        at = self.entry_branches(entry)
+        return branch in at if branch is not None else bool(at)
+
+    def entry_branches(self, entry: str) -> list[str]:
+        out = []
+        for b in self.branches():
+            try:
+                VersionedDataset(self.repo, self.name, b).get_entry(entry)
+                out.append(b)
+            except StrataError as e:
+                if e.code is not Code.ENTRY_NOT_EXISTS:
+                    raise
+        return out
+
+    def list_entries(self) -> DataFrame:
+        return self.read().select("entry", "version")
 
-        fresh = ops.with_hash(entries.select("entry", "payload"))
-        return self.repo.put(self.name, ops.put_entries(self.read(), fresh), self.branch, keys=["entry"])
+    def select(self, names: list[str], check: bool = True) -> DataFrame:
+        """Entries in the order of names; one that isn't there is an error, or left out without `check`."""
+        wanted = self.repo.spark.createDataFrame(list(enumerate(names)), "pos int, entry string")
+        return ops.select_entries(self.read(), wanted, check)
 
     def delete(self, *names: str) -> str:
-        return self.repo.put(self.name, self.read().where(~F.col("entry").isin(list(names))), self.branch, keys=["entry"])
+        """Entries taken out; names that aren't there are left alone."""
+        return self._write(ops.delete_entries(self.read(), self.repo.spark.createDataFrame([(n,) for n in names], "entry string")))
 
     def load_csv(self, path: str, positions: list[int], with_schema: bool = False, indexed: bool = False) -> int:
         entries, schema, n = csv.load_dataset(self.repo.spark, path, positions, with_schema, indexed)
@@ -366,26 +604,54 @@ class VersionedDataset:
             raise StrataError(Code.SCHEMA_NOT_FOUND, self.name)
         return found
 
+    def name_indices(self) -> list[int]:
+        found = self.repo.meta(self.name, self.branch).get("ENTRY NAME INDICES")
+        if found is None:
+            raise StrataError(Code.SCHEMA_NOT_FOUND, self.name)
+        return [int(x) for x in found.split(",") if x]
+
     def export(self, path: str) -> dict[str, int]:
         return csv.export_dataset(self.read(), path, self.repo.meta(self.name, self.branch).get("SCHEMA"))
 
     def diff(self, other: VersionedDataset) -> DataFrame:
-        from strata.operators import dataset as ops
-
         return ops.diff_dataset(self.read(), other.read())
 
-    def fields(self) -> DataFrame:
+    def fields(self, entries: DataFrame | None = None) -> DataFrame:
         """entry and one column per field of the schema."""
-        from strata.functions.text import split_fields
-
         parts = split_fields(F.col("payload"))
-        return self.read().select("entry", *[F.coalesce(F.try_element_at(parts, F.lit(i + 1)), F.lit("")).alias(c) for i, c in enumerate(self.schema().split(","))])
+        rows = self.read() if entries is None else entries
+        return rows.select("entry", *[F.coalesce(F.try_element_at(parts, F.lit(i + 1)), F.lit("")).alias(c) for i, c in enumerate(self.schema().split(","))])
+
+    def index(self) -> DataFrame:
+        """The keyword index (entry, field, term), stored beside the dataset and brought up to its head first.
+
+        Only entries that differ between the version indexed last and the head are taken out and put in again.
+        """
+        head, key = self.repo.head(self.name, self.branch), f"{self.name}::index"
+        about = self.repo.meta(key, self.branch)
+        if about.get("VERSION") == head and about.get("SCHEMA") == self.schema():
+            return self.repo.get(key, self.branch)
+        columns, before = self.schema().split(","), about.get("VERSION")
+        if before is None or about.get("SCHEMA") != self.schema() or self.repo._head(key, self.branch) is None:
+            fresh = search_ops.inverted_index(self.fields(), "entry", columns)
+        else:
+            changed = self.repo.diff_versions(self.name, before, head).select("entry")
+            rows = self.read().join(changed, "entry", "left_semi")
+            fresh = self.repo.get(key, self.branch).join(changed, "entry", "left_anti").unionByName(search_ops.inverted_index(self.fields(rows), "entry", columns))
+        self.repo.put(key, fresh, self.branch, keys=["entry", "field", "term"])
+        self.repo.set_meta(key, self.branch, {"VERSION": head, "SCHEMA": self.schema()})
+        return self.repo.get(key, self.branch)
 
     def search(self, query: str) -> DataFrame:
-        """Entries that satisfy a keyword query."""
-        return search_ops.search(self.fields(), query, "entry", self.schema().split(","))
+        """Entries that satisfy a keyword query, by the stored index."""
+        return search_ops.search_index(self.index(), query)
 
-    def query_join(self, query: str, *others: VersionedDataset) -> list[DataFrame]:
-        from strata.operators import dataset as ops
+    def search_scored(self, query: str) -> DataFrame:
+        """entry, score: the entries of search, the best first."""
+        return search_ops.scored(self.index(), query)
 
+    def select_by_query(self, query: str) -> DataFrame:
+        return self.read().join(self.search(query).select("entry"), "entry", "left_semi")
+
+    def query_join(self, query: str, *others: VersionedDataset) -> list[DataFrame]:
         return ops.join_by_entries(self.search(query), *[o.read() for o in others])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import os
 import shutil
 import tempfile
@@ -10,10 +11,14 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
 _own_dirs: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -53,14 +58,78 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/strata/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes df once into the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
+def written(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+    """Writes df once into the shared folder and reads it back: lineage ends there, and a lost executor costs nothing.
+
+    Spark drops the shuffle files of the write as soon as it ends.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(f):
+    """For a function that returns a DataFrame: what it wrote on the way goes when it returns, but for what the result still reads."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        _scopes.append([])
+        try:
+            out = f(*args, **kwargs)
+            used = {x.rsplit("/", 2)[1] for x in out.inputFiles()}
+        finally:
+            own = _scopes.pop()
+        for path in own:
+            if path.rsplit("/", 1)[1] not in used:
+                remove(out.sparkSession, path)
+            elif _scopes:
+                _scopes[-1].append(path)
+        return out
+
+    return run
+
+
+_SCAN = {"Project", "Filter", "SubqueryAlias", "LogicalRelation"}
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """df, if it is a scan of Parquet files with columns or rows left out; else a written copy. row_key() holds on what this returns."""
+    nodes, todo = [], [df._jdf.queryExecution().analyzed()]
+    while todo:
+        plan = todo.pop()
+        nodes.append(plan.getClass().getSimpleName())
+        children = plan.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    if set(nodes) <= _SCAN and "LogicalRelation" in nodes:
+        try:
+            df.select("_metadata.row_index")
+            return df
+        except AnalysisException:
+            pass
+    return written(df, "rows")
+
+
+def row_key() -> Column:
+    """What names a row of stable(df) alike in every evaluation: a hash of its file's path, and its number in the file."""
+    return F.struct(F.xxhash64(F.col("_metadata.file_path")).alias("f"), F.col("_metadata.row_index").alias("n"))
+
+
+def filesystem(uri: str):
+    """Arrow's file system for an address that Spark takes: Hadoop's names of S3 are one to Arrow."""
+    import pyarrow.fs as pafs
+
+    scheme, _, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that an earlier step of the same operator wrote."""
     jvm = spark.sparkContext._jvm

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.runtime import ship
+from strata.runtime import filesystem, ship, written
 
 
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
@@ -28,12 +28,11 @@ def read_directory(spark: SparkSession, path: str) -> DataFrame:
 def write_directory(ds: DataFrame, uri: str) -> DataFrame:
     """One file per entry below uri, which all executors reach (pyarrow's file systems); runs at once. Returns entry, n_bytes."""
     import pandas as pd
-    import pyarrow.fs as pafs
 
     ship(ds.sparkSession)
 
     def run(frames):
-        fs, root = pafs.FileSystem.from_uri(uri)
+        fs, root = filesystem(uri)
         for f in frames:
             sizes = []
             for name, payload in zip(f["entry"], f["payload"], strict=True):
@@ -45,8 +44,6 @@ def write_directory(ds: DataFrame, uri: str) -> DataFrame:
                 sizes.append(len(data))
             yield pd.DataFrame({"entry": f["entry"], "n_bytes": sizes})
 
-    from strata.runtime import written
-
     return written(ds.select("entry", F.col("payload").cast("binary").alias("payload")).mapInPandas(run, "entry string, n_bytes long"), "directory")
 
 
