@@ -1,21 +1,24 @@
 """Removal of long repeated byte strings, by a distributed difference-cover suffix sort over content-defined phrases.
 
-1. Anchors. Of each `length - k + 1` neighbouring k-grams the one of least hash is an anchor. Any string of `length` bytes
-   holds an anchor, and equal strings have theirs at equal places, so a repeated string has an anchor whose k-gram is
-   repeated. Only runs of such anchors go on. The bytes from an anchor to the end of the next one's k-gram are a phrase.
-2. Suffix sort of the phrase strings by difference cover modulo 3: triples at places 1 and 2 (mod 3) are sorted and named,
-   the strings of names are sorted the same way, the suffixes at places 0 are sorted by their first phrase and the rank of what
-   follows, and both are merged by counts of what sorts before. All of it is sorts and running counts over ranges, no task
-   holds more than a range.
-3. Adjacent suffixes are compared phrase by phrase. What a suffix shares with a neighbour is repeated; that settles most
-   strings at once. One copy of each shared stretch, and the strings at the ragged ends of shared stretches, whose ends aren't at anchors,
-   go on.
-4. Exact check at byte level: strings of `length` bytes left by 3 are met by 64-bit hash.
-
-A document's copies are one text: each byte of a text with copies is covered if it is long enough.
+1. Texts are told apart by the first 128 bits of SHA-256; a text and its copies are one from here on.
+2. Anchors. Of each `length - k + 1` neighbouring k-grams the one of least hash is an anchor. Any string of `length` bytes
+   holds an anchor of its own, and equal strings have theirs at equal places. So a repeated string has an own anchor of a
+   repeated k-gram, and its text goes on only if it has such. The bytes from an anchor to the end of the next one's k-gram are a phrase,
+   and a row of anchors of repeated k-grams is a string of phrases.
+3. Suffix sort of these strings by difference cover modulo 3. The triples at places 1 and 2 (mod 3) are sorted and named,
+   triples of names are sorted and named again, until the names reach as far as a comparison needs; only what doesn't
+   reach far enough goes into another round. The suffixes at places 0 are merged with those at places 1 by their first phrase
+   and the name of what follows, and with those at places 2 by two phrases and the name of what follows.
+4. Adjacent suffixes are compared phrase by phrase, by a second hash. What a suffix shares with a neighbour is repeated. That settles
+   all strings but those at the ragged ends of shared stretches, which end between anchors.
+5. Exact check of the ragged ends, in bytes: strings whose anchors of least hash have one k-gram are compared, those not yet settled
+   with one another and with one copy of each stretch that has been settled.
+
+Every sort is over ranges, so that no task holds more than a range. A k-gram whose ragged ends are too many for one task
+has its strings dealt by their own hashes (128 bits) instead.
 
 Defined results: a null text is an empty text. Texts shorter than `length` stay whole. Rows that repeat doc_id and text are
-copies. Extra columns are ignored. Texts are told apart by a 64-bit hash.
+copies. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,28 +28,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.runtime import remove_written, ship, written
+from strata.runtime import remove_written, scratch, ship, written
 
 _BASE = 0x9E3779B97F4A7C15
+_OTHER = 0xD1B54A32D192ED03
 _END = -(2**63)
+_LETTER = np.dtype([("h", "<u8"), ("d", "<u2")])
 
 
 @dataclass(frozen=True)
 class RepeatParams:
     length: int = 200
-    k: int = 100
-    levels: int = 3  # names of 3 ** levels phrases; longer agreement is left to the neighbours and the exact check
-    ahead: int = 10  # phrases compared between neighbours
+    k: int = 64
+    most: int = 2000  # ragged ends of one k-gram that a task compares in memory; more are dealt by their strings' hashes
 
 
 class Roller:
     """Hashes of all windows of a byte string."""
 
-    def __init__(self):
-        self.value = np.random.default_rng(3).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+    def __init__(self, base: int = _BASE):
+        self.base = base
+        self.value = np.random.default_rng(base % 2**32).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
         self._pow = self._inv = np.empty(0, np.uint64)
 
     @staticmethod
@@ -63,17 +69,14 @@ class Roller:
     def sums(self, x: np.ndarray) -> np.ndarray:
         if len(self._pow) <= len(x):
             n = max(len(x) + 1, 1 << 18)
-            self._pow, self._inv = self._powers(_BASE, n), self._powers(pow(_BASE, -1, 2**64), n)
+            self._pow, self._inv = self._powers(self.base, n), self._powers(pow(self.base, -1, 2**64), n)
         out = np.zeros(len(x) + 1, np.uint64)
         np.cumsum(self.value[x] * self._pow[: len(x)], out=out[1:])
         return out
 
     def spans(self, sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The hash of bytes a to b."""
-        h = (sums[b] - sums[a]) * self._inv[a] + (b - a).astype(np.uint64)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(29))
+        return _mixed((sums[b] - sums[a]) * self._inv[a] + (b - a).astype(np.uint64))
 
 
 def _slide(f, a: np.ndarray, width: int) -> np.ndarray:
@@ -85,66 +88,149 @@ def _slide(f, a: np.ndarray, width: int) -> np.ndarray:
     return f(a[: len(a) - (width - span)], a[width - span :]) if width > span else a
 
 
-def anchors(x: np.ndarray, roller: Roller, p: RepeatParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the anchors, their k-gram hashes, and the running sums. Ties of least hashes are all anchors."""
-    sums = roller.sums(x)
-    starts = np.arange(len(x) - p.k + 1)
-    h = roller.spans(sums, starts, starts + p.k)
-    width = p.length - p.k + 1
-    least = _slide(np.minimum, h, width)
-    pad = np.zeros(width - 1, np.uint64)
-    at = np.flatnonzero(h == _slide(np.maximum, np.concatenate([pad, least, pad]), width))
-    return at, h[at], sums
+_TOGETHER = 1 << 17  # bytes of short texts whose hashes are computed at once
+
+
+@dataclass
+class Anchored:
+    """A text's anchors: places and k-gram hashes, and the running sums of a buffer in which it begins at base."""
+
+    at: np.ndarray
+    gram: np.ndarray
+    sums: np.ndarray
+    base: int
+    buffer: np.ndarray
+
+
+def anchored(texts: list[bytes], roller: Roller, p: RepeatParams):
+    """The Anchored of each text, in order; short texts are laid end to end, so that a step runs over many of them."""
+    lo = size = 0
+    for i in range(len(texts) + 1):
+        if i == len(texts) or (size and size + len(texts[i]) > _TOGETHER):
+            if i > lo:
+                yield from _anchored(texts[lo:i], roller, p)
+            lo, size = i, 0
+        if i < len(texts):
+            size += len(texts[i])
+
+
+def _anchored(texts: list[bytes], roller: Roller, p: RepeatParams):
+    x = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    sums, n, width = roller.sums(x), len(x), p.length - p.k + 1
+    at = gram = np.empty(0, np.int64)
+    if n >= p.length:
+        h = sums[p.k :] - sums[: n - p.k + 1]
+        h *= roller._inv[: n - p.k + 1]
+        h += np.uint64(p.k)
+        h = _mixed(h)
+        np.maximum(h, np.uint64(1), out=h)  # 0 stands for no string
+        least = _slide(np.minimum, h, width)
+        for e in ends[:-1].tolist():  # strings that would begin in one text and end in the next
+            least[max(0, e - p.length + 1) : e] = 0
+        pad = np.zeros(width - 1, np.uint64)
+        at = np.flatnonzero(h == _slide(np.maximum, np.concatenate([pad, least, pad]), width))
+        gram = h[at]
+    cut = np.searchsorted(at, ends)
+    a = begin = 0
+    for b, e in zip(cut.tolist(), ends.tolist(), strict=True):
+        yield Anchored(at[a:b] - begin, gram[a:b], sums, begin, x)
+        a, begin = b, e
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def owners(at: np.ndarray, gram: np.ndarray, n: int, p: RepeatParams) -> np.ndarray:
+    """For each string of `length` bytes the number of its own anchor: the first of least hash that it holds. Equal strings have theirs at equal places."""
+    width, top, count = p.length - p.k + 1, n - p.length + 1, len(at)
+    lo, hi = np.maximum(at - width + 1, 0), np.minimum(at, top - 1)
+    for way in (-1, 1):
+        todo, step = np.arange(count), way
+        while len(todo):
+            other = todo + step
+            inside = (other >= 0) & (other < count)
+            todo, other = todo[inside], other[inside]
+            near = np.abs(at[other] - at[todo]) < width
+            todo, other = todo[near], other[near]
+            less = gram[other] <= gram[todo] if way < 0 else gram[other] < gram[todo]
+            if way < 0:
+                lo[todo[less]] = np.maximum(lo[todo[less]], at[other[less]] + 1)
+            else:
+                hi[todo[less]] = np.minimum(hi[todo[less]], at[other[less]] - width)
+            todo, step = todo[~less], step + way
+    return np.repeat(np.arange(count), np.maximum(hi - lo + 1, 0))
+
+
+@dataclass
+class Strings:
+    """The strings of phrases of one text, laid end to end with four ends after each, as arrays by place."""
+
+    c: np.ndarray  # letter: hash of the phrase, _END past the end
+    h: np.ndarray  # its second hash
+    d: np.ndarray  # bytes from its anchor to the next
+    pos: np.ndarray  # of its anchor; -1 past the end
+    i: np.ndarray  # place in its string
+    stop: np.ndarray  # where the letters of its string end
+    sample: np.ndarray  # places 1 and 2 (mod 3), up to two past the end: they carry the names of what follows
+
+
+def letters(text: Anchored, other_sums: np.ndarray, size: int, hits: np.ndarray, roller: Roller, other: Roller, p: RepeatParams) -> dict[str, np.ndarray]:
+    """What the later steps need of a text of size bytes. hits: numbers of the anchors whose k-grams are repeated, ascending.
+
+    c, h, d, pos, new: the letters from each hit whose next anchor is a hit too, and whether one begins a string. f, gram, first, n: of each hit
+    that owns strings of `length` bytes its place, k-gram, the start of the first such string and their number.
+    """
+    at, gram = text.at, text.gram
+    joined = np.flatnonzero(np.diff(hits) == 1)
+    first = hits[joined]
+    a, b = text.base + at[first], text.base + at[first + 1] + p.k
+    own = np.bincount(owners(at, gram, size, p), minlength=len(at))
+    begin = np.cumsum(own) - own
+    kept = hits[own[hits] > 0]
+    return {
+        "c": np.maximum(roller.spans(text.sums, a, b).view(np.int64), _END + 1), "h": other.spans(other_sums, a, b), "d": np.diff(at)[first], "pos": at[first], "new": np.concatenate([[True], np.diff(joined) != 1])[: len(joined)],
+        "f": at[kept], "gram": gram[kept], "first": begin[kept], "n": own[kept],
+    }
+
+
+_PACKED = {"c": "<i8", "h": "<u8", "d": "<u2", "pos": "<i4", "new": "u1", "f": "<i4", "gram": "<i8", "first": "<i4", "n": "<u2"}
+
+
+def strings(packed: dict) -> Strings | None:
+    """From the binaries c, h, d, pos and new of letters()."""
+    c, h, d, a, new = (_ints(packed[k], _PACKED[k]) for k in ("c", "h", "d", "pos", "new"))
+    if not len(c):
+        return None
+    new = new > 0
+    run = np.cumsum(new) - 1
+    where = np.arange(len(c)) + 4 * run
+    n = len(c) + 4 * (run[-1] + 1)
+    begin = where[new]
+    own = np.searchsorted(begin, np.arange(n), side="right") - 1
+    lengths = np.bincount(run)
+    out = Strings(np.full(n, _END, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.int64), np.full(n, -1, np.int64), np.arange(n) - begin[own], (begin + lengths)[own], np.empty(0, np.int64))
+    out.c[where], out.h[where], out.d[where], out.pos[where] = c, h, d, a
+    out.sample = np.flatnonzero((out.i % 3 != 0) & (out.i <= lengths[own] + 1))
+    return out
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("sid"), text.cast("binary").alias("text"))
+def _ahead(s: Strings, at: np.ndarray, p: RepeatParams) -> tuple[np.ndarray, np.ndarray]:
+    """Where the letters end that a comparison from each place needs: those that settle all strings that start before the next anchor."""
+    reach = np.concatenate([[0], np.cumsum(s.d)])
+    end = np.searchsorted(reach, reach[at] + s.d[at] + p.length - 1 - p.k, side="left")
+    return np.minimum(end, s.stop[at]), end > s.stop[at]
 
 
-def _phrases(texts: DataFrame, p: RepeatParams) -> DataFrame:
-    """sid and, for each anchor, place, k-gram hash, phrase hash and phrase length (last: none)."""
-
-    def run(batches):
-        roller = Roller()
-        kind = pa.list_(pa.struct([("pos", pa.int32()), ("gram", pa.int64()), ("sym", pa.int64()), ("d", pa.int32())]))
-        for batch in batches:
-            out = []
-            for t in batch.column(1):
-                x = np.frombuffer(t.as_buffer(), np.uint8)
-                if len(x) < p.length:
-                    out.append(pa.array([None], kind))
-                    continue
-                at, h, sums = anchors(x, roller, p)
-                sym = np.full(len(at), _END, np.int64)
-                sym[:-1] = roller.spans(sums, at[:-1], at[1:] + p.k).view(np.int64)
-                d = np.concatenate([np.diff(at), [0]]).astype(np.int32)
-                rows = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(sym), pa.array(d)], names=["pos", "gram", "sym", "d"])
-                out.append(pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.concat_arrays(out)], names=["sid", "a"])
-
-    return texts.select("sid", "text").mapInArrow(run, "sid long, a array<struct<pos:int,gram:long,sym:long,d:int>>")
-
-
-def _counted(df: DataFrame, order: list[str], flags: dict[str, str], parts: int) -> DataFrame:
-    """df with, for each name, how many rows that meet its condition lie before in the given order (unique), by `parts` ranges."""
-    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    ranged = written(ranged, "sorted")
-    hits = {name: F.sum(F.expr(c).cast("long")).alias(name) for name, c in flags.items()}
-    totals = {r["_part"]: r for r in ranged.groupBy("_part").agg(*hits.values()).collect()}
-    run, offsets = dict.fromkeys(flags, 0), []
-    for k in sorted(totals):
-        offsets.append((k, *[run[f] for f in flags]))
-        run = {f: run[f] + totals[k][f] for f in flags}
-    first = df.sparkSession.createDataFrame(offsets or [(0, *[0] * len(flags))], "_part int, " + ", ".join(f"_b_{f} long" for f in flags))
-    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged
-    for name, c in flags.items():
-        out = out.withColumn(name, F.coalesce(F.sum(F.expr(c).cast("long")).over(w), F.lit(0)))
-    out = out.join(F.broadcast(first), "_part")  # a row per range
-    for name in flags:
-        out = out.withColumn(name, F.col(name) + F.col(f"_b_{name}"))
-    return out.drop("_part", *[f"_b_{f}" for f in flags])
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("tid"), text.alias("text"))
 
 
 def _tidy(df: DataFrame, *old: DataFrame) -> DataFrame:
@@ -155,158 +241,473 @@ def _tidy(df: DataFrame, *old: DataFrame) -> DataFrame:
     return out
 
 
-def _free(spark) -> None:
-    """Lets Spark drop the shuffle files of steps that are done, so that the disk holds one step's."""
-    spark.sparkContext._jvm.System.gc()
+def _before(df: DataFrame, order: list[str], weight: str, name: str) -> DataFrame:
+    """df (a written table, order unique) with `name`: the sum of weight over the rows before, by ranges."""
+    ranged = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "sorted")
+    first, run = [], 0
+    for r in sorted(ranged.groupBy("_part").agg(F.sum(weight).alias("s")).collect(), key=lambda r: r["_part"]):  # a row per range
+        first.append((r["_part"], run))
+        run += r["s"]
+    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    base = df.sparkSession.createDataFrame(first or [(0, 0)], "_part int, _base long")
+    out = ranged.withColumn(name, F.coalesce(F.sum(weight).over(w), F.lit(0))).join(F.broadcast(base), "_part")
+    return _tidy(out.withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_base"), ranged)
+
+
+def _per_text(fn, schema: str):
+    """A function for mapInArrow that gives fn(row) -> RecordBatch or None; row: the values by column name."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                out = fn(dict(zip(batch.schema.names, row, strict=True)))
+                if out is not None and out.num_rows:
+                    held.append(out)
+                    size += out.nbytes
+                if size > 1 << 20 or len(held) >= 1000:
+                    yield _joined(held)
+                    held, size = [], 0
+        if held:
+            yield _joined(held)
+
+    return run, schema
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
 
 
-def suffix_ranks(s: DataFrame, levels: int, parts: int) -> DataFrame:
-    """(sid, path, i, rank) of every suffix of the strings s (sid, path, i, c), ranks unique from 0.
+def _bytes(v) -> np.ndarray:
+    return np.frombuffer(v.as_buffer(), np.uint8)
 
-    i runs from 0 without gaps in each string. With `levels` rounds of naming, suffixes that agree in 3 ** levels letters
-    at least may stand in any order.
+
+def _ints(v, kind) -> np.ndarray:
+    return np.frombuffer(v.as_buffer(), kind) if v.is_valid else np.empty(0, kind)
+
+
+def _packed(df: DataFrame, key: str, place: str, value: str, name: str, kind: str) -> DataFrame:
+    """For each key, its (place, value) rows in order of place as two packed arrays of 32 and 64 bits."""
+    each = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(place).cast("int").alias("a"), F.col(value).cast(kind).alias("b")))).alias("x"))
+
+    def run(batches):
+        for batch in batches:
+            places, values = [], []
+            for x in batch.column(1):
+                v = x.values
+                places.append(v.field("a").to_numpy(zero_copy_only=False).astype("<i4").tobytes())
+                values.append(v.field("b").to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.binary()), pa.array(values, pa.binary())], names=[key, "places", name])
+
+    return each.mapInArrow(run, f"{key} long, places binary, {name} binary")
+
+
+def suffix_names(base: DataFrame, p: RepeatParams) -> tuple[DataFrame, int]:
+    """base: (sid, c, h, d, pos, new). sid, places, names: of each sample place of a text's strings its name, in the order of what the names stand for.
+
+    A name is 1 plus the number of places before it in order, so that a later round can name the places of a group apart. Names are
+    sorted triples of letters; a place whose triple of names doesn't reach as far as its comparison goes into the next
+    round, with names of three times the length.
     """
-    one = ["sid", "path", "i"]
-    w = Window.partitionBy("sid", "path").orderBy("i")
-    end = F.lit(_END)
-    s = s.withColumn("c1", F.coalesce(F.lead("c", 1).over(w), end)).withColumn("c2", F.coalesce(F.lead("c", 2).over(w), end))
-    s = _tidy(s)
-    triples = s.where("i % 3 <> 0").groupBy("c", "c1", "c2").agg(F.count("*").alias("k"))
-    names = _tidy(_counted(triples, ["c", "c1", "c2"], {"name": "true"}, parts))
-    sample = s.where("i % 3 <> 0").join(names, ["c", "c1", "c2"]).select(*one, F.col("name").alias("c"))
-    shared = not names.where("k > 1").isEmpty()
-    if shared and levels > 1:
-        deeper = _tidy(sample.select("sid", (F.col("path") * 2 + (F.col("i") % 3 - 1)).alias("path"), F.floor(F.col("i") / 3).cast("int").alias("i"), "c"), names)
-        ranks = suffix_ranks(deeper, levels - 1, max(1, parts * 2 // 3))
-        ranks = ranks.select("sid", F.floor(F.col("path") / 2).cast("long").alias("path"), (F.col("i") * 3 + 1 + F.col("path") % 2).cast("int").alias("i"), F.col("rank"))
-        ranks = _tidy(ranks, deeper)
-    else:
-        ranks = _tidy(_counted(sample, ["c", *one], {"rank": "true"}, parts).select(*one, "rank"), names)
-    both = s.join(ranks, one, "left")
-    follow = lambda n: F.coalesce(F.lead("rank", n).over(w), F.lit(-1).cast("long"))
-    both = _tidy(both.withColumn("r1", follow(1)).withColumn("r2", follow(2)).drop("c2"), s, ranks)
-    zero, first, second = "i % 3 = 0", "i % 3 = 1", "i % 3 = 2"
-    # place 0 against 1 by one letter and the rank after it, against 2 by two letters and the rank after them
-    a = _counted(both.where(f"{zero} OR {first}").select(*one, "c", "r1", "rank"), ["c", "r1", *one], {"n0": zero, "n1": first}, parts)
-    b = _counted(both.where(f"{zero} OR {second}").select(*one, "c", "c1", "r2", "rank"), ["c", "c1", "r2", *one], {"m0": zero, "n2": second}, parts)
-    b0 = b.where(zero).select(*one, "n2")
-    merged = (
-        a.where(zero).join(b0, one).select(*one, (F.col("n0") + F.col("n1") + F.col("n2")).alias("rank"))
-        .union(a.where(first).select(*one, (F.col("rank") + F.col("n0")).alias("rank")))
-        .union(b.where(second).select(*one, (F.col("rank") + F.col("m0")).alias("rank")))
-    )
-    merged = _tidy(merged, both)
-    out = _tidy(_counted(merged.withColumnRenamed("rank", "_k"), ["_k", *one], {"rank": "true"}, parts).select(*one, "rank"), merged)
-    _free(out.sparkSession)
+
+    def triples(row):
+        s = strings(row)
+        if s is None:
+            return None
+        q = s.sample
+        end, ended = _ahead(s, q, p)
+        more = ~ended & (end - q > 9)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(q), row["sid"].as_py())), pa.array(q.astype(np.int32)), *(pa.array(s.c[q + j]) for j in range(3)), pa.array(more)], names=["sid", "q", "c0", "c1", "c2", "more"])
+
+    keys = ["c0", "c1", "c2"]
+    rows = _tidy(base.mapInArrow(*_per_text(triples, "sid long, q int, c0 long, c1 long, c2 long, more boolean")))
+    groups = _before(_tidy(rows.groupBy(*keys).agg(F.count("*").alias("k"))), keys, "k", "before")
+    named = _tidy(rows.join(groups, keys).select("sid", "q", (F.col("before") + 1).alias("name"), F.col("more")), groups, rows)
+    names = _tidy(_packed(named, "sid", "q", "name", "names", "long"))
+    reach = 3
+    left = named.where("more")
+    while not left.isEmpty():
+
+        def again(row, reach=reach):
+            s = strings(row)
+            q = _ints(row["places"], "<i4")
+            end, ended = _ahead(s, q, p)
+            open_ = np.flatnonzero(~ended & (end - q > 3 * reach))
+            n = _follow(s, q, _ints(row["names"], "<i8"), reach)[:, open_]
+            more = ~ended[open_] & (end - q > 9 * reach)[open_]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(open_), row["sid"].as_py())), pa.array(q[open_]), *(pa.array(v) for v in n), pa.array(more)], names=["sid", "q", "c0", "c1", "c2", "more"])
+
+        rows = _tidy(base.join(names, "sid").mapInArrow(*_per_text(again, "sid long, q int, c0 long, c1 long, c2 long, more boolean")))
+        groups = _before(_tidy(rows.groupBy(*keys).agg(F.count("*").alias("k"))), keys, "k", "before")
+        start = groups.groupBy("c0").agg(F.min("before").alias("start"))
+        fresh = groups.join(start, "c0").select(*keys, (F.col("c0") + F.col("before") - F.col("start")).alias("name"))
+        step = _tidy(rows.join(fresh, keys).select("sid", "q", "name", "more"), groups, rows)
+        both = named.select("sid", "q", "name").join(step.select("sid", "q", F.col("name").alias("new")), ["sid", "q"], "left")
+        named = _tidy(both.select("sid", "q", F.coalesce("new", "name").alias("name")), named)
+        names = _tidy(_packed(named, "sid", "q", "name", "names", "long"), names)
+        left, reach = step.where("more"), 3 * reach
+    remove_written(named)
+    return names, reach
+
+
+def _follow(s: Strings, q: np.ndarray, names: np.ndarray, reach: int) -> np.ndarray:
+    """The names at each place and `reach` and twice `reach` letters on; 0 past the string's sample."""
+    dense = np.zeros(len(s.c) + 1, np.int64)
+    dense[q] = names
+    out = np.zeros((3, len(q)), np.int64)
+    out[0] = names
+    for j in (1, 2):
+        to = q + j * reach
+        ok = to < s.stop[q] + 2
+        out[j, ok] = dense[to[ok]]
     return out
 
 
-def _shared_lengths(runs: DataFrame, p: RepeatParams) -> DataFrame:
-    """sid, pos, back and most: the bytes that the suffix at each anchor shares with the one before, and with either neighbour."""
-    s = runs.select(F.col("sid"), F.col("run").cast("long").alias("path"), "i", F.col("sym").alias("c"))
-    ranks = suffix_ranks(s, p.levels, runs.count() // 100_000 + 1)
-    w = Window.partitionBy("sid", "run").orderBy("i").rowsBetween(0, p.ahead - 1)
-    ahead = runs.withColumn("next", F.collect_list(F.struct("sym", "d")).over(w)).select("sid", F.col("run").cast("long").alias("path"), "i", "pos", "gram", "next")
-    rows = _tidy(ahead.join(ranks, ["sid", "path", "i"]).select("sid", "pos", "gram", "next", "rank"), ranks)
-    before = rows.select((F.col("rank") + 1).alias("rank"), F.col("gram").alias("g"), F.col("next").alias("n"))
-    same = F.transform(F.arrays_zip("next", "n"), lambda z: F.struct((z["next"]["sym"].eqNullSafe(z["n"]["sym"]) & (z["next"]["sym"] != _END)).alias("ok"), z["next"]["d"].alias("d")))
-    state = F.struct(F.lit(True).alias("on"), F.lit(p.k).alias("len"))
-    step = lambda acc, z: F.struct((acc["on"] & F.coalesce(z["ok"], F.lit(False))).alias("on"), F.when(acc["on"] & F.coalesce(z["ok"], F.lit(False)), acc["len"] + z["d"]).otherwise(acc["len"]).alias("len"))
-    lcp = F.when(F.col("gram") == F.col("g"), F.aggregate(same, state, step)["len"]).otherwise(F.lit(0))
-    pairs = _tidy(rows.join(before, "rank").select("rank", lcp.alias("lcp")))
-    out = rows.join(pairs, "rank", "left").select("sid", "pos", "rank", F.coalesce("lcp", F.lit(0)).alias("back"))
-    nxt = pairs.select((F.col("rank") - 1).alias("rank"), F.col("lcp").alias("fore"))
-    return _tidy(out.join(nxt, "rank", "left").select("sid", "pos", "back", F.greatest("back", F.coalesce("fore", F.lit(0))).alias("most")), rows, pairs)
-
-
-def _covered(starts: np.ndarray, n: int, length: int) -> np.ndarray:
-    """Maximal runs [a, b) of bytes covered by strings at the (sorted) starts."""
-    if not len(starts):
-        return np.empty((0, 2), np.int64)
-    cut = np.flatnonzero(np.diff(starts) > length)
-    return np.stack([starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])] + length], axis=1)
+_ORDERED = "k1 long, k2 long, k3 long, k4 long, k5 long, sid long, pos int, ahead binary"
+
+
+def _ordered_rows(kind: int, reach: int, p: RepeatParams):
+    """Sort keys of the suffixes at places 1 and 2 (kind 0), at 0 and 1 (kind 1) and at 0 and 2 (kind 2), with the letters ahead."""
+
+    def rows(row):
+        s = strings(row)
+        q = _ints(row["places"], "<i4").astype(np.int64)
+        names = _follow(s, q, _ints(row["names"], "<i8"), reach)
+        at = q - kind
+        ok = np.flatnonzero((s.i[q] >= kind) & (s.pos[at] >= 0))
+        at, names = at[ok], names[:, ok]
+        end, _ = _ahead(s, at, p)
+        count = end - at
+        flat = np.repeat(at - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        letters = np.empty(len(flat), _LETTER)
+        letters["h"], letters["d"] = s.h[flat], s.d[flat]
+        offsets = np.concatenate([[0], np.cumsum(count * _LETTER.itemsize)]).astype(np.int32)
+        ahead = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(letters.tobytes())])
+        none = np.zeros(len(at), np.int64)
+        keys = {0: [*names, none, none], 1: [s.c[at], *names, none], 2: [s.c[at], s.c[at + 1], *names]}[kind]
+        return pa.RecordBatch.from_arrays([*(pa.array(v) for v in keys), pa.array(np.full(len(at), row["sid"].as_py())), pa.array(s.pos[at].astype(np.int32)), ahead], names=["k1", "k2", "k3", "k4", "k5", "sid", "pos", "ahead"])
+
+    return _per_text(rows, _ORDERED)
+
+
+def _shared(data: np.ndarray, lo: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """Bytes that each of the rows (first letter, count) but the first shares with the row before it."""
+    out = np.zeros(len(lo) - 1, np.int64)
+    least = np.minimum(n[1:], n[:-1])
+    on = np.flatnonzero(least > 0)
+    t = 0
+    while len(on):
+        a, b = data[lo[on] + t], data[lo[on + 1] + t]
+        on = on[(a["h"] == b["h"]) & (a["d"] == b["d"])]
+        out[on] += data["d"][lo[on] + t]
+        t += 1
+        on = on[least[on] > t]
+    return np.where(out > 0, out + k, 0)
+
+
+def _compared(p: RepeatParams):
+    """sid, pos, most and less: bytes that a suffix shares with its neighbours, and with those of lesser (sid, pos).
+
+    Reads a sorted range, a batch at a time. Neighbours in two ranges aren't compared: what they share is left to the exact check.
+    """
 
+    def run(batches):
+        carry = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if carry is not None:
+                batch = _joined([carry, batch])
+            # the last two rows are met again: their neighbours may come with the next batch
+            carry = batch.slice(max(0, batch.num_rows - 2))
+            yield from _neighbours(batch, p, 1 if batch.num_rows > 2 else 0)
+        if carry is not None:
+            yield from _neighbours(carry, p, 0)
 
-def repeated_spans(docs: DataFrame, params: RepeatParams | None = None) -> DataFrame:
-    """sid, n_copies and spans (array of start, end) of every text that has a repeated string or copies. Real output of the operator."""
-    spark = docs.sparkSession
-    ship(spark)
-    p = params or RepeatParams()
-    texts = _texts(docs)
-    copies = _tidy(texts.select("sid", "doc_id", F.octet_length("text").alias("n")).groupBy("sid").agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("rep"), F.min("n").alias("n")))
-    grams = _phrases(texts, p).where("a IS NOT NULL").groupBy("sid").agg(F.first("a").alias("a"))
-    grams = _tidy(grams.select("sid", F.posexplode("a").alias("at", "x")).select("sid", "at", "x.*"))
-    often = grams.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram")
-    runs = _tidy(grams.join(often, "gram"), grams)
-    w = Window.partitionBy("sid").orderBy("at")
-    runs = runs.withColumn("run", F.col("at") - F.row_number().over(w)).withColumn("i", F.row_number().over(Window.partitionBy("sid", "run").orderBy("at")) - 1)
-    last = F.lead("at").over(Window.partitionBy("sid", "run").orderBy("at")).isNull()
-    runs = _tidy(runs.withColumn("sym", F.when(last, F.lit(_END)).otherwise(F.col("sym"))), runs)
-    _free(spark)
-    lengths = _shared_lengths(runs, p) if not runs.isEmpty() else runs.select("sid", "pos", F.lit(0).alias("back"), F.lit(0).alias("most"))
-    per = lengths.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("pos", "back", "most"))).alias("a"))
-    own = copies.join(per, "sid").select("sid", F.col("rep").alias("doc_id"), "a")
-    same = texts.alias("t").join(own.alias("o"), (F.col("t.sid") == F.col("o.sid")) & F.col("t.doc_id").eqNullSafe(F.col("o.doc_id"))).select("t.sid", "t.text", "o.a")
-
-    def strings(batches):
+    return run, "sid long, pos int, most int, less int"
+
+
+def _neighbours(batch: pa.RecordBatch, p: RepeatParams, leave: int):
+    ahead = batch.column(7)
+    size = pc.binary_length(ahead).to_numpy(zero_copy_only=False).astype(np.int64) // _LETTER.itemsize
+    data = np.frombuffer(b"".join(ahead.to_pylist()), _LETTER)
+    lo = np.concatenate([[0], np.cumsum(size)[:-1]])
+    r = _shared(data, lo, size, p.k)
+    sid, pos = batch.column(5).to_numpy(), batch.column(6).to_numpy().astype(np.int64)
+    up = (sid[1:] > sid[:-1]) | ((sid[1:] == sid[:-1]) & (pos[1:] > pos[:-1]))  # the row before is the lesser
+    back, fore = np.concatenate([[0], r]), np.concatenate([r, [0]])
+    most = np.maximum(back, fore)
+    less = np.maximum(np.where(np.concatenate([[False], up]), back, 0), np.where(np.concatenate([~up, [False]]), fore, 0))
+    ok = np.flatnonzero(most >= p.length)
+    ok = ok[ok < len(most) - leave]
+    yield pa.RecordBatch.from_arrays([pa.array(sid[ok]), pa.array(pos[ok].astype(np.int32)), pa.array(most[ok].astype(np.int32)), pa.array(less[ok].astype(np.int32))], names=["sid", "pos", "most", "less"])
+
+
+def shared_lengths(base: DataFrame, p: RepeatParams) -> list[DataFrame]:
+    """sid, pos, most, less for suffixes that share `length` bytes at least with a neighbour, from each of the three sorted lists."""
+    names, reach = suffix_names(base, p)
+    keys = ["k1", "k2", "k3", "k4", "k5", "sid", "pos"]
+    both, parts = _tidy(base.join(names, "sid"), names), []
+    for kind in range(3):
+        rows = _tidy(both.mapInArrow(*_ordered_rows(kind, reach, p)))
+        parts.append(_tidy(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(*_compared(p)), rows))
+    remove_written(both)
+    return parts
+
+
+def _mark(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
+    ok = hi > lo
+    return np.cumsum(np.bincount(lo[ok], minlength=n + 1) - np.bincount(hi[ok], minlength=n + 1))[:n] > 0
+
+
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    e = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
+    return e[0::2], e[1::2]
+
+
+_ENDS = "sid long, gram long, f int, lo int, hi int, alo int, ahi int, sure binary"
+
+
+def _ragged(p: RepeatParams):
+    """What a text leaves open, by the own anchors of its strings: (gram, f) and the distances f - start of the strings.
+
+    lo to hi spans the strings that may be repeated and aren't left to a lesser copy; alo to ahi (within) those that aren't settled, -1 if
+    none. Beside these, one row of the text with the starts of its settled strings as runs.
+    """
+
+    def rows(row):
+        f, gram, begin, count = (_ints(row[k], _PACKED[k]) for k in ("f", "gram", "first", "n"))
+        f, begin, count = f.astype(np.int64), begin.astype(np.int64), count.astype(np.int64)
+        top = row["size"].as_py() - p.length + 1
+        pos, shared = _ints(row["places"], "<i4").astype(np.int64), _ints(row["shared"], "<i8")
+        most, less = shared >> 32, shared & 0xFFFFFFFF
+        sure = _mark(pos, np.minimum(pos + most - p.length + 1, top), top)
+        # left to a copy by the last anchor before it alone: that leads to ever lesser copies, never round
+        letter, d = _ints(row["pos"], "<i4"), _ints(row["d"], "<u2")
+        nxt = pos + d[np.searchsorted(letter, pos)] if len(pos) else pos
+        told = _mark(pos, np.minimum(np.minimum(pos + less - p.length + 1, top), nxt), top)
+        window = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        open_ = ~told[window]
+        keep, first = window[open_], np.repeat(np.arange(len(f)), count)[open_]
+        new = np.flatnonzero(np.concatenate([[True], np.diff(first) != 0])) if len(keep) else np.empty(0, np.int64)
+        own = first[new] if len(keep) else new
+        last = np.append(new[1:], len(keep)) - 1 if len(keep) else new
+        hi, lo = f[own] - keep[new] if len(keep) else new, f[own] - keep[last] if len(keep) else new
+        asks = np.where(~sure[keep], f[first] - keep, -1)
+        none = np.where(asks < 0, 2**30, asks)
+        ahi = np.maximum.reduceat(asks, new) if len(keep) else new
+        alo = np.where(ahi < 0, -1, np.minimum.reduceat(none, new)) if len(keep) else new
+        s, e = _runs(sure)
+        m = len(own)
+        cols = [np.full(m + 1, row["sid"].as_py()), np.append(gram[own], 0), np.append(f[own], -1), np.append(lo, 0), np.append(hi, 0), np.append(alo, -1), np.append(ahi, -1)]
+        blob = np.stack([s, e], axis=1).astype("<i4").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), *(pa.array(c.astype(np.int32)) for c in cols[2:]), pa.array([None] * m + [blob], pa.binary())], names=["sid", "gram", "f", "lo", "hi", "alo", "ahi", "sure"])
+
+    return _per_text(rows, _ENDS)
+
+
+_CONTEXT = "gram long, hot boolean, sid long, start int, n int, alo int, ahi int, context binary"
+
+
+def _contexts(p: RepeatParams):
+    """The bytes of the strings asked for: those that start at start .. start + n - 1; alo to ahi (relative, end exclusive) are asked."""
+
+    def rows(row):
+        x, e = row["text"].as_buffer(), row["ends"].values
+        f, lo, hi, alo, ahi = (e.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("f", "lo", "hi", "alo", "ahi"))
+        start, n = f - hi, hi - lo + 1
+        asked = ahi >= 0
+        data = [x[i : i + m - 1 + p.length].to_pybytes() for i, m in zip(start.tolist(), n.tolist(), strict=True)]
+        ints = [start, n, np.where(asked, hi - ahi, 0), np.where(asked, hi - alo + 1, 0)]
+        return pa.RecordBatch.from_arrays([e.field("gram"), e.field("hot"), pa.array(np.full(len(f), row["sid"].as_py())), *(pa.array(v.astype(np.int32)) for v in ints), pa.array(data, pa.binary())], names=["gram", "hot", "sid", "start", "n", "alo", "ahi", "context"])
+
+    return _per_text(rows, _CONTEXT)
+
+
+def _windows(batch: pa.RecordBatch, rollers: list[Roller], p: RepeatParams):
+    """Of all strings of a batch of contexts: row, start in the joined contexts, start within the row, and their hashes."""
+    n = batch.column(4).to_numpy().astype(np.int64)
+    x = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8)
+    begin = np.concatenate([[0], np.cumsum(n + p.length - 1)[:-1]])
+    row = np.repeat(np.arange(len(n)), n)
+    within = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+    at = begin[row] + within
+    return x, row, at, within, [r.spans(r.sums(x), at, at + p.length) for r in rollers]
+
+
+def _asked(batch: pa.RecordBatch, row: np.ndarray, within: np.ndarray) -> np.ndarray:
+    return (within >= batch.column(5).to_numpy()[row]) & (within < batch.column(6).to_numpy()[row])
+
+
+def _met(batch: pa.RecordBatch, roller: Roller, p: RepeatParams) -> pa.RecordBatch:
+    """sid, start and number of runs of asked strings of whole groups that another string of their group equals, byte for byte."""
+    x, row, at, within, (h,) = _windows(batch, [roller], p)
+    order = np.lexsort((at, h))
+    hs, ats = h[order], at[order]
+    same = np.flatnonzero(hs[1:] == hs[:-1])
+    equal = np.zeros(len(same), bool)
+    for lo in range(0, len(same), 1 << 14):
+        s = same[lo : lo + (1 << 14)]
+        step = np.arange(p.length)
+        equal[lo : lo + (1 << 14)] = (x[ats[s][:, None] + step] == x[ats[s + 1][:, None] + step]).all(axis=1)
+    hit = np.zeros(len(order), bool)
+    hit[order[same[equal]]] = hit[order[same[equal] + 1]] = True
+    for s in np.flatnonzero(~equal):  # equal hashes of unequal strings: compare the whole group
+        g = order[hs == hs[same[s]]]
+        seen: dict[bytes, int] = {}
+        for j in g.tolist():
+            v = x[at[j] : at[j] + p.length].tobytes()
+            if v in seen:
+                hit[j] = hit[seen[v]] = True
+            seen[v] = j
+    hit &= _asked(batch, row, within)
+    # runs of neighbouring strings of one context
+    first = np.flatnonzero(hit & ~(np.concatenate([[False], hit[:-1]]) & (within > 0)))
+    last = np.flatnonzero(hit & ~(np.concatenate([hit[1:], [False]]) & np.concatenate([within[1:] > 0, [False]])))
+    start = batch.column(3).to_numpy()[row[first]] + within[first]
+    return pa.RecordBatch.from_arrays([pa.array(batch.column(2).to_numpy()[row[first]]), pa.array(start.astype(np.int32)), pa.array((last - first + 1).astype(np.int32))], names=["sid", "start", "k"])
+
+
+def _compare_groups(p: RepeatParams):
+    """Reads contexts sorted by k-gram and compares whole groups, some MB of them at a time."""
+
+    def run(batches):
+        roller, held, size = Roller(), [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size < 4 << 20:
+                continue
+            table = _joined(held)
+            gram = table.column(0).to_numpy()
+            cut = int(np.searchsorted(gram, gram[-1]))  # the last group may go on
+            if cut:
+                yield _met(table.slice(0, cut), roller, p)
+            held = [table.slice(cut)]
+            size = held[0].nbytes if cut else 0  # a group that fills it all: grow
+        if held:
+            yield _met(_joined(held), roller, p)
+
+    return run, "sid long, start int, k int"
+
+
+def _by_hash(p: RepeatParams):
+    """Strings of contexts as rows: two hashes, sid, start, and whether they are asked."""
+
+    def run(batches):
+        rollers = [Roller(), Roller(_OTHER)]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                some = batch.slice(lo, 4096)
+                _, row, _, within, (h, g) = _windows(some, rollers, p)
+                start = (some.column(3).to_numpy()[row] + within).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(some.column(2).to_numpy()[row]), pa.array(start), pa.array(_asked(some, row, within))], names=["h", "g", "sid", "start", "ask"])
+
+    return run, "h long, g long, sid long, start int, ask boolean"
+
+
+def ragged_ends(texts: DataFrame, ends: DataFrame, p: RepeatParams) -> DataFrame:
+    """sid, start and k: runs of k strings that the suffix sort left open and that are repeated."""
+    stats = ends.where("f >= 0").groupBy("gram").agg(F.count("*").alias("m"), F.min(F.when(F.col("alo") >= 0, F.col("alo"))).alias("from"), F.max("ahi").alias("to")).where("m > 1 AND `to` >= 0")
+    kept = ends.where("f >= 0").join(stats, "gram").withColumn("lo", F.greatest("lo", "from")).withColumn("hi", F.least("hi", "to")).where("lo <= hi")
+    kept = kept.select("sid", F.struct("gram", (F.col("m") > p.most).alias("hot"), "f", "lo", "hi", "alo", "ahi").alias("e")).groupBy("sid").agg(F.collect_list("e").alias("ends"))
+    contexts = _tidy(texts.select("sid", "text").join(kept, "sid").select("sid", "text", "ends").mapInArrow(*_contexts(p)))
+    few = contexts.where("NOT hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(*_compare_groups(p))
+    each = contexts.where("hot").mapInArrow(*_by_hash(p))
+    twice = each.groupBy("h", "g").agg(F.count("*").alias("times"), F.max("ask").alias("asked")).where("times > 1 AND asked").select("h", "g")
+    many = each.where("ask").join(twice, ["h", "g"]).select("sid", "start", F.lit(1).alias("k"))
+    return _tidy(few.unionByName(many), contexts)
+
+
+def _cover(p: RepeatParams):
+    """The spans of bytes that repeated strings cover, from the runs of their starts."""
+
+    def run(batches):
+        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+        for batch in batches:
+            out = []
+            for sure, starts in zip(batch.column(1), batch.column(2), strict=True):
+                s = _ints(sure, "<i4").reshape(-1, 2).astype(np.int64)
+                own, k = (starts.values.field(c).to_numpy().astype(np.int64) if starts.is_valid else np.empty(0, np.int64) for c in ("start", "k"))
+                a, b = np.concatenate([s[:, 0], own]), np.concatenate([s[:, 1], own + k]) - 1 + p.length
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], np.maximum.accumulate(b[order]) if len(order) else b
+                new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]])) if len(a) else np.empty(0, np.int64)
+                ends = b[np.append(new[1:], len(a)) - 1] if len(a) else b
+                out.append([{"a": i, "b": j} for i, j in zip(a[new].tolist(), ends.tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["sid", "spans"])
+
+    return run, "sid long, spans array<struct<a:int,b:int>>"
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """tid, sid (a number of its own), n_copies, n (bytes) and text of each distinct text, written."""
+    one = _texts(docs).groupBy("tid").agg(F.count("*").alias("n_copies"), F.first("text").alias("text"))
+    return _tidy(one.select("tid", F.monotonically_increasing_id().alias("sid"), "n_copies", F.octet_length("text").alias("n"), "text"))
+
+
+def _spans(texts: DataFrame, p: RepeatParams) -> DataFrame:
+    """sid and spans of the texts that have repeated strings."""
+
+    def grams(batches):
         roller = Roller()
-        span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         for batch in batches:
-            for sid, t, a in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                x, n = np.frombuffer(t.as_buffer(), np.uint8), len(t.as_buffer())
-                pos, back, most = (np.asarray(a.values.field(f)) for f in ("pos", "back", "most"))
-                mark = lambda lo, hi: np.cumsum(np.bincount(lo[hi > lo], minlength=n + 1) - np.bincount(hi[hi > lo], minlength=n + 1))[:n] > 0  # noqa: B023, E731
-                top = n - p.length + 1
-                maybe = mark(np.maximum(pos + p.k - p.length, 0), np.minimum(pos + 1, top))
-                sure = mark(pos, np.minimum(pos + most - p.length + 1, top))
-                # a string is left to the neighbour's copy by the last anchor before it alone: that leads to ever lesser suffixes, never round
-                told = mark(pos, np.minimum(np.minimum(pos + back - p.length + 1, top), np.append(pos[1:], n)))
-                s = np.flatnonzero(maybe & ~told)
-                h = roller.spans(roller.sums(x), s, s + p.length).view(np.int64)
-                runs = _covered(np.flatnonzero(sure), n, p.length).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([sid]), pa.array([[{"a": i, "b": j} for i, j in runs]], span), pa.array([s.astype(np.int32)], pa.list_(pa.int32())), pa.array([h], pa.list_(pa.int64())), pa.array([(~sure[s]).tolist()], pa.list_(pa.bool_()))],
-                    names=["sid", "sure", "pos", "h", "ask"],
-                )
-
-    met = _tidy(same.mapInArrow(strings, "sid long, sure array<struct<a:int,b:int>>, pos array<int>, h array<long>, ask array<boolean>"), lengths, runs)
-    _free(spark)
-    each = met.select("sid", F.explode(F.arrays_zip("pos", "h", "ask")).alias("x")).select("sid", "x.pos", "x.h", "x.ask")
-    twice = each.groupBy("h").agg(F.count("*").alias("times"), F.max("ask").alias("asked")).where("times > 1 AND asked").select("h")
-    found = each.where("ask").join(twice, "h").groupBy("sid").agg(F.array_sort(F.collect_list("pos")).alias("starts"))
-    out = _tidy(met.select("sid", "sure").dropDuplicates(["sid"]).join(found, "sid", "left"))
-
-    def join_runs(batches):
+            own = [t.gram.view(np.int64) for t in anchored([t.as_py() for t in batch.column(1)], roller, p)]
+            ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*own, np.empty(0, np.int64)])))], names=["sid", "grams"])
+
+    def packed(batches):
+        roller, other = Roller(), Roller(_OTHER)
         for batch in batches:
-            spans = []
-            for sure, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                runs = [(r["a"], r["b"]) for r in sure] + [tuple(r) for r in _covered(np.array(starts or [], np.int64), 0, p.length).tolist()]
-                own: list[list[int]] = []
-                for a, b in sorted(runs):
-                    if own and a <= own[-1][1]:
-                        own[-1][1] = max(own[-1][1], b)
-                    else:
-                        own.append([a, b])
-                spans.append([{"a": a, "b": b} for a, b in own])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["sid", "spans"])
-
-    some = out.select("sid", "sure", "starts").mapInArrow(join_runs, "sid long, spans array<struct<a:int,b:int>>")
+            texts, buffer, sums, out = [t.as_py() for t in batch.column(1)], None, None, {k: [] for k in _PACKED}
+            for text, data, hits in zip(anchored(texts, roller, p), texts, batch.column(2), strict=True):
+                if text.buffer is not buffer:
+                    buffer, sums = text.buffer, other.sums(text.buffer)
+                own = letters(text, sums, len(data), _ints(hits, "<i4"), roller, other, p)
+                for k, t in _PACKED.items():
+                    out[k].append(own[k].astype(t).tobytes())
+            size = pa.array([len(t) for t in texts], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), size, *(pa.array(v, pa.binary()) for v in out.values())], names=["sid", "size", *_PACKED])
+
+    long = texts.where(F.col("n") >= p.length)
+    own = _tidy(long.select("sid", "text").mapInArrow(grams, "sid long, grams array<long>"))
+    each = own.select("sid", F.posexplode("grams").alias("at", "gram"))
+    often = _tidy(each.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram"))
+    hits = _packed(each.join(often, "gram").select("sid", "at", F.lit(0).alias("none")), "sid", "at", "none", "nothing", "long").select("sid", F.col("places").alias("hits"))
+    columns = ", ".join(f"{k} binary" for k in _PACKED)
+    base = _tidy(long.select("sid", "text").join(hits, "sid").mapInArrow(packed, f"sid long, size int, {columns}"), own, often)
+    lists = shared_lengths(base.select("sid", "c", "h", "d", "pos", "new"), p)
+    both = lists[0].unionByName(lists[1]).unionByName(lists[2]).groupBy("sid", "pos").agg(F.max("most").alias("most"), F.max("less").alias("less"))
+    shared = _packed(both.select("sid", "pos", F.expr("shiftleft(cast(most AS long), 32) + less").alias("v")), "sid", "pos", "v", "shared", "long")
+    ends = _tidy(base.join(shared, "sid", "left").mapInArrow(*_ragged(p)), *lists, base)
+    found = ragged_ends(long, ends, p)
+    starts = found.groupBy("sid").agg(F.collect_list(F.struct("start", "k")).alias("starts"))
+    joined = ends.where("f < 0").select("sid", "sure").join(starts, "sid", "left").select("sid", "sure", "starts")
+    return _tidy(joined.mapInArrow(*_cover(p)).where(F.size("spans") > 0), found, ends)
+
+
+@scratch
+def repeated_spans(docs: DataFrame, params: RepeatParams | None = None) -> DataFrame:
+    """tid, n_copies, text and spans (array of start, end; null if none) of every distinct text. Real output of the operator."""
+    ship(docs.sparkSession)
+    p = params or RepeatParams()
+    texts = distinct_texts(docs)
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
-    all_of = copies.join(some, "sid", "left").withColumn("spans", F.when((F.col("n_copies") > 1) & (F.col("n") >= p.length), whole).otherwise(F.col("spans")))
-    result = _tidy(all_of.where(F.size("spans") > 0).select("sid", "n_copies", "spans"), met, out, copies)
-    _free(spark)
-    return result
+    spans = F.when((F.col("n_copies") > 1) & (F.col("n") >= p.length), whole).otherwise(F.col("spans"))
+    return texts.join(_spans(texts, p), "sid", "left").select("tid", "n_copies", "text", spans.alias("spans"))
 
 
+@scratch
 def repeats_digest(docs: DataFrame, params: RepeatParams | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the hash of what stays, of every row."""
-    spans = repeated_spans(docs, params).select("sid", "spans")
 
     def run(batches):
         for batch in batches:
             n, gone, count, kept = [], [], [], []
             for t, s in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data, at, h = t.as_py(), 0, hashlib.sha256()
+                data, at, h = t.as_buffer(), 0, hashlib.sha256()
                 for r in s or []:
                     h.update(data[at : r["a"]])
                     at = r["b"]
@@ -315,7 +716,7 @@ def repeats_digest(docs: DataFrame, params: RepeatParams | None = None) -> DataF
                 gone.append(sum(r["b"] - r["a"] for r in s or []))
                 count.append(len(s or []))
                 kept.append(h.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (n, gone, count)), pa.array(kept)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (n, gone, count)), pa.array(kept)], names=["tid", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = _texts(docs).join(spans, "sid", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    digests = repeated_spans(docs, params).select("tid", "text", "spans").mapInArrow(run, "tid binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _texts(docs).select("doc_id", "tid").join(_tidy(digests), "tid").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
