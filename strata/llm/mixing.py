@@ -5,13 +5,14 @@ source's cumulative size up to and with it, divided by the source's target. All
 order of their finish times, and the mix is what comes first until the total budget is spent; so each source gets its share at
 every point of the mix, and its target at the end.
 
-Running sums don't need a sort of all rows: a source's rows are dealt into buckets of their shuffled order, and the mix
-into bins of finish time. Sums per bucket or bin are accumulated, and a window runs within each bucket, and within the one bin
-where the budget ends. So a source that holds most rows is spread over many tasks.
+A source's running sums don't need its rows in one task: they are dealt into buckets of their shuffled order, sums per bucket
+are accumulated, and a window runs within each bucket. The queue of all sources is then range-sorted by finish time and cut off
+at the budget: ranges whose sums end before it are in the mix, and a window runs within the one range where it ends. So a source that
+holds most rows is spread over many tasks, and ranges number as many as the shuffle's partitions.
 
 Defined results: the size of a null text is 0, and a row of size 0 is taken 0 words. Sources are ranked by code point, null last.
-Rows that repeat a doc_id are documents of their own; they should differ in doc_id for a fixed order. An empty table gives an
-empty result. Extra columns are ignored.
+Rows that repeat a doc_id, or have none, are documents of their own, each taken at most `epochs` times; they are told apart by their place in
+the input's files, which settles their order among themselves alone. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.runtime import written
+from strata.runtime import remove_written, row_key, scratch, stable, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -64,45 +65,54 @@ def _running(rows: DataFrame, value: str, parts: list[str], bucket: str, order:
     return rows.withColumn("_inside", inside).join(per, on).withColumn(out, F.col("_before") + F.col("_inside")).drop("_inside", "_before", "_bucket", *[f"_{c}" for c in parts])
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: str = "mix", rows_per_bucket: int = 4096, bins: int = 4096) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken for each row of docs (doc_id, text, source)."""
-    sized = written(docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size")), "sizes")
+def _mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: str = "mix", rows_per_bucket: int = 4096) -> DataFrame:
+    """file, row, doc_id, source, size, source_size, target and taken for each row of stable(docs)."""
+    key = row_key()
+    sized = written(docs.select(key["f"].alias("file"), key["n"].alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("total"), F.count("*").alias("n")).drop("n"), weights, share, epochs)
     targets = written(targets, "targets")
-    n, budget = sized.count(), targets.select(F.max("budget")).first()[0]
+    n, budget = sized.count(), targets.select(F.max("budget")).first()[0] or 0.0
     n_buckets = max(8, epochs * n // rows_per_bucket)
     t = targets.select(F.col("source").alias("_source"), F.col("total").alias("source_size"), "target")
     aimed = sized.join(F.broadcast(t) if targets.count() <= 100_000 else t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     # one row per document and epoch, in a shuffled order of its own in each epoch; rows without words or target aren't queued
-    queued = aimed.where("size > 0 AND target > 0").select("doc_id", "source", "size", "target", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
+    queued = aimed.where("size > 0 AND target > 0").select("file", "row", "doc_id", "source", "size", "target", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     queued = queued.withColumn("draw", _shuffle_key(F.col("epoch"), seed))
     first = F.conv(F.substring("draw", 1, 8), 16, 10).cast("long")
     queued = queued.withColumn("bucket", F.col("epoch") * n_buckets + F.floor(first * F.lit(n_buckets) / F.lit(1 << 32)))
     # one sum per source and bucket, not one task per source
-    finish = _running(queued, "size", ["source"], "bucket", ["draw", "doc_id"], "served").withColumn("finish", F.col("served") / F.col("target"))
-    finish = written(finish.withColumn("bin", F.floor(F.col("finish") * bins)), "queue")
-    order = ["finish", F.col("source").asc_nulls_last(), "epoch", "draw", "doc_id"]
-    # the bin where the budget ends; all bins before it are in the mix, all after it out
-    per = finish.groupBy("bin").agg(F.sum("size").alias("words"))
-    run = F.sum("words").over(Window.orderBy("bin"))
-    edge = per.select("bin", "words", (run - F.col("words")).alias("before")).where(F.col("before") < F.lit(budget or 0.0)).orderBy(F.desc("bin")).limit(1).first()
+    finish = _running(queued, "size", ["source"], "bucket", ["draw", "doc_id", "file", "row"], "served").withColumn("finish", F.col("served") / F.col("target"))
+    finish = written(finish.select("file", "row", "doc_id", "source", "size", "epoch", "draw", "finish"), "queue")
+    order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("epoch"), F.col("draw"), F.col("doc_id"), F.col("file"), F.col("row")]
+    ranged = written(finish.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    remove_written(finish)
+    before, edge = 0, None  # the range where the budget ends; all before it are in the mix, all after it out
+    for r in sorted(ranged.groupBy("part").agg(F.sum("size").alias("words")).collect(), key=lambda r: r["part"]):  # a row per range
+        if before < budget:
+            edge = (r["part"], before)
+        before += r["words"]
     if edge is None:
-        return aimed.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    inside = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    last = finish.where(F.col("bin") == edge["bin"]).withColumn("ahead", F.coalesce(inside, F.lit(0)) + edge["before"]).where(F.col("ahead") < budget)
-    picked = finish.where(F.col("bin") < edge["bin"]).select("doc_id", "source", "size").union(last.select("doc_id", "source", "size"))
-    taken = picked.groupBy(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.count("*").alias("_times"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
-    got = F.least(F.coalesce("_times", F.lit(0)), F.lit(epochs))
-    return aimed.join(taken, same, "left").select("doc_id", "source", "size", "source_size", "target", (F.col("size") * got).alias("taken"))
+        return aimed.withColumn("taken", F.lit(0).cast("long"))
+    ahead = F.coalesce(F.sum("size").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = ranged.where(F.col("part") == edge[0]).withColumn("ahead", ahead + edge[1]).where(F.col("ahead") < budget)
+    picked = ranged.where(F.col("part") < edge[0]).select("file", "row").union(last.select("file", "row"))
+    taken = picked.groupBy("file", "row").agg(F.count("*").alias("times"))
+    return aimed.join(taken, ["file", "row"], "left").withColumn("taken", F.col("size") * F.coalesce("times", F.lit(0))).drop("times")
+
+
+@scratch
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken for each row of docs (doc_id, text, source)."""
+    return _mixed(stable(docs), **how).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+@scratch
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """docs, each row as often as the mix takes it; rows that it leaves out are gone, and so are rows without words."""
-    got = mixed(docs, **how).where("taken > 0").select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), (F.col("taken") / F.col("size")).cast("int").alias("_mix_times"))
-    got = got.groupBy("_mix_id", "_mix_source", "_mix_size").agg(F.max("_mix_times").alias("_mix_times"))
-    same = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (word_count(F.col("text")) == F.col("_mix_size"))
-    return docs.join(got, same).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    docs = stable(docs)
+    got = _mixed(docs, **how).where("taken > 0").select(F.struct(F.col("file").alias("f"), F.col("row").alias("n")).alias("_mix_row"), (F.col("taken") / F.col("size")).cast("int").alias("_mix_times"))
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns], row_key().alias("_mix_row")).join(got, "_mix_row")
+    return kept.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
