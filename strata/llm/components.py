@@ -11,13 +11,13 @@ from strata.runtime import remove_written, written
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of u gets the least of u and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    least = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")  # by itself, so that Spark can split a node of many edges in the join
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours get the least of them. edges: v <= u."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     return edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
 
 
@@ -33,8 +33,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        nxt = written(tidy(_small_star(tidy(_large_star(state)))), "components")
+        middle = written(tidy(_large_star(state)), "components")
+        nxt = written(tidy(_small_star(middle)), "components")
         now = mark(nxt)
+        remove_written(middle)
         remove_written(state)
         state = nxt
         if now == seen:

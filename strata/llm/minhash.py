@@ -6,15 +6,17 @@
 2. A band is `rows` consecutive minima; representatives that agree on a band share its bucket. In each bucket every
    member is paired with its hub, the member that meets most others over all its bands: as many pairs as members. Members
    whose signature is fairly like the hub's are joined to the hub's group; groups are connected components of these pairs.
-3. Within a group members are compared in blocks, one pair of blocks a task: by set size, by signature (the bound lies five
-   standard deviations below the limit), then exactly on whole shingle sets. Pairs that links found in the task already join
-   are skipped. Only links leave the task, so a group of many texts that are nearly, but not quite, alike makes no rows.
+   Pairs whose signatures are alike enough for a link (the bound lies five standard deviations below the limit) are confirmed exactly.
+3. What these links join needs no more. In a group that they leave in several pieces another hub is taken from the largest piece
+   but the main one and compared with all that it isn't joined to, for a few rounds while the group is large. Members outside the main piece
+   are then compared with all others in blocks, one pair of blocks a task, by set size, signature and whole sets. So a
+   group of near copies that are linked to their hub costs a row a member, and only the rest is met in blocks. Only links leave a task.
 4. Members unlike their bucket's hub are compared with all of that bucket by signature, again in blocks, and what passes is
    confirmed on whole sets. Two members of a bucket are either both in the hub's group or met here: no link is lost.
 5. Components by large-star and small-star; each document gets its class's.
 
-Banding is the only step that may miss a link: with 30 bands of 5 rows, one of similarity 0.85 with probability 2e-8, one
-of 0.8 with 7e-6.
+Two steps may miss a link. Banding, with 30 bands of 5 rows: one of similarity 0.85 with probability 2e-8, one of 0.8 with
+7e-6. The bound on signatures, `agree` of `hashes` minima: one of 0.85 with probability 9e-7, one of 0.8 with 1.2e-6.
 
 Defined results: a null text is an empty one; a text without words has an empty set and is linked with nothing. A row
 without doc_id is in no group: component null, kept. Rows that repeat a doc_id with different texts are nodes of their
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.components import connected_components
 from strata.llm.wordhash import SPACE, WordHasher, grams, mix, runs
-from strata.runtime import ship, written
+from strata.runtime import scratch, ship, written
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,8 @@ class MinHashParams:
     rows: int = 5
     seed: int = 11
     block: int = 128
+    large: int = 1024  # members of a group that gets more hubs before blocks
+    rounds: int = 4
 
     @property
     def hashes(self) -> int:
@@ -126,15 +130,17 @@ def _banded(nodes: DataFrame, p: MinHashParams) -> DataFrame:
 
 
 def _like(pairs: DataFrame, nodes: DataFrame, p: MinHashParams) -> DataFrame:
-    """The pairs (u, v) whose signatures are fairly alike."""
+    """The pairs (u, v) whose signatures are fairly alike; near: alike enough for a link."""
 
     def run(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, p.hashes) for c in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= p.fair))
+            same = (x == y).sum(axis=1)
+            ok = np.flatnonzero(same >= p.fair)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), batch.column(1).take(pa.array(ok)), pa.array(same[ok] >= p.agree)], names=["u", "v", "near"])
 
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
-    return pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u long, v long")
+    return pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u long, v long, near boolean")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, p: MinHashParams) -> bool:
@@ -181,22 +187,53 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: MinHash
     return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def _in_blocks(members: DataFrame, key: str, p: MinHashParams, wanted: str = "true") -> DataFrame:
-    """key, block_l, block_r and the members of both blocks, for every pair of blocks of a key's members that meets `wanted`.
+def _in_blocks(members: DataFrame, key: str, p: MinHashParams) -> DataFrame:
+    """key, block_l, block_r and the members of both blocks, for every pair of blocks of a key's members of which one has x = 1.
 
-    Members are dealt to blocks of about p.block; wanted may test x_l and x_r, the greatest x of either block.
+    Members are dealt to blocks of about p.block, those with x = 0 and x = 1 apart.
     """
-    sized = members.join(members.groupBy(key).agg(F.count("*").alias("_k")), key).withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("_k") / p.block)).cast("int")).drop("_k")
+    per = written(members.groupBy(key, "x").agg(F.count("*").alias("_k")), "block-counts")
+    sized = members.join(per, [key, "x"]).withColumn("block", (F.pmod(F.xxhash64("node"), F.ceil(F.col("_k") / p.block)) * 2 + F.col("x")).cast("int")).drop("_k")
+    sized = written(sized, "blocks")
     blocks = sized.groupBy(key, "block").agg(F.max("x").alias("x"))
     left, right = (blocks.select(key, F.col("block").alias(f"block_{s}"), F.col("x").alias(f"x_{s}")) for s in ("l", "r"))
-    work = left.join(right, key).where(f"block_l <= block_r AND ({wanted})").select(key, "block_l", "block_r")
+    work = left.join(right, key).where("block_l <= block_r AND (x_l = 1 OR x_r = 1)").select(key, "block_l", "block_r")
     return work.withColumn("block", F.explode(F.array_distinct(F.array("block_l", "block_r")))).join(sized, [key, "block"]).drop("x")
 
 
-def _group_links(groups: DataFrame, nodes: DataFrame, docs: DataFrame, classes: DataFrame, p: MinHashParams) -> DataFrame:
-    """Links within groups (node, component), exact."""
-    sets = _shingles(docs, groups.select(F.col("node").alias("u")), classes, p).select(F.col("u").alias("node"), "s")
-    rows = _in_blocks(groups.withColumn("x", F.lit(0)), "component", p).join(nodes.select("node", "sig"), "node").join(sets, "node")
+def _pieces(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component, label, n_label, k, x: members of the groups (node, component) that links leave in several pieces.
+
+    label: the piece; k: the group's members; x: 0 in the group's largest piece, else 1.
+    """
+    joined = groups.join(connected_components(links).select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    joined = written(joined, "pieces")
+    per = written(joined.groupBy("component", "label").agg(F.count("*").alias("n_label")), "piece-counts")
+    main = per.groupBy("component").agg(F.max(F.struct("n_label", "label")).alias("main"), F.sum("n_label").alias("k"), F.count("*").alias("n")).where("n > 1").select("component", "main.label", "k")
+    torn = written(per.join(main.withColumnRenamed("label", "_main"), "component").withColumn("x", (F.col("label") != F.col("_main")).cast("int")).drop("_main"), "torn")
+    return written(joined.join(torn, ["component", "label"]), "members")
+
+
+def _group_links(groups: DataFrame, direct: DataFrame, nodes: DataFrame, docs: DataFrame, classes: DataFrame, p: MinHashParams) -> DataFrame:
+    """Links within groups (node, component), exact: the direct ones and those that join all that is linked."""
+    links = direct
+    members = _pieces(groups, links)
+    for _ in range(p.rounds):
+        large = members.where(F.col("k") > p.large)
+        if large.isEmpty():
+            break
+        hub = large.where("x = 1").groupBy("component").agg(F.max(F.struct("n_label", "node", "label")).alias("hub"))
+        hub = written(hub.select("component", F.col("hub.node").alias("u"), F.col("hub.label").alias("_label")), "hubs")
+        pairs = large.join(hub, "component").where("label <> _label").select("u", F.col("node").alias("v"))
+        more = written(_confirmed(written(_like(pairs, nodes, p).where("near").select("u", "v"), "pairs"), docs, classes, p), "links")
+        if more.isEmpty():
+            break
+        links = written(links.union(more), "links")
+        members = _pieces(groups, links)
+    if members.isEmpty():
+        return links
+    sets = _shingles(docs, members.select(F.col("node").alias("u")), classes, p).select(F.col("u").alias("node"), "s")
+    rows = _in_blocks(members.select("component", "node", "label", "x"), "component", p).join(nodes.select("node", "sig"), "node").join(sets, "node")
 
     def compare(table: pa.Table) -> pa.Table:
         node, block = table["node"].to_numpy(), table["block"].to_numpy()
@@ -204,7 +241,7 @@ def _group_links(groups: DataFrame, nodes: DataFrame, docs: DataFrame, classes:
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, p.hashes)
         sets = [np.frombuffer(x, np.uint64) for x in table["s"].to_pylist()]
         n = np.array([len(x) for x in sets])
-        root = np.arange(len(node))
+        root = np.unique(table["label"].to_numpy(), return_inverse=True)[1]
         u, v = [], []
         for i in np.argsort(node):
             if block[i] != left:
@@ -217,12 +254,12 @@ def _group_links(groups: DataFrame, nodes: DataFrame, docs: DataFrame, classes:
                     v.append(node[j])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return rows.groupBy("component", "block_l", "block_r").applyInArrow(compare, "u long, v long")
+    return links.union(rows.groupBy("component", "block_l", "block_r").applyInArrow(compare, "u long, v long"))
 
 
 def _apart(members: DataFrame, nodes: DataFrame, p: MinHashParams) -> DataFrame:
     """Candidate pairs by signature of members (band, node, x) of which one is unlike the hub (x = 1), from the first band they share."""
-    rows = _in_blocks(members, "band", p, "x_l = 1 OR x_r = 1").join(members.where("x = 1").select("band", "node", F.lit(True).alias("unlike")), ["band", "node"], "left").join(nodes.select("node", "n", "sig"), "node")
+    rows = _in_blocks(members, "band", p).join(members.where("x = 1").select("band", "node", F.lit(True).alias("unlike")), ["band", "node"], "left").join(nodes.select("node", "n", "sig"), "node")
 
     def compare(table: pa.Table) -> pa.Table:
         out_u, out_v = [], []
@@ -254,17 +291,18 @@ def _linked_classes(docs: DataFrame, p: MinHashParams, unnamed: bool = False) ->
     own = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("tkey") == F.col("least.tkey"))
     nodes = written(sk.join(classes, ["n", "f1", "f2"]).where(own).select("node", "n", "sig").dropDuplicates(["node"]), "nodes")
     banded = _banded(nodes, p)
-    sizes = banded.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
+    sizes = written(banded.groupBy("band").agg(F.count("*").alias("k")).where("k > 1"), "bucket-counts")  # by itself, so that Spark can split a hot bucket in the join
     shared = written(banded.join(sizes, "band").select("band", "node", "k"), "buckets")
     met = shared.groupBy("node").agg(F.sum("k").alias("met"))
-    hubs = shared.join(met, "node").groupBy("band").agg(F.max(F.struct("met", (-F.col("node")).alias("least"))).alias("hub"))
+    hubs = written(shared.join(met, "node").groupBy("band").agg(F.max(F.struct("met", (-F.col("node")).alias("least"))).alias("hub")), "hubs")
     to_hub = written(shared.join(hubs, "band").select("band", "node", (-F.col("hub.least")).alias("hub")), "hubs")
     pairs = to_hub.where("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     like = written(_like(pairs, nodes, p), "pairs")
-    links = written(_group_links(connected_components(like), nodes, docs, classes, p), "links")
+    direct = written(_confirmed(like.where("near").select("u", "v"), docs, classes, p), "links")
+    links = written(_group_links(connected_components(like.select("u", "v")), direct, nodes, docs, classes, p), "links")
     marked = to_hub.join(like.select(F.col("u").alias("hub"), F.col("v").alias("node"), F.lit(1).alias("_like")), ["hub", "node"], "left")
     marked = marked.select("band", "node", F.when((F.col("hub") == F.col("node")) | F.col("_like").isNotNull(), 0).otherwise(1).alias("x"))
-    torn = marked.groupBy("band").agg(F.max("x").alias("t")).where("t = 1").select("band")
+    torn = written(marked.groupBy("band").agg(F.max("x").alias("t")).where("t = 1").select("band"), "torn")
     more = written(_apart(written(marked.join(torn, "band", "left_semi"), "apart"), nodes, p), "pairs")
     if not more.isEmpty():
         links = links.union(_confirmed(more, docs, classes, p))
@@ -277,6 +315,7 @@ def _named(classes: DataFrame, links: DataFrame) -> DataFrame:
     return comps.join(comps.groupBy("component").agg(F.min("least").alias("first")), "component").select("n", "f1", "f2", "first")
 
 
+@scratch
 def near_duplicates(docs: DataFrame, params: MinHashParams | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text)."""
     p = params or MinHashParams()
@@ -295,6 +334,7 @@ def near_duplicates(docs: DataFrame, params: MinHashParams | None = None) -> Dat
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+@scratch
 def drop_near_duplicates(docs: DataFrame, params: MinHashParams | None = None) -> DataFrame:
     """docs with one row of each group of texts alike, that of the least doc_id; of rows without words one of each doc_id and text.
 
