@@ -3,9 +3,10 @@
 Every text is cut into overlapping passages, whole: `stride` words apart and twice as long, with the stride at least the
 longest item's, so an item that stands in a text stands whole in one passage. A passage's distinct words are the query. A
 posting's weight is its BM25 share of its item's own score, so a score runs from 0 to 1 and one threshold fits all items.
-Items whose score can't reach the threshold are skipped without a miss: first whole passages, by the sum of the largest
-weight of each word, then blocks of items, by the sum of each word's largest weight in the block. All items that reach the
-threshold are retrieved. A retrieved item is reported if enough of its question's and of its answer's word n-grams stand in the passage.
+Block-max WAND walks the postings of a passage's words with a cursor each, in the order of items. The pivot is the first item at which
+the largest weights of the words whose cursors stand before or at it can reach the threshold. If the largest weights of its block
+can't, the cursors skip the block; else they move to the pivot and score it. A passage without a pivot at the start, which is
+most of them, is seen to have none by one sum for all passages at once. All items that reach the threshold are retrieved. A retrieved item is reported if enough of its question's and of its answer's word n-grams stand in the passage.
 
 The index holds test items, whose number doesn't grow with the corpus. It is built in blocks of at most `index_bytes` of
 item text; a larger benchmark takes several passes over the texts. Term counts, the number of items and their lengths are
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.wordhash import ALNUM, WordHasher, Words, grams, runs
-from strata.runtime import ship, written
+from strata.runtime import scratch, ship, written
 
 
 @dataclass(frozen=True)
@@ -98,9 +99,9 @@ class Index:
         np.maximum.at(self.most, rowterm, self.weight)
         key = rowterm * (len(rows) // p.block + 1) + self.item // p.block
         heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, int)
-        self.block, self.block_most = self.item[heads] // p.block, np.maximum.reduceat(self.weight, heads) if len(heads) else np.empty(0)
-        self.block_first = np.searchsorted(rowterm[heads], np.arange(len(self.terms) + 1))
+        self.block_key, self.block_most = key[heads], np.maximum.reduceat(self.weight, heads) if len(heads) else np.empty(0)
         self.n_blocks = len(rows) // p.block + 1
+        self.posting = rowterm * max(len(rows), 1) + self.item  # ascending: a cursor moves by a search in it
         self.sides = []
         for i in kept:
             q, a = (self._grams(hasher, s, p.n) for s in parts(items[i][1]))
@@ -124,38 +125,51 @@ class _Side:
         return len(self.hashes)
 
 
-def _expand(rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row its index range, flat: (index into rows, index into postings)."""
-    n = last - first
-    who = np.repeat(np.arange(len(rows)), n)
-    return who, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-
-
-def _summed(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(key, return_inverse=True)
-    return keys, np.bincount(at, value, len(keys))
-
-
-def retrieve(passage: np.ndarray, term: np.ndarray, ix: Index, p: DecontamParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _wand(term: np.ndarray, ix: Index, p: DecontamParams):
+    """(item, score) of all items that reach the threshold for the words of one passage, items ascending."""
+    least, n = p.threshold - 1e-9, len(ix.ids)
+    cursor, end, most = ix.first[term].copy(), ix.first[term + 1], ix.most[term]
+    at = np.where(cursor < end, ix.item[np.minimum(cursor, len(ix.item) - 1)], n)
+
+    def move(which: np.ndarray, to: int) -> None:
+        """Cursors to their words' first posting of an item not before `to`."""
+        t = term[which]
+        cursor[which] = np.minimum(np.searchsorted(ix.posting, t * n + min(to, n)), end[which]) if to < n else end[which]
+        c = cursor[which]
+        at[which] = np.where(c < end[which], ix.item[np.minimum(c, len(ix.item) - 1)], n)
+
+    while True:
+        order = np.argsort(at, kind="stable")
+        reach = np.cumsum(most[order])
+        j = int(np.searchsorted(reach, least))
+        if j == len(order) or at[order[j]] == n:
+            return
+        pivot = int(at[order[j]])
+        upto = order[: int(np.searchsorted(at[order], pivot, side="right"))]
+        block = pivot // p.block
+        key = term[upto] * ix.n_blocks + block
+        k = np.minimum(np.searchsorted(ix.block_key, key), len(ix.block_key) - 1)
+        if ix.block_most[k][ix.block_key[k] == key].sum() < least:
+            after = int(at[order[len(upto)]]) if len(upto) < len(order) else n
+            move(upto, min((block + 1) * p.block, after))  # no item before can reach the threshold
+        elif at[order[0]] == pivot:
+            score = float(ix.weight[cursor[upto]].sum())
+            if score >= least:
+                yield pivot, score
+            move(upto, pivot + 1)
+        else:
+            move(upto[at[upto] < pivot], pivot)
+
+
+def retrieve(passage: np.ndarray, term: np.ndarray, ix: Index, p: DecontamParams):
     """(passage, item, score) of all that reach the threshold. (passage, term) distinct, passages ascending."""
-    least = p.threshold - 1e-9
-    n = int(passage[-1]) + 1 if len(passage) else 0
-    alive = np.bincount(passage, ix.most[term], n) >= least
-    ok = alive[passage]
-    passage, term = passage[ok], term[ok]
-    who, at = _expand(term, ix.block_first[term], ix.block_first[term + 1])
-    keys, bound = _summed(passage[who] * ix.n_blocks + ix.block[at], ix.block_most[at])
-    keys = keys[bound >= least]
-    if not len(keys):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    ok = np.isin(passage, keys // ix.n_blocks)
-    passage, term = passage[ok], term[ok]
-    who, at = _expand(term, ix.first[term], ix.first[term + 1])
-    own = passage[who] * ix.n_blocks + ix.item[at] // p.block
-    ok = np.isin(own, keys)
-    pair, score = _summed(passage[who][ok] * len(ix.ids) + ix.item[at][ok], ix.weight[at][ok])
-    ok = score >= least
-    return pair[ok] // len(ix.ids), pair[ok] % len(ix.ids), score[ok]
+    if not len(passage):
+        return
+    alive = np.flatnonzero(np.bincount(passage, ix.most[term]) >= p.threshold - 1e-9)
+    lo, hi = np.searchsorted(passage, alive), np.searchsorted(passage, alive, side="right")
+    for q, a, b in zip(alive.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        for item, score in _wand(term[a:b], ix, p):
+            yield q, item, score
 
 
 def scan(texts: list[bytes], hasher: WordHasher, ix: Index, p: DecontamParams):
@@ -175,7 +189,7 @@ def scan(texts: list[bytes], hasher: WordHasher, ix: Index, p: DecontamParams):
         own = base[doc] + step
         before = step > 0
         key = np.unique(np.concatenate([own, own[before] - 1]) * len(ix.terms) + np.concatenate([term, term[before]]))
-        for q, i, score in zip(*retrieve(key // len(ix.terms), key % len(ix.terms), ix, p), strict=True):
+        for q, i, score in retrieve(key // len(ix.terms), key % len(ix.terms), ix, p):
             d = int(np.searchsorted(base, q, side="right") - 1)
             while steps[d] == 0:
                 d -= 1
@@ -254,10 +268,14 @@ def _found(docs: DataFrame, benchmark: DataFrame, p: DecontamParams) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in HITS.split(", ")])
 
         hits = rows.mapInArrow(run, HITS)
+        if n > 1:  # one block's index at a time
+            hits = written(hits, "benchmark-hits")
+            shared.destroy()
         found = hits if found is None else found.union(hits)
     return found
 
 
+@scratch
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, params: DecontamParams | None = None) -> DataFrame:
     """One row per document and item found in it: its best passage."""
     found = _found(docs.where("doc_id IS NOT NULL"), benchmark, params or DecontamParams())
@@ -265,6 +283,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, params: DecontamParams
     return found.groupBy("doc_id", "item_id").agg(F.max(best).alias("b")).select("doc_id", "item_id", "b.score", "b.question_overlap", "b.answer_overlap", (-F.col("b.w")).alias("first_word"))
 
 
+@scratch
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, params: DecontamParams | None = None) -> DataFrame:
     """docs without the rows in which an item is found, with or without doc_id."""
     hit = _found(docs, benchmark, params or DecontamParams()).select(F.col("doc_id").alias("_hit_id"), F.col("tkey").alias("_hit_text")).distinct()
