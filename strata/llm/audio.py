@@ -1,14 +1,16 @@
 """Audio features: 8-bit PCM in WAV files, polyphase resampling, overlapped log-mel filterbanks, hysteresis segmentation.
 
 The stored form is a RIFF/WAVE file of one channel of unsigned 8-bit samples, so any bytes are kept without loss. The
-features are computed from what is read back from that file, over all samples:
+files are written to the shared folder, a binary column of a Parquet table, and the features are computed from what is read back from there,
+over all samples:
 
 * resampling by up/down with a Kaiser-windowed low-pass filter, split into `up` phases, each a plain dot product;
 * frames of `frame` samples every `hop`, Hann window, real FFT, triangular mel filters, natural log;
 * a frame is active from where its energy exceeds the upper threshold until it falls below the lower one.
 
 The log-mel matrix is cut into tensors of one fixed shape (tensor_frames, n_mels), float32, the last one padded with the
-log floor; each tensor and each active segment carries its time span in seconds.
+log floor; each tensor and each active segment carries its time span in seconds. write_tensors() stores them as Arrow files of
+the fixed-shape tensor type, a file for each task.
 
 Defined results: a null payload is an empty one. Equal payloads give equal values. Repeated rows give repeated result
 rows, a null doc_id stays null. Extra columns of the input are ignored. Each row is handled alone: nothing is shuffled.
@@ -18,16 +20,18 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.runtime import ship
+from strata.runtime import filesystem, ship, written
 
 UNIT = 64
 
@@ -162,13 +166,42 @@ FEATURE_SCHEMA = (
 )
 
 
+MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary"
+
+
+def stored_media(docs: DataFrame, params: AudioParams | None = None, payload_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes (unpadded) and the WAV file of each row of docs, written."""
+    ship(docs.sparkSession)
+    p = params or AudioParams()
+
+    def run(batches):
+        for batch in batches:
+            rows, held = [], 0
+            for doc_id, payload in zip(batch.column(0), batch.column(1), strict=True):
+                raw = payload.as_py() or b""
+                rows.append((doc_id.as_py(), len(raw), to_wav(pad(raw), p.rate)))
+                held += len(raw)
+                if held > 8_000_000:
+                    yield _media_batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _media_batch(rows)
+
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(payload_col).cast("binary").alias("payload")).mapInArrow(run, MEDIA_SCHEMA), "media", "zstd")
+
+
+def _media_batch(rows: list[tuple]) -> pa.RecordBatch:
+    ids, sizes, media = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+
 def audio_features(docs: DataFrame, params: AudioParams | None = None, payload_col: str = "text") -> DataFrame:
     """One row for each row of docs (doc_id, payload_col): the WAV file, its tensors and their time spans, active segments.
 
-    Each of `tensors` is a flat fixed-shape tensor of tensor_frames * n_mels values; tensor_table() gives Arrow's type.
+    Each of `tensors` is a flat fixed-shape tensor of tensor_frames * n_mels values; write_tensors() stores Arrow's type.
     """
-    ship(docs.sparkSession)
     p = params or AudioParams()
+    media = stored_media(docs, p, payload_col)
     size = p.tensor_frames * p.n_mels
 
     def run(batches):
@@ -186,15 +219,14 @@ def audio_features(docs: DataFrame, params: AudioParams | None = None, payload_c
 
         for batch in batches:
             rows, values, counts, held = [], [], [], 0
-            for doc_id, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = payload.as_py() or b""
-                media = to_wav(pad(raw), p.rate)
+            for doc_id, n_bytes, stored in zip(*(batch.column(c) for c in range(3)), strict=True):
+                media = stored.as_py()
                 back = from_wav(media)
                 mel, active = features(back, p)
                 t = tensors(mel, p)
                 at = [{"start_s": i * p.tensor_frames * step, "end_s": min((i + 1) * p.tensor_frames, len(mel)) * step} for i in range(len(t))]
                 on = [{"start_s": a * step, "end_s": b * step} for a, b in active]
-                rows.append((doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), media, hashlib.sha256(media).hexdigest(), len(mel), at, on))
+                rows.append((doc_id.as_py(), n_bytes.as_py(), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), media, hashlib.sha256(media).hexdigest(), len(mel), at, on))
                 values.append(t.reshape(-1))
                 counts.append(len(t))
                 held += len(media) + t.nbytes
@@ -204,7 +236,38 @@ def audio_features(docs: DataFrame, params: AudioParams | None = None, payload_c
             if rows:
                 yield emit(rows, values, counts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(payload_col).cast("binary").alias("payload")).mapInArrow(run, FEATURE_SCHEMA)
+    return media.mapInArrow(run, FEATURE_SCHEMA)
+
+
+def write_tensors(features: DataFrame, uri: str, params: AudioParams | None = None) -> DataFrame:
+    """Writes the tensors of audio_features() below uri as Arrow files: doc_id, start_s, end_s and log_mel, a fixed-shape tensor.
+
+    Returns path, n_rows of each file; runs at once. Each task writes a file under a name of its own and then renames it, so a task that runs
+    again leaves one file.
+    """
+    p = params or AudioParams()
+
+    def run(batches):
+        fs, root = filesystem(uri)
+        fs.create_dir(root, recursive=True)
+        name = f"{root}/part-{TaskContext.get().partitionId():06d}.arrow"
+        own, n = f"{name}.{uuid.uuid4().hex}", 0
+        with fs.open_output_stream(own) as out:
+            writer = None
+            for batch in batches:
+                table = tensor_table(pa.Table.from_batches([batch]), p)
+                writer = writer or pa.ipc.new_file(out, table.schema)
+                writer.write_table(table)
+                n += len(table)
+            if writer is not None:
+                writer.close()
+        if writer is None:
+            fs.delete_file(own)
+            return
+        fs.move(own, name)
+        yield pa.RecordBatch.from_pydict({"path": [name], "n_rows": pa.array([n], pa.int64())})
+
+    return written(features.select("doc_id", "tensor_spans", "tensors").mapInArrow(run, "path string, n_rows long"), "tensors")
 
 
 def tensor_table(rows: pa.Table, params: AudioParams | None = None) -> pa.Table:
