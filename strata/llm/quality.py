@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.wordhash import ALNUM, WordHasher, mix, runs
-from strata.runtime import ship, written
+from strata.runtime import scratch, ship, written
 
 HEADS = ("junk", "toxic")
 STYLE = ("letters", "upper", "digits", "punctuation", "marks", "bars", "lines", "repeats")
@@ -236,13 +236,16 @@ def posterior(docs: DataFrame, labels: DataFrame, params: QualityParams | None =
     return out.withColumn("kept", (F.col("p_junk") < p.reject) & (F.col("p_toxic") < p.reject))
 
 
+@scratch
 def quality_digest(docs: DataFrame, labels: DataFrame, params: QualityParams | None = None) -> DataFrame:
     rounded = lambda c: F.round(c, 6).alias(c)
     return posterior(docs, labels, params).select("doc_id", "host", "path", "site_n", rounded("rate_junk"), rounded("rate_toxic"), rounded("p_junk"), rounded("p_toxic"), "kept")
 
 
+@scratch
 def filter_quality(docs: DataFrame, labels: DataFrame, params: QualityParams | None = None) -> DataFrame:
-    """docs without the rejected rows, all columns kept."""
-    gone = posterior(docs, labels, params).where("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("tkey").alias("_gone_text")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.col("text")) == F.col("_gone_text"))
+    """docs without the rejected rows, all columns kept. A text is judged with its source and language: its copy at another site may stay."""
+    gone = posterior(docs, labels, params).where("NOT kept").select(*[F.col(c).alias(f"_gone_{c}") for c in ("doc_id", "tkey", "host", "path")]).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_doc_id")) & (F.xxhash64(F.col("text")) == F.col("_gone_tkey"))
+    same = same & F.col("source").cast("string").eqNullSafe(F.col("_gone_host")) & F.col("lang").cast("string").eqNullSafe(F.col("_gone_path"))
     return docs.join(gone, same, "left_anti")

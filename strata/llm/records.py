@@ -32,12 +32,11 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.runtime import new_path, ship, written
+from strata.runtime import filesystem, new_path, scratch, ship, written
 
 #: The mask of TFRecord checksums, and how a record and an index end.
 MASK = 0xA282EAD8
@@ -190,12 +189,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """Arrow's file system for an address that Spark takes: Hadoop's names of S3 are one to Arrow."""
-    scheme, _, rest = uri.partition("://")
-    return pafs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
-
-
 def write_file(uri: str, records: Iterable[tuple[int | None, bytes]]) -> tuple[int, int]:
     """Writes uri.rec and uri.idx; the records and the ids in them."""
     fs, path = filesystem(uri)
@@ -303,6 +296,7 @@ def read_records(spark: SparkSession, parts: DataFrame) -> DataFrame:
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+@scratch
 def records_digest(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     spark = docs.sparkSession
     return read_records(spark, write_records(docs, tokenizer_path, new_path(spark, "token-records"), end_id))
