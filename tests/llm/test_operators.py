@@ -74,16 +74,29 @@ def test_sharding_measures_the_last_ranges(spark, monkeypatch):
 
     def slow(keys, aim):
         calls.append(len(keys))
-        return [] if len(calls) == 1 else [keys[6][:2]]
+        return [] if len(calls) == 1 else [keys[6][:3]]
 
     monkeypatch.setattr(sharding, "_quantile_splitters", slow)
     rows = [(i, f"text {i:03}", "en", "s", 0) for i in range(80)]
     d = docs(spark, rows)
-    got = sharding.shard_plan(d, 2, ranges_per_shard=6).place(d).collect()
+    got = sharding.shard_plan(d, 2, ranges_per_shard=6).place().collect()
     assert sorted(r["doc_id"] for r in got) == list(range(80))
     assert len({(r["shard"], r["slot"]) for r in got}) == 80 and len(calls) > 9
 
 
+def test_sharding_spreads_repeated_rows(spark, tmp_path):
+    """Rows that repeat doc_id and text, and a text under many null doc_ids, are dealt to all shards; slots have no gaps."""
+    rows = [(7, "one text", "en", "s", 0)] * 1500 + [(None, "another", "en", "s", 0)] * 1500
+    docs(spark, rows).repartition(6).write.parquet(f"{tmp_path}/d")
+    got = sharding.shard_digest(spark.read.parquet(f"{tmp_path}/d")).collect()
+    per = Counter(r["shard"] for r in got)
+    size = Counter()
+    for r in got:
+        size[r["shard"]] += r["size"]
+    assert len(got) == 3000 and set(per) == set(range(8)) and max(size.values()) - min(size.values()) < 0.1 * sum(size.values()) / 8
+    assert all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(per[k])) for k in per)
+
+
 # --- 2 -------------------------------------------------------------------------------------------------------------
 
 
@@ -102,6 +115,46 @@ def test_audio(spark, d, odd):
     assert audio.audio_digest(docs(spark, [])).count() == 0
 
 
+def test_log_mel_by_direct_computation():
+    """Frames, window, spectrum and filters as their definitions have them."""
+    p = audio.AudioParams()
+    x = np.random.default_rng(1).integers(0, 256, 4000).astype(np.uint8)
+    mel, _ = audio.features(x.tobytes(), p)
+    y = audio.resample((x.astype(np.float32) - 128) / 128, p)
+    n = 1 + max(0, -(-(len(y) - p.frame) // p.hop))
+    assert len(mel) == n
+    y = np.concatenate([y, np.zeros(p.frame)]).astype(float)
+    top = 2595 * np.log10(1 + p.out_rate / 2 / 700)
+    edge = [700 * (10 ** (top * j / (p.n_mels + 1) / 2595) - 1) for j in range(p.n_mels + 2)]
+    t = np.arange(p.frame)
+    for i in (0, 3, n // 2, n - 1):
+        part = y[i * p.hop : i * p.hop + p.frame] * (0.5 - 0.5 * np.cos(2 * np.pi * t / p.frame))
+        power = [abs(np.sum(part * np.exp(-2j * np.pi * b * t / p.n_fft))) ** 2 for b in range(p.n_fft // 2 + 1)]
+        for j in range(p.n_mels):
+            total = 0.0
+            for b, e in enumerate(power):
+                f = b * p.out_rate / p.n_fft
+                total += e * max(0.0, min((f - edge[j]) / (edge[j + 1] - edge[j]), (edge[j + 2] - f) / (edge[j + 2] - edge[j + 1])))
+            assert abs(mel[i, j] - np.log(total + p.floor)) < 1e-2, (i, j)
+
+
+def test_tensor_files(spark, d, tmp_path):
+    """Tensors as Arrow's fixed-shape type, in files that executors write, with their spans."""
+    import pyarrow as pa
+
+    p = audio.AudioParams()
+    f = audio.audio_features(d)
+    files = audio.write_tensors(f, f"file://{tmp_path}/t").collect()
+    tables = [pa.ipc.open_file(r["path"]).read_all() for r in files]
+    got = pa.concat_tables(tables)
+    assert got["log_mel"].type == pa.fixed_shape_tensor(pa.float32(), (p.tensor_frames, p.n_mels)) and [r["n_rows"] for r in files] == [len(t) for t in tables]
+    assert len(got) == f.agg(F.sum(F.size("tensors"))).first()[0]
+    own = f.where("doc_id = 23").first()
+    mine = got.filter(pa.compute.equal(got["doc_id"], 23)).combine_chunks()
+    assert [round(x, 6) for x in mine["start_s"].to_pylist()] == [round(s["start_s"], 6) for s in own["tensor_spans"]]
+    assert np.array_equal(mine["log_mel"].combine_chunks().to_numpy_ndarray()[0].ravel(), np.array(own["tensors"][0], np.float32))
+
+
 def test_resampling_and_segments():
     p = audio.AudioParams()
     t = np.arange(12000) / p.rate
@@ -153,6 +206,39 @@ def test_site_posteriors(spark):
     assert got[None]["n"] == 50
 
 
+def test_posteriors_by_brute_force(spark):
+    """Strengths, host and path rates and posteriors, computed row by row."""
+    rows, labels = labelled(300)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    p = quality.QualityParams()
+    model = quality.fit(docs(spark, rows), lab, p)
+    got = by_id(quality.posterior(docs(spark, rows), lab, p, model=model))
+    for i, h in enumerate(("junk", "toxic")):
+        llr = {k: r[f"llr_{h}"] for k, r in got.items()}
+        prob = {k: 1 / (1 + np.exp(-z)) for k, z in llr.items()}
+        site = {k: (r[3], r[2]) for k, r in ((r[0], r) for r in rows)}
+        hosts, paths = {}, {}
+        for k, s in site.items():
+            hosts.setdefault(s[0], []).append(prob[k])
+            paths.setdefault(s, []).append(prob[k])
+        mu = (sum(prob.values()) + 0.5) / (len(prob) + 1)
+
+        def strength(groups):
+            total = sum(n for _, n, _ in groups)
+            between = sum(n * (x - m) ** 2 for x, n, m in groups) / total
+            chance = sum(m * (1 - m) for _, _, m in groups) / total
+            return max(1.0, min(1e4, max(m * (1 - m) for _, _, m in groups) / max(between - chance, 1e-9) - 1))
+
+        kh = strength([(sum(v) / len(v), len(v), mu) for v in hosts.values()])
+        rate_h = {k: (sum(v) + kh * mu) / (len(v) + kh) for k, v in hosts.items()}
+        kp = strength([(sum(v) / len(v), len(v), rate_h[k[0]]) for k, v in paths.items()])
+        for k, s in site.items():
+            v = paths[s]
+            rate = (sum(v) + kp * rate_h[s[0]]) / (len(v) + kp)
+            odds = llr[k] - float(model.prior[i]) + np.log(rate) - np.log(1 - rate)
+            assert abs(got[k][f"rate_{h}"] - rate) < 1e-6 and abs(got[k][f"p_{h}"] - 1 / (1 + np.exp(-odds))) < 1e-6 and got[k]["site_n"] == len(v)
+
+
 def test_quality_without_labels(spark, d):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.filter_quality(d, none).count() == d.count()
@@ -197,6 +283,33 @@ def test_minhash_finds_links_away_from_the_hub(spark):
     assert got == classes(rows, 3, 80) and {v[1] for v in got.values()} == {0}
 
 
+def test_minhash_takes_more_hubs_in_large_groups(spark):
+    """A group of near copies that its first hub leaves in pieces."""
+    base = prose(61, 150)
+    rows = [(i, edited(base, 20 + i % 37) + f" end{i % 11}", "en", "s", 0) for i in range(60)]
+    p = minhash.MinHashParams(words=3, percent=85, block=4, large=5, rounds=2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs(spark, rows), p).collect()}
+    assert got == classes(rows, 3, 85)
+
+
+def test_minhash_group_of_near_copies_is_linear(spark, monkeypatch):
+    """Members that are linked to their hub never meet in blocks: rows there follow the rest alone."""
+    base = prose(62, 200).split()
+    rows = [(i, " ".join([*base[: i % 200], f"new{i}", *base[i % 200 :]]), "en", "s", 0) for i in range(400)]
+    dealt = []
+    blocks = minhash._in_blocks
+
+    def counted(*a):
+        out = blocks(*a)
+        dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_in_blocks", counted)
+    p = minhash.MinHashParams(words=3, percent=85, block=8, large=50)
+    got = minhash.near_duplicates(docs(spark, rows), p).select("component_id").distinct().collect()
+    assert [r[0] for r in got] == [0] and sum(dealt) < 4 * len(rows)
+
+
 def test_minhash_odd_rows(spark, odd):
     kept = minhash.drop_near_duplicates(odd)
     assert 11 not in {r["doc_id"] for r in kept.collect()} and "band" in kept.columns
@@ -380,14 +493,55 @@ def test_repeats(spark):
     assert got == cut_repeats(rows, 200)
 
 
-def test_suffix_ranks(spark):
-    """Ranks of all suffixes of a few strings, in the order of plain comparison."""
-    strings = ["banana", "bandana", "b", "anab", "cabbagcab"]
-    rows = [(k, 0, i, ord(c)) for k, s in enumerate(strings) for i, c in enumerate(s)]
-    got = suffix_dedup.suffix_ranks(spark.createDataFrame(rows, "sid long, path long, i int, c long"), 4, 2).collect()
-    suffix = {(r["sid"], r["i"]): strings[r["sid"]][r["i"] :] for r in got}
-    order = [suffix[r["sid"], r["i"]] for r in sorted(got, key=lambda r: r["rank"])]
-    assert len(got) == len(rows) and order == sorted(order) and sorted(r["rank"] for r in got) == list(range(len(rows)))
+@pytest.mark.parametrize("most", [2000, 2])
+def test_repeats_of_many_kinds(spark, most):
+    """Stretches that end within phrases, periodic texts, a passage of many texts; k-grams compared in a task or dealt by hash."""
+    import random
+
+    r = random.Random(5)
+    base = [prose(100 + i, 60) for i in range(5)]
+    rows = []
+    for i in range(40):
+        text = ""
+        for _ in range(r.randrange(1, 5)):
+            b = r.choice(base)
+            a = r.randrange(len(b) - 150)
+            text += b[a : a + r.randrange(100, 500)] + prose(r.randrange(10**6), r.randrange(1, 30))
+        rows.append((i, text, "en", "s", 0))
+    rows += [(100 + i, prose(7000 + i, 5) + "ab" * r.randrange(60, 400) + prose(8000 + i, 5) + "x" * r.randrange(100, 900), "en", "s", 0) for i in range(8)]
+    rows += [(200 + i, prose(9000 + i, r.randrange(1, 40)) + base[0][10:215] + prose(9500 + i, r.randrange(1, 40)), "en", "s", 0) for i in range(12)]
+    got = sorted(tuple(x) for x in suffix_dedup.repeats_digest(docs(spark, rows), suffix_dedup.RepeatParams(most=most)).collect())
+    assert got == cut_repeats(rows, 200)
+
+
+def test_suffix_order(spark):
+    """Names put suffixes in an order in which each stands beside those that share most letters with it."""
+    p = suffix_dedup.RepeatParams(length=24, k=4)  # a comparison needs up to 20 letters: three rounds of names
+    words = ["banana" * 6, "bandana" * 5, "ananab", "cabbagcabbagcab", "b"]
+    rows = []
+    for k, w in enumerate(words):
+        n = len(w)
+        data = {"c": [ord(x) for x in w], "h": [ord(x) for x in w], "d": [1] * n, "pos": range(n), "new": [1] + [0] * (n - 1)}
+        rows.append((k, *(bytearray(np.array(list(v)).astype(suffix_dedup._PACKED[c]).tobytes()) for c, v in data.items())))
+    base = spark.createDataFrame(rows, "sid long, c binary, h binary, d binary, pos binary, new binary")
+    found = {}
+    for part in suffix_dedup.shared_lengths(base, p):
+        for x in part.collect():
+            found[x["sid"], x["pos"]] = max(found.get((x["sid"], x["pos"]), 0), x["most"])
+    every = [(k, i) for k, w in enumerate(words) for i in range(len(w))]
+
+    def shared(a, b):
+        x, y = words[a[0]][a[1] :], words[b[0]][b[1] :]
+        n = 0
+        while n < min(len(x), len(y)) and x[n] == y[n]:
+            n += 1
+        return min(n, p.length - p.k)
+
+    for a in every:
+        best = max(shared(a, b) for b in every if b != a)
+        want = best + p.k if best + p.k >= p.length else 0
+        assert found.get(a, 0) >= want or found.get(a, 0) == 0 and want == 0, (a, best, found.get(a))
+        assert found.get(a, 0) <= max(shared(a, b) for b in every if b != a) + p.k + 1
 
 
 def test_repeats_in_an_empty_table(spark):
@@ -397,6 +551,22 @@ def test_repeats_in_an_empty_table(spark):
 # --- 9 -------------------------------------------------------------------------------------------------------------
 
 
+def test_mixing_of_repeated_rows(spark):
+    """Rows that repeat a doc_id are documents of their own: what they take together comes near the target."""
+    rows = [(1, "a b c d", "en", "x", 0)] * 300 + [(i, "e f g", "en", "y", 0) for i in range(100, 400)] + [(None, "h i", "en", "z", 0)] * 200
+    got = mixing.mix_digest(docs(spark, rows)).collect()
+    size = {(1200, 4): "x", (900, 3): "y", (400, 2): "z"}
+    taken, target = Counter(), {}
+    for r in got:
+        s = size[r["source_size"], r["size"]]
+        taken[s] += r["taken"]
+        target[s] = r["target"]
+        assert r["taken"] <= 2 * r["size"]
+    assert len(got) == 800 and all(abs(taken[s] - target[s]) <= 8 for s in target)
+    mix = Counter(r["source"] for r in mixing.mix_documents(docs(spark, rows)).collect())
+    assert {s: n * {"x": 4, "y": 3, "z": 2}[s] for s, n in mix.items()} == {s: n for s, n in taken.items() if n}
+
+
 def test_mixing(spark, odd):
     rows = [(i, prose(i, 5 + i % 40), "en", ["a", "b", None, "c"][0 if i % 3 == 0 else i % 4], 0) for i in range(2000)]
     got = mixing.mix_digest(docs(spark, rows)).collect()
