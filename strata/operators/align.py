@@ -57,10 +57,17 @@ def align(lhs: DataFrame, rhs: DataFrame, key: str, idx: str = "_rid", value: st
     schema = f"{key} {dict(lhs.dtypes)[key]}, op string, lhs_first long, lhs_n long, rhs_first long, rhs_n long"
 
     def run(k, a, b):
-        rows = [(k[0], t, i, j - i, m, n - m) for t, i, j, m, n in opcodes(a.sort_values(idx)[value].tolist(), b.sort_values(idx)[value].tolist())]
+        rows = [(k[0], t, i, j - i, m, n - m) for t, i, j, m, n in opcodes(_values(a, idx, value), _values(b, "_i", "_v"))]
         return pd.DataFrame(rows, columns=[key, "op", "lhs_first", "lhs_n", "rhs_first", "rhs_n"])
 
-    return lhs.select(key, idx, value).groupBy(key).cogroup(rhs.select(key, idx, value).groupBy(key)).applyInPandas(run, schema)
+    # columns of their own on the right: where both sides come from one table, Spark would leave out columns that they share
+    right = rhs.select(F.col(key).alias("_k"), F.col(idx).alias("_i"), F.col(value).alias("_v"))
+    return lhs.select(key, idx, value).groupBy(key).cogroup(right.groupBy("_k")).applyInPandas(run, schema)
+
+
+def _values(f: pd.DataFrame, idx: str, value: str) -> list:
+    """The list of a group in order; a list that one side lacks is empty."""
+    return f.sort_values(idx)[value].tolist() if len(f) else []
 
 
 def merge3(base: DataFrame, a: DataFrame, b: DataFrame, key: str, idx: str = "_rid", value: str = "value") -> DataFrame:

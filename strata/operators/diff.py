@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators.ordinal import with_ordinal
+
 
 def _differs(values: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [~F.col(f"l.{v}").eqNullSafe(F.col(f"r.{v}")) for v in values], F.lit(False))
@@ -77,8 +79,5 @@ def pruned_dual_diff(lhs: DataFrame, rhs: DataFrame, keys: list[str], values: li
 
 def ranges(positions: DataFrame, idx: str = "_rid") -> DataFrame:
     """Positions as maximal runs: first, n."""
-    from pyspark.sql import Window
-
-    # one window over positions only; callers with very many runs partition by object first
-    island = F.col(idx) - F.row_number().over(Window.orderBy(idx))
-    return positions.select(F.col(idx).alias("i"), island.alias("g")).groupBy("g").agg(F.min("i").alias("first"), F.count("*").alias("n")).select("first", "n")
+    numbered = with_ordinal(positions.select(F.col(idx).alias("i")).distinct(), ["i"], "_n")
+    return numbered.groupBy((F.col("i") - F.col("_n")).alias("g")).agg(F.min("i").alias("first"), F.count("*").alias("n")).select("first", "n")

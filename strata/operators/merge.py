@@ -6,9 +6,11 @@ to runs of neighbouring base keys, and runs of both sides that overlap without b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators.ordinal import running_sum
+
 
 def _side(df: DataFrame, keys: list[str], values: list[str], name: str) -> DataFrame:
     value = F.struct(*[F.col(v) for v in values]) if values else F.struct(F.lit(1))
@@ -55,12 +57,12 @@ def region_conflicts(base: DataFrame, a: DataFrame, b: DataFrame, key: str, valu
     """Runs of neighbouring changed keys in which both sides have edits that aren't the same: group, first_key, last_key.
 
     Keys of `base` and of both sides are put in one order per `group` (an object); a key new to the base stands next to the base
-    key before it. Without a group the order is that of one object, in one task.
+    key before it. The order is kept in ranges, so that no task holds an object.
     """
     group = group or []
     rows = _three(base, a, b, [*group, key], values).withColumn("changed", F.col("c1") | F.col("c2"))
-    w = Window.partitionBy(*group).orderBy(key)
-    rows = rows.withColumn("run", F.sum(F.when(F.col("changed"), 0).otherwise(1)).over(w))
+    slim = rows.select(*group, key, "changed", "c1", "c2", "same", F.when(F.col("changed"), 0).otherwise(1).alias("_still"))
+    rows = running_sum(slim, [*group, key], "run", "_still")  # rows between which none is unchanged have one number
     runs = rows.where("changed").groupBy(*group, "run").agg(
         F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.max(F.col("c1").cast("int")).alias("x"), F.max(F.col("c2").cast("int")).alias("y"), F.min((F.col("c1") & F.col("c2") & F.col("same")).cast("int")).alias("same")
     )

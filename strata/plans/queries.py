@@ -655,8 +655,8 @@ def ordinals_in_ranges(s, d):
     return with_ordinal(table(s, d, "lineitem").select(*order), order, rows_per_part=4096).select("_rid", "l_orderkey", "l_linenumber")
 
 
-@query(f"""SELECT row_number() OVER (ORDER BY at, kind, seq, pos) - 1 AS _rid, n_name FROM (
-SELECT _rid AS at, 1 AS kind, 0 AS seq, 0 AS pos, n_name FROM {NATION_R} WHERE _rid NOT IN (2, 3, 10)
+@query(f"""SELECT row_number() OVER (ORDER BY place, kind, seq, pos) - 1 AS _rid, n_name FROM (
+SELECT _rid AS place, 1 AS kind, 0 AS seq, 0 AS pos, n_name FROM {NATION_R} WHERE _rid NOT IN (2, 3, 10)
 UNION ALL SELECT 2, 0, 0, r_regionkey, r_name FROM region UNION ALL SELECT 7, 0, 2, 0, 'second' UNION ALL SELECT 7, 0, 1, 0, 'first' UNION ALL SELECT 1000, 0, 4, 0, 'end')""")
 def list_multi_splice(s, d):
     cuts = s.createDataFrame([(0, 2, 2), (1, 7, 0), (2, 7, 0), (3, 10, 1), (4, 1000, 0)], "seq int, start long, dels long")
@@ -665,7 +665,7 @@ def list_multi_splice(s, d):
     return collections.rows_multi_splice(nation_r(s, d).select("_rid", "n_name"), cuts, ins)
 
 
-@query("""SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY at, p_partkey) - 1 AS _rid, value FROM (SELECT p_brand, 1 AS at, p_partkey, p_name AS value FROM part
+@query("""SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY place, p_partkey) - 1 AS _rid, value FROM (SELECT p_brand, 1 AS place, p_partkey, p_name AS value FROM part
 UNION ALL SELECT DISTINCT p_brand, 0, 0, 'b first' FROM part UNION ALL SELECT DISTINCT p_brand, 2, 0, 'a last' FROM part)""")
 def list_merge3(s, d):
     """Side a has put an element at each list's end, side b one at its start."""
@@ -714,9 +714,13 @@ LINES = """(SELECT l_orderkey || ',' || l_linenumber || ',' || l_partkey || ','
   row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS line_no, l_orderkey || '^' || l_linenumber AS entry FROM lineitem)"""
 
 
-@query(f"SELECT entry, arg_max(line, line_no) AS payload, max(line_no) AS line_no FROM {LINES} GROUP BY entry")
+@query(f"SELECT entry, arg_max(line, line_no) AS payload FROM {LINES} GROUP BY entry")
 def dataset_from_csv(s, d):
-    return dataset.entries_from_lines(_lines(s, d), [0, 1])
+    """The last line of a name holds; what orders the lines does, without numbering them."""
+    li = table(s, d, "lineitem")
+    line = F.concat_ws(",", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], "l_returnflag")
+    pos = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    return dataset.entries_from_lines(li.select(line.alias("line"), pos.alias("pos")), [0, 1], no="pos").select("entry", "payload")
 
 
 @query("SELECT o_orderkey || '^' || o_custkey AS entry FROM orders")

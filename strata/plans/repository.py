@@ -1,6 +1,6 @@
 """A repository of versioned objects: commits, branch heads and metadata in small Parquet tables, contents in immutable Parquet.
 
-root/objects/<hash>   a manifest of the contents, named by what they hold: a row per segment (bucket of the keys), with its hash sums,
+root/objects/<hash>   a manifest of the contents, named by what they hold: a line per segment (bucket of the keys), with its hash sums,
                       rows, bytes and where it lies
 root/segments/<id>    the rows of the segments that one put has written, a folder for each; never rewritten
 root/commits          one row per commit: key, version, kind, data, ctx, parent1, parent2, seq
@@ -36,12 +36,14 @@ from strata.operators import diff as diff_ops
 from strata.operators import merge as merge_ops
 from strata.operators import rows as row_ops
 from strata.operators import search as search_ops
+from strata.runtime import get_text, put_text
 from strata.sources import csv
 
 COMMITS = "key string, version string, kind string, data string, ctx string, parent1 string, parent2 string, seq long"
 HEADS = "key string, branch string, version string, seq long"
 META = "object string, branch string, k string, v string, seq long"
 LOG = "at long, op string, key string, branch string, version string, seq long"
+MANIFEST_FILE = "manifest.json"
 MANIFEST = "bucket int, n long, s1 string, s2 string, bytes long, path string"
 MASTER = "master"
 FINE = 65536  # the most buckets of an object; hash sums are taken at this grain and added up for fewer
@@ -127,7 +129,8 @@ class Repository:
         return self._head(key, branch) is not None
 
     def _head(self, key: str, branch: str) -> str | None:
-        row = self.heads().where((F.col("key") == key) & (F.col("branch") == branch)).first()
+        moves = self._table("heads", HEADS).where((F.col("key") == key) & (F.col("branch") == branch))
+        row = moves.orderBy(F.desc("seq")).select("version").first()
         return row["version"] if row else None
 
     def head(self, key: str, branch: str) -> str:
@@ -146,7 +149,7 @@ class Repository:
         return version in self.latest(key)
 
     def commit(self, key: str, version: str) -> dict:
-        rows = self.commits().where(F.col("version") == version).collect()
+        rows = self._table("commits", COMMITS).where(F.col("version") == version).collect()
         if not rows:
             raise StrataError(Code.VERSION_NOT_EXISTS, version)
         own = [r for r in rows if r["key"] == key]
@@ -183,11 +186,11 @@ class Repository:
         return self._store_frame(df, keys or df.columns, None)
 
     def manifest(self, data: str) -> Manifest:
-        if not self._there(f"{self.root}/objects/{data}/_SUCCESS"):
+        path = f"{self.root}/objects/{data}/{MANIFEST_FILE}"
+        if not self._there(path):
             raise StrataError(Code.CHUNK_NOT_EXISTS, data)
-        rows = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/objects/{data}").collect()  # a row per segment
-        about = json.loads(next(r["path"] for r in rows if r["bucket"] < 0))
-        return Manifest(about["schema"], about["keys"], about["buckets"], {r["bucket"]: r for r in rows if r["bucket"] >= 0})
+        about, *rows = (json.loads(x) for x in get_text(self.spark, path).splitlines())  # a line per segment
+        return Manifest(about["schema"], about["keys"], about["buckets"], {r["bucket"]: r for r in rows})
 
     def _read(self, m: Manifest, buckets: Iterable[int] | None = None) -> DataFrame:
         """The rows of an object, or of those of its segments."""
@@ -220,7 +223,7 @@ class Repository:
         schema = df.schema.json()
         columns = [f"{f.name}:{f.dataType.simpleString()}" for f in df.schema]
         data = version_of("|".join([",".join(keys), *columns, *map(str, total)]).encode())
-        if self._there(f"{self.root}/objects/{data}/_SUCCESS"):
+        if self._there(f"{self.root}/objects/{data}/{MANIFEST_FILE}"):
             return data
         old = self.manifest(parent) if parent else None
         buckets = 1 if total[0] <= LEAST_ROWS else next((b for b in (16, 256, 4096) if total[0] <= b * ROWS_PER_BUCKET), FINE)
@@ -246,10 +249,9 @@ class Repository:
         fs, _ = self._fs(self.root)
         path_of = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         size = lambda b: fs.getContentSummary(path_of(f"{self.root}/segments/{put}/_bucket={b}")).getLength()
-        lines = [(-1, 0, "0", "0", 0, json.dumps({"schema": json.loads(schema), "keys": keys, "buckets": buckets}))]
-        lines += [(b, s["n"], s["s1"], s["s2"], s["bytes"], s["path"]) for b, s in kept.items()]
-        lines += [(b, sums[b][0], str(sums[b][1]), str(sums[b][2]), size(b), f"{put}/_bucket={b}") for b in fresh]
-        self.spark.createDataFrame(lines, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/objects/{data}")
+        lines = [{"schema": json.loads(schema), "keys": keys, "buckets": buckets}, *kept.values()]
+        lines += [{"bucket": b, "n": sums[b][0], "s1": str(sums[b][1]), "s2": str(sums[b][2]), "bytes": size(b), "path": f"{put}/_bucket={b}"} for b in fresh]
+        put_text(self.spark, f"{self.root}/objects/{data}/{MANIFEST_FILE}", "\n".join(map(json.dumps, lines)))
         return data
 
     def _store(self, value: DataFrame | str, keys: list[str] | None, before: str | None = None) -> tuple[str, str]:
@@ -257,7 +259,7 @@ class Repository:
             return "string", value
         parent = None
         if before and before != NULL_VERSION:
-            row = self.commits().where(F.col("version") == before).first()
+            row = self._table("commits", COMMITS).where(F.col("version") == before).first()
             parent = row["data"] if row and row["kind"] == "frame" else None
         return "frame", self._store_frame(value, keys or value.columns, parent)
 
@@ -373,7 +375,7 @@ class Repository:
         if not self._there(f"{self.root}/objects"):
             return self.spark.createDataFrame([], "data string, bucket int, n long, bytes long, path string")
         at = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/objects/*").where("bucket >= 0").select(at.alias("data"), "bucket", "n", "bytes", "path")
+        return self.spark.read.schema(MANIFEST).json(f"{self.root}/objects/*/{MANIFEST_FILE}").where("bucket IS NOT NULL").select(at.alias("data"), "bucket", "n", "bytes", "path")
 
     def storage_info(self) -> DataFrame:
         """kind, n_objects, n_segments, n_bytes: of the commits, each stored object, segment and string once."""

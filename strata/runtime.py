@@ -130,11 +130,37 @@ def filesystem(uri: str):
     return pafs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not there: written beside its place and renamed."""
+    fs, own = _hadoop(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(own, True)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+    _, p = _hadoop(spark, path)
+    fs.delete(p, False)
+    fs.rename(own, p)
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    fs, p = _hadoop(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that an earlier step of the same operator wrote."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
 
 
 def remove_written(df: DataFrame) -> None:

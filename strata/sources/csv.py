@@ -13,13 +13,18 @@ from strata.operators import dataset
 from strata.operators.ordinal import with_ordinal
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line, line_no of the non-blank lines of a file or folder, in file order, trimmed.
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line, pos of the non-blank lines of a file or folder, trimmed; pos orders them as they stand, by file and place.
 
     Spark reads a text file's blocks in order; partition and position within it give that order without a sort.
     """
-    lines = spark.read.text(path).select(F.trim(F.col("value")).alias("line"), F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_m"))
-    return with_ordinal(lines.where("line <> ''"), ["_f", "_m"], "line_no").select("line", "line_no")
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("m")).alias("pos")
+    return spark.read.text(path).select(F.trim(F.col("value")).alias("line"), place).where("line <> ''")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line, line_no of the non-blank lines of a file or folder, in file order, trimmed."""
+    return with_ordinal(ordered_lines(spark, path), ["pos"], "line_no").select("line", "line_no")
 
 
 def infer_header(header: str) -> tuple[list[str], str]:
@@ -42,17 +47,19 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dump_lines(df: DataFrame, delimiter: str = "|") -> DataFrame:
-    """_rid, line with columns in byte order of name. Rows end where the shortest column does (a null cell)."""
-    cols = sorted(c for c in df.columns if c != "_rid")
-    full = F.lit(True)
+    """_rid, line with columns in byte order of name. Rows end where the shortest column does: at the first null cell."""
+    cols = sorted((c for c in df.columns if c != "_rid"), key=str.encode)
+    short = F.lit(False)
     for c in cols:
-        full = full & F.col(c).isNotNull()
-    return df.where(full).select("_rid", F.concat_ws(delimiter, *[F.col(c).cast("string") for c in cols]).alias("line"))
+        short = short | F.col(f"`{c}`").isNull()
+    stop = df.where(short).agg(F.min("_rid").alias("_stop"))
+    rows = df.join(F.broadcast(stop)).where("_stop IS NULL OR _rid < _stop")  # one row
+    return rows.select("_rid", F.concat_ws(delimiter, *[F.col(f"`{c}`").cast("string") for c in cols]).alias("line"))
 
 
 def dump_table(df: DataFrame, path: str, delimiter: str = "|") -> None:
     """A folder of text files in row order, the header in the first; parts are ranges of rows, so nothing meets in one task."""
-    cols = sorted(c for c in df.columns if c != "_rid")
+    cols = sorted((c for c in df.columns if c != "_rid"), key=str.encode)
     if df.isEmpty():
         raise StrataError(Code.EMPTY_TABLE, path)
     head = df.sparkSession.createDataFrame([(-1, delimiter.join(cols))], "_rid long, line string")
@@ -61,14 +68,15 @@ def dump_table(df: DataFrame, path: str, delimiter: str = "|") -> None:
 
 def load_dataset(spark: SparkSession, path: str, positions: list[int], with_schema: bool = False, indexed: bool = False) -> tuple[DataFrame, str | None, int]:
     """(entries, schema line, lines read). For indexed datasets the first line is the schema, its inner white space made _."""
-    lines = numbered_lines(spark, path)
+    lines = ordered_lines(spark, path)
     schema = None
     if with_schema or indexed:
         shown = replace_space(regularize_csv(F.col("line")), "_") if indexed else regularize_csv(F.col("line"))
-        row = lines.where("line_no = 0").select(shown.alias("s")).first()
+        row = lines.orderBy("pos").limit(1).select(shown.alias("s"), "pos").first()
         schema = row["s"] if row else None
-        lines = lines.where("line_no > 0")
-    return dataset.with_hash(dataset.entries_from_lines(lines, positions)), schema, lines.count()
+        if row:
+            lines = lines.where(F.col("pos") != F.struct(F.lit(row["pos"]["f"]).alias("f"), F.lit(row["pos"]["m"]).alias("m")))
+    return dataset.with_hash(dataset.entries_from_lines(lines, positions, no="pos").select("entry", "payload")), schema, lines.count()
 
 
 def export_dataset(ds: DataFrame, path: str, schema: str | None = None) -> dict[str, int]:
