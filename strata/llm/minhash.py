@@ -16,7 +16,7 @@
 5. Components by large-star and small-star; each document gets its class's.
 
 Two steps may miss a link. Banding, with 30 bands of 5 rows: one of similarity 0.85 with probability 2e-8, one of 0.8 with
-7e-6. The bound on signatures, `agree` of `hashes` minima: one of 0.85 with probability 9e-7, one of 0.8 with 1.2e-6.
+7e-6. The bound on signatures, `agree` of `hashes` minima: one of 0.85 with probability 9e-7, one of 0.8 with 7e-7.
 
 Defined results: a null text is an empty one; a text without words has an empty set and is linked with nothing. A row
 without doc_id is in no group: component null, kept. Rows that repeat a doc_id with different texts are nodes of their
