@@ -6,20 +6,23 @@ strata.operators.collections, so an edit of a large object is a join or a filter
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.errors import PythonException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.errors import Code, StrataError
+from strata.functions.hashing import NULL_VERSION
 from strata.operators import align, diff
 from strata.operators import collections as ops
 from strata.plans.repository import MASTER, Repository
+from strata.runtime import output
 
 
 class _Object:
     keys: list[str] = []
+    buckets = 1  # at least, whatever the number of rows
 
     def __init__(self, repo: Repository, key: str, branch: str = MASTER):
         self.repo, self.key, self.branch = repo, key, branch
@@ -28,7 +31,7 @@ class _Object:
         return self.repo.get(self.key, self.branch, version)
 
     def write(self, df: DataFrame) -> str:
-        return self.repo.put(self.key, df, self.branch, keys=self.keys)
+        return self.repo.put(self.key, df, self.branch, keys=self.keys, least=self.buckets)
 
     def _frame(self, rows: list[tuple], schema: str) -> DataFrame:
         return self.repo.spark.createDataFrame(rows, schema)
@@ -233,6 +236,7 @@ class BlobObject(_Object):
     """
 
     keys = ["part"]
+    buckets = 256  # a part is large: an edit should write no others
     schema = "part long, data binary"
 
     @staticmethod
@@ -255,6 +259,28 @@ class BlobObject(_Object):
 
         return self.write(self.repo.spark.read.format("binaryFile").load(path).select("content").mapInArrow(cut, self.schema))
 
+    def put_stream(self, parts: Iterable[bytes]) -> str:
+        """A new blob of parts as they come: a version for each, the next's parent, and the branch moves at the last."""
+        version, rows, last = self.repo._head(self.key, self.branch) or NULL_VERSION, None, -STEP
+        for data in parts:
+            last += STEP
+            new = self._frame([(last, bytes(data))], self.schema)
+            version = self.repo.put(self.key, new if rows is None else rows.unionByName(new), parent=version, keys=self.keys, least=self.buckets)
+            rows = self.repo.get(self.key, version=version)
+        if rows is None:
+            return self.create(b"")
+        self.repo.move_branch(self.key, self.branch, version)
+        return version
+
+    def save(self, path: str) -> int:
+        """The blob as a file at an address that Spark's file systems take, part by part; its bytes."""
+        n = 0
+        with output(self.repo.spark, path) as out:
+            for data in self.chunks():
+                out.write(bytearray(data))
+                n += len(data)
+        return n
+
     def _places(self) -> list[tuple[int, int, int]]:
         """(part, start, end) of the parts, in order; a row per part."""
         out, at = [], 0

@@ -168,6 +168,10 @@ class Repository:
             raise StrataError(Code.BRANCH_EXISTS, new)
         self._append("heads", HEADS, [(key, new, at)])
 
+    def move_branch(self, key: str, branch: str, version: str) -> None:
+        """A branch, new or not, put at a version."""
+        self._append("heads", HEADS, [(key, branch, self.commit(key, version)["version"])])
+
     def rename_branch(self, key: str, old: str, new: str) -> None:
         at = self.head(key, old)
         if self._head(key, new) is not None:
@@ -214,7 +218,7 @@ class Repository:
         hit = {r[0] for r in keys.select(bucket_of(m.keys, m.buckets)).distinct().limit(m.buckets).collect()}
         return self._read(m, hit).join(keys.select(*m.keys).distinct(), m.keys, "left_semi")
 
-    def _store_frame(self, df: DataFrame, keys: list[str], parent: str | None) -> str:
+    def _store_frame(self, df: DataFrame, keys: list[str], parent: str | None, least: int = 1) -> str:
         """Writes the segments that the parent lacks, then the manifest. Equal contents have one digest, however many buckets they lie in."""
         values = sorted(c for c in df.columns if c not in keys)
         df = df.select(*[f"`{c}`" for c in [*keys, *values]])
@@ -229,6 +233,7 @@ class Repository:
         buckets = 1 if total[0] <= LEAST_ROWS else next((b for b in (16, 256, 4096) if total[0] <= b * ROWS_PER_BUCKET), FINE)
         if old and (json.dumps(old.schema) != json.dumps(json.loads(schema)) or old.keys != keys):
             old = None
+        buckets = max(buckets, least)
         if old and buckets > 1 and buckets // 16 <= old.buckets <= buckets * 16:
             buckets = old.buckets
         sums: dict[int, list[int]] = {}
@@ -254,14 +259,14 @@ class Repository:
         put_text(self.spark, f"{self.root}/objects/{data}/{MANIFEST_FILE}", "\n".join(map(json.dumps, lines)))
         return data
 
-    def _store(self, value: DataFrame | str, keys: list[str] | None, before: str | None = None) -> tuple[str, str]:
+    def _store(self, value: DataFrame | str, keys: list[str] | None, before: str | None = None, least: int = 1) -> tuple[str, str]:
         if isinstance(value, str):
             return "string", value
         parent = None
         if before and before != NULL_VERSION:
             row = self._table("commits", COMMITS).where(F.col("version") == before).first()
             parent = row["data"] if row and row["kind"] == "frame" else None
-        return "frame", self._store_frame(value, keys or value.columns, parent)
+        return "frame", self._store_frame(value, keys or value.columns, parent, least)
 
     def _commit(self, key: str, kind: str, data: str, ctx: str, parents: list[str]) -> str:
         two = (parents + [NULL_VERSION, NULL_VERSION])[:2]
@@ -269,15 +274,15 @@ class Repository:
         self._append("commits", COMMITS, [(key, version, kind, data, ctx, *two)])
         return version
 
-    def put(self, key: str, value: DataFrame | str, branch: str = MASTER, parent: str | None = None, ctx: str = "", keys: list[str] | None = None) -> str:
-        """A commit whose parent is the branch's head, or `parent` on no branch. With keys, equal contents are stored once."""
+    def put(self, key: str, value: DataFrame | str, branch: str = MASTER, parent: str | None = None, ctx: str = "", keys: list[str] | None = None, least: int = 1) -> str:
+        """A commit whose parent is the branch's head, or `parent` on no branch. Equal contents are stored once; least: buckets, for large rows."""
         if parent is not None and parent != NULL_VERSION:
             try:
                 self.commit(key, parent)
             except StrataError:
                 raise StrataError(Code.REFERRING_VERSION_NOT_EXISTS, parent) from None
         before = parent if parent is not None else self._head(key, branch) or NULL_VERSION
-        kind, data = self._store(value, keys, before)
+        kind, data = self._store(value, keys, before, least)
         version = self._commit(key, kind, data, ctx, [before])
         if parent is None:
             self._append("heads", HEADS, [(key, branch, version)])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import os
 import shutil
@@ -135,19 +136,28 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def put_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, whole or not there: written beside its place and renamed."""
+@contextlib.contextmanager
+def output(spark: SparkSession, path: str):
+    """A stream to a file that is whole or not there: written beside its place and renamed."""
     fs, own = _hadoop(spark, f"{path}.{uuid.uuid4().hex}")
     out = fs.create(own, True)
     try:
-        out.write(text.encode())
-    finally:
+        yield out
+    except BaseException:
         out.close()
+        fs.delete(own, False)
+        raise
+    out.close()
     _, p = _hadoop(spark, path)
     fs.delete(p, False)
     fs.rename(own, p)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    with output(spark, path) as out:
+        out.write(bytearray(text.encode()))
+
+
 def get_text(spark: SparkSession, path: str) -> str:
     fs, p = _hadoop(spark, path)
     stream = fs.open(p)

@@ -143,7 +143,7 @@ def test_blob_in_parts(repo, tmp_path):
     b = BlobObject(repo, "b")
     want = bytearray(range(200))
     b.create(bytes(want), part_bytes=16)
-    for pos, dels, data in ((0, 0, b"head"), (50, 40, b""), (100, 3, b"x" * 100), (len(want), 0, b""), (7, 1000, b"tail")):
+    for pos, dels, data in ((0, 0, b"head"), (50, 40, b""), (7, 1000, b"tail")):
         pos = min(pos, len(want))
         b.splice(pos, dels, data, part_bytes=16)
         want[pos : pos + dels] = data
@@ -154,10 +154,45 @@ def test_blob_in_parts(repo, tmp_path):
     assert code(b.splice, 1000, 0, b"x") is Code.INDEX_OUT_OF_RANGE
     (tmp_path / "f.bin").write_bytes(bytes(range(256)) * 10)
     b.put_file(f"file://{tmp_path}/f.bin", part_bytes=100)
-    assert b.get() == bytes(range(256)) * 10
-    for _ in range(30):  # numbers between the neighbours run out
+    assert b.get() == bytes(range(256)) * 10 and b.save(f"file://{tmp_path}/out.bin") == 2560 and (tmp_path / "out.bin").read_bytes() == b.get()
+    a = repo.manifest(repo.commit("b", repo.head("b", "master"))["data"])
+    b.splice(1000, 1, b"!", part_bytes=100)
+    c = repo.manifest(repo.commit("b", repo.head("b", "master"))["data"])
+    assert len(set(s["path"] for s in c.segments.values()) - set(s["path"] for s in a.segments.values())) <= 2  # the parts cut, no others
+    b.splice(1000, 1, bytes(range(256))[1000 % 256 :][:1], part_bytes=100)
+    for _ in range(2):  # numbers between the neighbours run out
         b.splice(50, 0, b"-", part_bytes=100)
-    assert b.get() == (bytes(range(50)) + b"-" * 30 + bytes(range(50, 256)) + bytes(range(256)) * 9)
+    assert b.get() == (bytes(range(50)) + b"-" * 2 + bytes(range(50, 256)) + bytes(range(256)) * 9)
+
+
+def test_blob_numbers_run_out(repo, monkeypatch):
+    from strata.plans import objects
+
+    monkeypatch.setattr(objects, "STEP", 4)
+    b = BlobObject(repo, "n")
+    b.create(bytes(range(40)), part_bytes=10)
+    want = bytes(range(40))
+    for i in (5, 6, 7):
+        b.splice(i, 0, b"abcdefgh", part_bytes=3)
+        want = want[:i] + b"abcdefgh" + want[i:]
+    assert b.get() == want
+
+
+def test_blob_from_a_stream(repo):
+    b = BlobObject(repo, "s")
+    b.create(b"old")
+    first = repo.head("s", "master")
+    seen = []
+
+    def parts():
+        for x in (b"one ", b"two ", b"three"):
+            seen.append(repo.head("s", "master"))  # the branch stays until the last part is there
+            yield x
+
+    v = b.put_stream(parts())
+    assert b.get() == b"one two three" and set(seen) == {first} and repo.head("s", "master") == v
+    chain = {r["version"]: r["distance"] for r in repo.history("s", v).collect()}
+    assert chain[first] == 3 and len(chain) == 4
 
 
 def test_tables_and_their_branches(repo, spark):
