@@ -8,7 +8,7 @@
    whose signature is fairly like the hub's are joined to the hub's group; groups are connected components of these pairs.
    Pairs whose signatures are alike enough for a link (the bound lies five standard deviations below the limit) are confirmed exactly.
 3. What these links join needs no more. In a group that they leave in several pieces another hub is taken from the largest piece
-   but the main one and compared with all that it isn't joined to, for a few rounds while the group is large. Members outside the main piece
+   but the main one and compared with all that it isn't joined to, if the group is large, `rounds` times. Members outside the main piece
    are then compared with all others in blocks, one pair of blocks a task, by set size, signature and whole sets. So a
    group of near copies that are linked to their hub costs a row a member, and only the rest is met in blocks. Only links leave a task.
 4. Members unlike their bucket's hub are compared with all of that bucket by signature, again in blocks, and what passes is
@@ -47,7 +47,7 @@ class MinHashParams:
     seed: int = 11
     block: int = 128
     large: int = 1024  # members of a group that gets more hubs before blocks
-    rounds: int = 4
+    rounds: int = 1
 
     @property
     def hashes(self) -> int:
@@ -192,7 +192,7 @@ def _in_blocks(members: DataFrame, key: str, p: MinHashParams) -> DataFrame:
 
     Members are dealt to blocks of about p.block, those with x = 0 and x = 1 apart.
     """
-    per = written(members.groupBy(key, "x").agg(F.count("*").alias("_k")), "block-counts")
+    per = members.groupBy(key, "x").agg(F.count("*").alias("_k"))
     sized = members.join(per, [key, "x"]).withColumn("block", (F.pmod(F.xxhash64("node"), F.ceil(F.col("_k") / p.block)) * 2 + F.col("x")).cast("int")).drop("_k")
     sized = written(sized, "blocks")
     blocks = sized.groupBy(key, "block").agg(F.max("x").alias("x"))
@@ -208,9 +208,9 @@ def _pieces(groups: DataFrame, links: DataFrame) -> DataFrame:
     """
     joined = groups.join(connected_components(links).select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
     joined = written(joined, "pieces")
-    per = written(joined.groupBy("component", "label").agg(F.count("*").alias("n_label")), "piece-counts")
+    per = joined.groupBy("component", "label").agg(F.count("*").alias("n_label"))
     main = per.groupBy("component").agg(F.max(F.struct("n_label", "label")).alias("main"), F.sum("n_label").alias("k"), F.count("*").alias("n")).where("n > 1").select("component", "main.label", "k")
-    torn = written(per.join(main.withColumnRenamed("label", "_main"), "component").withColumn("x", (F.col("label") != F.col("_main")).cast("int")).drop("_main"), "torn")
+    torn = per.join(main.withColumnRenamed("label", "_main"), "component").withColumn("x", (F.col("label") != F.col("_main")).cast("int")).drop("_main")
     return written(joined.join(torn, ["component", "label"]), "members")
 
 
@@ -225,7 +225,7 @@ def _group_links(groups: DataFrame, direct: DataFrame, nodes: DataFrame, docs: D
         hub = large.where("x = 1").groupBy("component").agg(F.max(F.struct("n_label", "node", "label")).alias("hub"))
         hub = written(hub.select("component", F.col("hub.node").alias("u"), F.col("hub.label").alias("_label")), "hubs")
         pairs = large.join(hub, "component").where("label <> _label").select("u", F.col("node").alias("v"))
-        more = written(_confirmed(written(_like(pairs, nodes, p).where("near").select("u", "v"), "pairs"), docs, classes, p), "links")
+        more = written(_confirmed(_like(pairs, nodes, p).where("near").select("u", "v"), docs, classes, p), "links")
         if more.isEmpty():
             break
         links = written(links.union(more), "links")
@@ -294,7 +294,7 @@ def _linked_classes(docs: DataFrame, p: MinHashParams, unnamed: bool = False) ->
     sizes = written(banded.groupBy("band").agg(F.count("*").alias("k")).where("k > 1"), "bucket-counts")  # by itself, so that Spark can split a hot bucket in the join
     shared = written(banded.join(sizes, "band").select("band", "node", "k"), "buckets")
     met = shared.groupBy("node").agg(F.sum("k").alias("met"))
-    hubs = written(shared.join(met, "node").groupBy("band").agg(F.max(F.struct("met", (-F.col("node")).alias("least"))).alias("hub")), "hubs")
+    hubs = shared.join(met, "node").groupBy("band").agg(F.max(F.struct("met", (-F.col("node")).alias("least"))).alias("hub"))
     to_hub = written(shared.join(hubs, "band").select("band", "node", (-F.col("hub.least")).alias("hub")), "hubs")
     pairs = to_hub.where("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     like = written(_like(pairs, nodes, p), "pairs")
@@ -302,7 +302,7 @@ def _linked_classes(docs: DataFrame, p: MinHashParams, unnamed: bool = False) ->
     links = written(_group_links(connected_components(like.select("u", "v")), direct, nodes, docs, classes, p), "links")
     marked = to_hub.join(like.select(F.col("u").alias("hub"), F.col("v").alias("node"), F.lit(1).alias("_like")), ["hub", "node"], "left")
     marked = marked.select("band", "node", F.when((F.col("hub") == F.col("node")) | F.col("_like").isNotNull(), 0).otherwise(1).alias("x"))
-    torn = written(marked.groupBy("band").agg(F.max("x").alias("t")).where("t = 1").select("band"), "torn")
+    torn = marked.groupBy("band").agg(F.max("x").alias("t")).where("t = 1").select("band")
     more = written(_apart(written(marked.join(torn, "band", "left_semi"), "apart"), nodes, p), "pairs")
     if not more.isEmpty():
         links = links.union(_confirmed(more, docs, classes, p))
