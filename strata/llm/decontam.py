@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.wordhash import ALNUM, WordHasher, Words, grams, runs
-from strata.runtime import scratch, ship, written
+from strata.runtime import lean, scratch, ship, written
 
 
 @dataclass(frozen=True)
@@ -203,7 +203,7 @@ def _item_terms(items: DataFrame) -> DataFrame:
                     size = pa.array([None] * len(terms) + [len(words)], pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array([part] * len(size), pa.int32()), pa.array(terms.tolist() + [None], pa.int64()), size], names=["part", "term", "size"])
 
-    return items.select("part", F.col("text").cast("binary").alias("text")).mapInArrow(run, "part int, term long, size long")
+    return items.select("part", F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "part int, term long, size long")
 
 
 def _totals(items: DataFrame):
@@ -249,7 +249,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, p: DecontamParams) -> DataFram
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in HITS.split(", ")])
 
-        hits = rows.mapInArrow(run, HITS)
+        hits = rows.mapInArrow(lean(run), HITS)
         if n > 1:  # one block's index at a time
             hits = written(hits, "benchmark-hits")
             shared.destroy()

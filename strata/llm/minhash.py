@@ -27,6 +27,7 @@ text, with or without doc_id, and a doc_id doesn't join anything. Extra columns
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,11 @@ from pyspark.sql import functions as F
 
 from strata.llm.components import connected_components
 from strata.llm.wordhash import SPACE, WordHasher, grams, mix, runs
-from strata.runtime import scratch, ship, written
+from strata.runtime import lean, scratch, ship
+from strata.runtime import written as _written
+
+#: Texts, signatures and sets go to Python a thousand rows at once: ten thousand texts are held four times over, in both processes.
+written = partial(_written, batch=1000)
 
 
 @dataclass(frozen=True)
@@ -109,7 +114,7 @@ def sketches(docs: DataFrame, p: MinHashParams) -> DataFrame:
                 sig.append(_minima(s, a, b).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "tkey", "n", "f1", "f2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tkey"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tkey"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(lean(run), SKETCH)
 
 
 def _band_keys(sig: np.ndarray, p: MinHashParams) -> np.ndarray:
@@ -126,7 +131,7 @@ def _banded(nodes: DataFrame, p: MinHashParams) -> DataFrame:
             keys = _band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32), p)
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(batch.column(0).to_numpy(), p.bands))], names=["band", "node"])
 
-    return nodes.select("node", "sig").mapInArrow(run, "band long, node long")
+    return nodes.select("node", "sig").mapInArrow(lean(run), "band long, node long")
 
 
 def _like(pairs: DataFrame, nodes: DataFrame, p: MinHashParams) -> DataFrame:
@@ -140,7 +145,7 @@ def _like(pairs: DataFrame, nodes: DataFrame, p: MinHashParams) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), batch.column(1).take(pa.array(ok)), pa.array(same[ok] >= p.agree)], names=["u", "v", "near"])
 
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
-    return pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u long, v long, near boolean")
+    return pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "sig_u", "sig_v").mapInArrow(lean(run), "u long, v long, near boolean")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, p: MinHashParams) -> bool:
@@ -171,7 +176,7 @@ def _shingles(docs: DataFrame, need: DataFrame, classes: DataFrame, p: MinHashPa
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), pa.array(held, pa.binary())], names=["u", "s"])
                     held, at, size = [], i + 1, 0
 
-    return written(texts.mapInArrow(make, "u long, s binary").dropDuplicates(["u"]), "shingles")
+    return written(texts.mapInArrow(lean(make), "u long, s binary").dropDuplicates(["u"]), "shingles")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: MinHashParams) -> DataFrame:
@@ -184,7 +189,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: MinHash
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("u").alias("v"), F.col("s").alias("y")), "v").join(sets.withColumnRenamed("s", "x"), "u")
-    return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "x", "y").mapInArrow(lean(run), "u long, v long")
 
 
 def _in_blocks(members: DataFrame, key: str, p: MinHashParams) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.wordhash import ALNUM, WordHasher, mix, runs
-from strata.runtime import scratch, ship, written
+from strata.runtime import lean, scratch, ship, written
 
 HEADS = ("junk", "toxic")
 STYLE = ("letters", "upper", "digits", "punctuation", "marks", "bars", "lines", "repeats")
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams | None = None)
 
     n, junk, toxic = (int(x or 0) for x in sample.agg(F.count("*"), F.sum("junk"), F.sum("toxic")).first())
     bad = {"junk": junk, "toxic": toxic}
-    counts = sample.mapInArrow(hashes, "h long, junk int, toxic int").groupBy("h").agg(F.count("*").alias("n"), F.sum("junk").alias("junk"), F.sum("toxic").alias("toxic")).where(F.col("n") >= p.least_docs)
+    counts = sample.mapInArrow(lean(hashes), "h long, junk int, toxic int").groupBy("h").agg(F.count("*").alias("n"), F.sum("junk").alias("junk"), F.sum("toxic").alias("toxic")).where(F.col("n") >= p.least_docs)
     chosen: set[int] = set()
     for head in HEADS:
         b = bad[head]
@@ -137,10 +137,13 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams | None = None)
             rows = [x.tobytes() for lo, hi in runs(texts) for x in _design(texts[lo:hi], hasher, keys, p)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1), batch.column(2)], names=["x", "junk", "toxic"])
 
-    got = sample.mapInArrow(design, "x binary, junk int, toxic int").collect()
-    x = np.stack([np.frombuffer(r[0], np.float32) for r in got]) if got else np.zeros((0, len(keys) + len(STYLE)), np.float32)
+    got = sample.mapInArrow(lean(design), "x binary, junk int, toxic int").collect()
+    x = np.ones((len(got), len(keys) + len(STYLE) + 1), np.float32)  # the last column is the bias
+    for i, r in enumerate(got):
+        x[i, :-1] = np.frombuffer(r[0], np.float32)
     y = np.array([[r[1], r[2]] for r in got], np.float32).reshape(-1, 2)
-    model = Model(keys, np.zeros((2, x.shape[1]), np.float32), np.full(2, -np.inf), np.zeros(2), p)
+    del got
+    model = Model(keys, np.zeros((2, x.shape[1] - 1), np.float32), np.full(2, -np.inf), np.zeros(2), p)
     for i, head in enumerate(HEADS):
         if 0 < bad[head] < n:
             model.weight[i], model.bias[i] = _fit(x, y[:, i], p)
@@ -148,9 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams | None = None)
     return model
 
 
-def _fit(x: np.ndarray, y: np.ndarray, p: QualityParams) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adam on all rows at once, both kinds of label weighing as they occur."""
-    x1 = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+def _fit(x1: np.ndarray, y: np.ndarray, p: QualityParams) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adam on all rows at once, both kinds of label weighing as they occur. x1: a last column of ones."""
     w = np.zeros(x1.shape[1], np.float32)
     w[-1] = _logit(min(max(float(y.mean()), 1e-3), 1 - 1e-3))
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -192,7 +194,7 @@ def evidence(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(z[:, 0]), pa.array(z[:, 1])], names=[*batch.schema.names[1:], "llr_junk", "llr_toxic"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{kept}, llr_junk double, llr_toxic double")
+    return rows.mapInArrow(lean(run), f"{kept}, llr_junk double, llr_toxic double")
 
 
 def _strength(rate: Column, n: Column, mean: Column) -> Column:
@@ -225,7 +227,7 @@ def posterior(docs: DataFrame, labels: DataFrame, params: QualityParams | None =
     p = params or QualityParams()
     model = model or fit(docs, labels, p)
     scored = evidence(docs, model, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"))
-    scored = written(scored, "scored")
+    scored = written(scored, "scored", batch=1000)
     sites = site_posteriors(scored).select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("n").alias("site_n"), *[f"rate_{h}" for h in HEADS])
     sites = written(sites, "sites")
     out = scored.join(sites, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path"))).drop("_host", "_path")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import functools
 import os
 import shutil
@@ -12,11 +13,13 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 _own_dirs: dict[str, str] = {}
 _scopes: list[list[str]] = []
@@ -59,24 +62,39 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/strata/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+def written(df: DataFrame, label: str, codec: str = "snappy", batch: int | None = None) -> DataFrame:
     """Writes df once into the shared folder and reads it back: lineage ends there, and a lost executor costs nothing.
 
-    Spark drops the shuffle files of the write as soon as it ends.
+    Spark drops the shuffle files of the write as soon as it ends. batch: the rows that Python gets at once, else Spark's setting.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
     if _scopes:
         _scopes[-1].append(path)
-    before = spark.conf.get(_DROP_SHUFFLES, "false")
-    spark.conf.set(_DROP_SHUFFLES, "true")
+    own = {_DROP_SHUFFLES: "true"} | ({_BATCH: str(batch)} if batch else {})
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", codec).parquet(path)
     finally:
-        spark.conf.set(_DROP_SHUFFLES, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run):
+    """run, a function for mapInArrow, whose worker gives the memory it took back when a task ends. Spark keeps idle workers, and malloc and Arrow keep what was freed."""
+
+    def each(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # glibc's alone
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return each
+
+
 def scratch(f):
     """For a function that returns a DataFrame: what it wrote on the way goes when it returns, but for what the result still reads."""
 

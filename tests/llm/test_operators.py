@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -712,3 +713,29 @@ def test_pipeline_empty(spark, tmp_path):
 def test_native_word_count(spark):
     t = spark.createDataFrame([(" a  b\x0bc d",), (None,), ("",)], "t string")
     assert [r[0] for r in t.select(mixing.word_count(F.col("t"))).collect()] == [3, 0, 0]
+
+
+def _workers():
+    """The Python workers on this machine, by process."""
+    found = []
+    for p in Path("/proc").glob("[0-9]*"):
+        try:
+            if b"pyspark.daemon" in (p / "cmdline").read_bytes():
+                found.append(p)
+        except OSError:
+            pass
+    return found
+
+
+def _own_mb(p):
+    return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", (p / "smaps_rollup").read_text()))) / 1024
+
+
+def test_python_workers_stay_small(spark):
+    """Spark keeps idle workers: what near duplicates took of 80 MB of texts in one partition is given back."""
+    d = docs(spark, [(i, prose(i, 40), "en", "src", 0) for i in range(40)]).select("doc_id", F.repeat("text", 50).alias("text"))
+    d = d.crossJoin(spark.range(200).withColumnRenamed("id", "k")).select((F.col("doc_id") * 200 + F.col("k")).alias("doc_id"), F.concat("text", F.col("k").cast("string")).alias("text")).coalesce(1)
+    before = {p: _own_mb(p) for p in _workers()}
+    assert minhash.drop_near_duplicates(d, minhash.MinHashParams(percent=85)).count() >= 1
+    grown = {p: _own_mb(p) - before.get(p, 0) for p in _workers()}
+    assert grown and max(grown.values()) < 90, grown
