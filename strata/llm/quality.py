@@ -134,13 +134,14 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams | None = None)
         hasher = WordHasher(ALNUM)
         for batch in batches:
             texts = [t.as_py() for t in batch.column(0)]
-            rows = [x.tobytes() for lo, hi in runs(texts) for x in _design(texts[lo:hi], hasher, keys, p)]
+            rows = [_packed(x, len(keys)) for lo, hi in runs(texts) for x in _design(texts[lo:hi], hasher, keys, p)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1), batch.column(2)], names=["x", "junk", "toxic"])
 
     got = sample.mapInArrow(lean(design), "x binary, junk int, toxic int").collect()
     x = np.ones((len(got), len(keys) + len(STYLE) + 1), np.float32)  # the last column is the bias
     for i, r in enumerate(got):
-        x[i, :-1] = np.frombuffer(r[0], np.float32)
+        x[i, : len(keys)] = np.unpackbits(np.frombuffer(r[0], np.uint8, offset=4 * len(STYLE)), count=len(keys))
+        x[i, len(keys) : -1] = np.frombuffer(r[0], np.float32, len(STYLE))
     y = np.array([[r[1], r[2]] for r in got], np.float32).reshape(-1, 2)
     del got
     model = Model(keys, np.zeros((2, x.shape[1] - 1), np.float32), np.full(2, -np.inf), np.zeros(2), p)
@@ -151,6 +152,11 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams | None = None)
     return model
 
 
+def _packed(x: np.ndarray, features: int) -> bytes:
+    """A row of the design for the driver: the style measures, and a bit for each feature."""
+    return x[features:].tobytes() + np.packbits(x[:features] > 0).tobytes()
+
+
 def _fit(x1: np.ndarray, y: np.ndarray, p: QualityParams) -> tuple[np.ndarray, float]:
     """Logistic regression by Adam on all rows at once, both kinds of label weighing as they occur. x1: a last column of ones."""
     w = np.zeros(x1.shape[1], np.float32)

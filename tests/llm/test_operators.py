@@ -739,3 +739,12 @@ def test_python_workers_stay_small(spark):
     assert minhash.drop_near_duplicates(d, minhash.MinHashParams(percent=85)).count() >= 1
     grown = {p: _own_mb(p) - before.get(p, 0) for p in _workers()}
     assert grown and max(grown.values()) < 90, grown
+
+
+def test_quality_rows_for_the_driver_are_short():
+    """A row of the design comes to the driver as bits and style measures, without loss."""
+    x = np.concatenate([(np.arange(801) % 3 == 0).astype(np.float32), np.linspace(0, 1, len(quality.STYLE), dtype=np.float32)])
+    b = quality._packed(x, 801)
+    assert len(b) < x.nbytes / 20
+    bits = np.unpackbits(np.frombuffer(b, np.uint8, offset=4 * len(quality.STYLE)), count=801)
+    assert (np.concatenate([bits, np.frombuffer(b, np.float32, len(quality.STYLE))]) == x).all()
