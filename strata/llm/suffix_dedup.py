@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.runtime import remove_written, scratch, ship, written
+from strata.runtime import lean, remove_written, scratch, ship, written
 
 _BASE = 0x9E3779B97F4A7C15
 _OTHER = 0xD1B54A32D192ED03
@@ -233,16 +233,16 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("tid"), text.alias("text"))
 
 
-def _tidy(df: DataFrame, *old: DataFrame) -> DataFrame:
-    """df written and the tables it was made from removed."""
-    out = written(df, "suffixes")
+def _tidy(df: DataFrame, *old: DataFrame, batch: int | None = 1000) -> DataFrame:
+    """df written and the tables it was made from removed. batch: the rows that Python gets at once, few as most hold a text or its strings; None: Spark's setting."""
+    out = written(df, "suffixes", batch=batch)
     for o in old:
         remove_written(o)
     return out
 
 
-def _before(df: DataFrame, order: list[str], weight: str, name: str) -> DataFrame:
-    """df (a written table, order unique) with `name`: the sum of weight over the rows before, by ranges."""
+def _before(df: DataFrame, order: list[str], weight: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """df (order unique) with `name`: the sum of weight over the rows before, by ranges; and the written table that this reads."""
     ranged = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "sorted")
     first, run = [], 0
     for r in sorted(ranged.groupBy("_part").agg(F.sum(weight).alias("s")).collect(), key=lambda r: r["_part"]):  # a row per range
@@ -251,7 +251,7 @@ def _before(df: DataFrame, order: list[str], weight: str, name: str) -> DataFram
     w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     base = df.sparkSession.createDataFrame(first or [(0, 0)], "_part int, _base long")
     out = ranged.withColumn(name, F.coalesce(F.sum(weight).over(w), F.lit(0))).join(F.broadcast(base), "_part")
-    return _tidy(out.withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_base"), ranged)
+    return out.withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_base"), ranged
 
 
 def _per_text(fn, schema: str):
@@ -271,7 +271,7 @@ def _per_text(fn, schema: str):
         if held:
             yield _joined(held)
 
-    return run, schema
+    return lean(run), schema
 
 
 def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -299,11 +299,12 @@ def _packed(df: DataFrame, key: str, place: str, value: str, name: str, kind: st
                 values.append(v.field("b").to_numpy(zero_copy_only=False).astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.binary()), pa.array(values, pa.binary())], names=[key, "places", name])
 
-    return each.mapInArrow(run, f"{key} long, places binary, {name} binary")
+    return each.mapInArrow(lean(run), f"{key} long, places binary, {name} binary")
 
 
-def suffix_names(base: DataFrame, p: RepeatParams) -> tuple[DataFrame, int]:
+def suffix_names(base: DataFrame, p: RepeatParams) -> tuple[DataFrame, DataFrame, int]:
     """base: (sid, c, h, d, pos, new). sid, places, names: of each sample place of a text's strings its name, in the order of what the names stand for.
+    Beside that the written table that this reads, and how many letters a name reaches.
 
     A name is 1 plus the number of places before it in order, so that a later round can name the places of a group apart. Names are
     sorted triples of letters; a place whose triple of names doesn't reach as far as its comparison goes into the next
@@ -321,12 +322,10 @@ def suffix_names(base: DataFrame, p: RepeatParams) -> tuple[DataFrame, int]:
 
     keys = ["c0", "c1", "c2"]
     rows = _tidy(base.mapInArrow(*_per_text(triples, "sid long, q int, c0 long, c1 long, c2 long, more boolean")))
-    groups = _before(_tidy(rows.groupBy(*keys).agg(F.count("*").alias("k"))), keys, "k", "before")
-    named = _tidy(rows.join(groups, keys).select("sid", "q", (F.col("before") + 1).alias("name"), F.col("more")), groups, rows)
-    names = _tidy(_packed(named, "sid", "q", "name", "names", "long"))
-    reach = 3
-    left = named.where("more")
-    while not left.isEmpty():
+    groups, ranged = _before(rows.groupBy(*keys).agg(F.count("*").alias("k")), keys, "k", "before")
+    named = _tidy(rows.join(groups, keys).select("sid", "q", (F.col("before") + 1).alias("name"), "more"), ranged, rows)
+    names, reach = _packed(named, "sid", "q", "name", "names", "long"), 3
+    while not named.where("more").isEmpty():
 
         def again(row, reach=reach):
             s = strings(row)
@@ -338,16 +337,14 @@ def suffix_names(base: DataFrame, p: RepeatParams) -> tuple[DataFrame, int]:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(open_), row["sid"].as_py())), pa.array(q[open_]), *(pa.array(v) for v in n), pa.array(more)], names=["sid", "q", "c0", "c1", "c2", "more"])
 
         rows = _tidy(base.join(names, "sid").mapInArrow(*_per_text(again, "sid long, q int, c0 long, c1 long, c2 long, more boolean")))
-        groups = _before(_tidy(rows.groupBy(*keys).agg(F.count("*").alias("k"))), keys, "k", "before")
+        groups, ranged = _before(rows.groupBy(*keys).agg(F.count("*").alias("k")), keys, "k", "before")
         start = groups.groupBy("c0").agg(F.min("before").alias("start"))
         fresh = groups.join(start, "c0").select(*keys, (F.col("c0") + F.col("before") - F.col("start")).alias("name"))
-        step = _tidy(rows.join(fresh, keys).select("sid", "q", "name", "more"), groups, rows)
-        both = named.select("sid", "q", "name").join(step.select("sid", "q", F.col("name").alias("new")), ["sid", "q"], "left")
-        named = _tidy(both.select("sid", "q", F.coalesce("new", "name").alias("name")), named)
-        names = _tidy(_packed(named, "sid", "q", "name", "names", "long"), names)
-        left, reach = step.where("more"), 3 * reach
-    remove_written(named)
-    return names, reach
+        step = rows.join(fresh, keys).select("sid", "q", F.col("name").alias("new"), "more")
+        both = named.select("sid", "q", "name").join(step, ["sid", "q"], "left")
+        named = _tidy(both.select("sid", "q", F.coalesce("new", "name").alias("name"), F.coalesce("more", F.lit(False)).alias("more")), ranged, rows, named)
+        names, reach = _packed(named, "sid", "q", "name", "names", "long"), 3 * reach
+    return names, named, reach
 
 
 def _follow(s: Strings, q: np.ndarray, names: np.ndarray, reach: int) -> np.ndarray:
@@ -424,7 +421,7 @@ def _compared(p: RepeatParams):
         if carry is not None:
             yield from _neighbours(carry, p, 0)
 
-    return run, "sid long, pos int, most int, less int"
+    return lean(run), "sid long, pos int, most int, less int"
 
 
 def _neighbours(batch: pa.RecordBatch, p: RepeatParams, leave: int):
@@ -445,12 +442,12 @@ def _neighbours(batch: pa.RecordBatch, p: RepeatParams, leave: int):
 
 def shared_lengths(base: DataFrame, p: RepeatParams) -> list[DataFrame]:
     """sid, pos, most, less for suffixes that share `length` bytes at least with a neighbour, from each of the three sorted lists."""
-    names, reach = suffix_names(base, p)
+    names, named, reach = suffix_names(base, p)
     keys = ["k1", "k2", "k3", "k4", "k5", "sid", "pos"]
-    both, parts = _tidy(base.join(names, "sid"), names), []
+    both, parts = _tidy(base.join(names, "sid"), named), []
     for kind in range(3):
         rows = _tidy(both.mapInArrow(*_ordered_rows(kind, reach, p)))
-        parts.append(_tidy(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(*_compared(p)), rows))
+        parts.append(_tidy(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(*_compared(p)), rows, batch=None))
     remove_written(both)
     return parts
 
@@ -569,7 +566,7 @@ def _met(batch: pa.RecordBatch, roller: Roller, p: RepeatParams) -> pa.RecordBat
 
 
 def _compare_groups(p: RepeatParams):
-    """Reads contexts sorted by k-gram and compares whole groups, some MB of them at a time."""
+    """Reads contexts sorted by k-gram and compares whole groups, a MB of them at a time: as arrays their strings take many times that."""
 
     def run(batches):
         roller, held, size = Roller(), [], 0
@@ -578,7 +575,7 @@ def _compare_groups(p: RepeatParams):
                 continue
             held.append(batch)
             size += batch.nbytes
-            if size < 4 << 20:
+            if size < 1 << 20:
                 continue
             table = _joined(held)
             gram = table.column(0).to_numpy()
@@ -590,7 +587,7 @@ def _compare_groups(p: RepeatParams):
         if held:
             yield _met(_joined(held), roller, p)
 
-    return run, "sid long, start int, k int"
+    return lean(run), "sid long, start int, k int"
 
 
 def _by_hash(p: RepeatParams):
@@ -605,11 +602,11 @@ def _by_hash(p: RepeatParams):
                 start = (some.column(3).to_numpy()[row] + within).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(some.column(2).to_numpy()[row]), pa.array(start), pa.array(_asked(some, row, within))], names=["h", "g", "sid", "start", "ask"])
 
-    return run, "h long, g long, sid long, start int, ask boolean"
+    return lean(run), "h long, g long, sid long, start int, ask boolean"
 
 
-def ragged_ends(texts: DataFrame, ends: DataFrame, p: RepeatParams) -> DataFrame:
-    """sid, start and k: runs of k strings that the suffix sort left open and that are repeated."""
+def ragged_ends(texts: DataFrame, ends: DataFrame, p: RepeatParams) -> tuple[DataFrame, DataFrame]:
+    """sid, start and k: runs of k strings that the suffix sort left open and that are repeated; and the written table that this reads."""
     stats = ends.where("f >= 0").groupBy("gram").agg(F.count("*").alias("m"), F.min(F.when(F.col("alo") >= 0, F.col("alo"))).alias("from"), F.max("ahi").alias("to")).where("m > 1 AND `to` >= 0")
     kept = ends.where("f >= 0").join(stats, "gram").withColumn("lo", F.greatest("lo", "from")).withColumn("hi", F.least("hi", "to")).where("lo <= hi")
     kept = kept.select("sid", F.struct("gram", (F.col("m") > p.most).alias("hot"), "f", "lo", "hi", "alo", "ahi").alias("e")).groupBy("sid").agg(F.collect_list("e").alias("ends"))
@@ -618,7 +615,7 @@ def ragged_ends(texts: DataFrame, ends: DataFrame, p: RepeatParams) -> DataFrame
     each = contexts.where("hot").mapInArrow(*_by_hash(p))
     twice = each.groupBy("h", "g").agg(F.count("*").alias("times"), F.max("ask").alias("asked")).where("times > 1 AND asked").select("h", "g")
     many = each.where("ask").join(twice, ["h", "g"]).select("sid", "start", F.lit(1).alias("k"))
-    return _tidy(few.unionByName(many), contexts)
+    return few.unionByName(many), contexts
 
 
 def _cover(p: RepeatParams):
@@ -639,7 +636,7 @@ def _cover(p: RepeatParams):
                 out.append([{"a": i, "b": j} for i, j in zip(a[new].tolist(), ends.tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["sid", "spans"])
 
-    return run, "sid long, spans array<struct<a:int,b:int>>"
+    return lean(run), "sid long, spans array<struct<a:int,b:int>>"
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
@@ -672,20 +669,20 @@ def _spans(texts: DataFrame, p: RepeatParams) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), size, *(pa.array(v, pa.binary()) for v in out.values())], names=["sid", "size", *_PACKED])
 
     long = texts.where(F.col("n") >= p.length)
-    own = _tidy(long.select("sid", "text").mapInArrow(grams, "sid long, grams array<long>"))
+    own = _tidy(long.select("sid", "text").mapInArrow(lean(grams), "sid long, grams array<long>"))
     each = own.select("sid", F.posexplode("grams").alias("at", "gram"))
     often = _tidy(each.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram"))
     hits = _packed(each.join(often, "gram").select("sid", "at", F.lit(0).alias("none")), "sid", "at", "none", "nothing", "long").select("sid", F.col("places").alias("hits"))
     columns = ", ".join(f"{k} binary" for k in _PACKED)
-    base = _tidy(long.select("sid", "text").join(hits, "sid").mapInArrow(packed, f"sid long, size int, {columns}"), own, often)
+    base = _tidy(long.select("sid", "text").join(hits, "sid").mapInArrow(lean(packed), f"sid long, size int, {columns}"), own, often)
     lists = shared_lengths(base.select("sid", "c", "h", "d", "pos", "new"), p)
     both = lists[0].unionByName(lists[1]).unionByName(lists[2]).groupBy("sid", "pos").agg(F.max("most").alias("most"), F.max("less").alias("less"))
     shared = _packed(both.select("sid", "pos", F.expr("shiftleft(cast(most AS long), 32) + less").alias("v")), "sid", "pos", "v", "shared", "long")
     ends = _tidy(base.join(shared, "sid", "left").mapInArrow(*_ragged(p)), *lists, base)
-    found = ragged_ends(long, ends, p)
+    found, contexts = ragged_ends(long, ends, p)
     starts = found.groupBy("sid").agg(F.collect_list(F.struct("start", "k")).alias("starts"))
     joined = ends.where("f < 0").select("sid", "sure").join(starts, "sid", "left").select("sid", "sure", "starts")
-    return _tidy(joined.mapInArrow(*_cover(p)).where(F.size("spans") > 0), found, ends)
+    return _tidy(joined.mapInArrow(*_cover(p)).where(F.size("spans") > 0), contexts, ends)
 
 
 @scratch
@@ -718,5 +715,5 @@ def repeats_digest(docs: DataFrame, params: RepeatParams | None = None) -> DataF
                 kept.append(h.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (n, gone, count)), pa.array(kept)], names=["tid", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    digests = repeated_spans(docs, params).select("tid", "text", "spans").mapInArrow(run, "tid binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    digests = repeated_spans(docs, params).select("tid", "text", "spans").mapInArrow(lean(run), "tid binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return _texts(docs).select("doc_id", "tid").join(_tidy(digests), "tid").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

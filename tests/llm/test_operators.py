@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strata import runtime
 from strata.llm import audio, components, decontam, license_scan, minhash, mixing, quality, records, secret_scan, sharding, suffix_dedup
 from strata.llm.queries import tokenizer_file
 from strata.llm.wordhash import ALNUM, WordHasher, grams
@@ -549,6 +550,39 @@ def test_repeats_in_an_empty_table(spark):
     assert suffix_dedup.repeats_digest(docs(spark, [])).count() == 0
 
 
+def test_repeats_are_found_with_little_at_once(spark, monkeypatch):
+    """A thousand texts at most go to Python at once, and tables that are read once aren't written: each file starts processes on a local disk."""
+    calls = []
+    monkeypatch.setattr(suffix_dedup, "written", lambda df, label, **more: (calls.append((label, more.get("batch"))), runtime.written(df, label, **more))[1])
+    same = prose(1, 400)
+    rows = [(i, prose(50 + i, 20) + same + prose(90 + i, 20), "en", "s", 0) for i in range(3)]
+    got = sorted(tuple(x) for x in suffix_dedup.repeats_digest(docs(spark, rows)).collect())
+    assert got == cut_repeats(rows, 200)
+    assert len(calls) <= 18, calls
+    assert calls.count(("suffixes", None)) == 3 and {b for _, b in calls} == {None, 1000}, calls  # sorted suffixes hold no texts
+
+
+def test_groups_of_contexts_are_compared_a_megabyte_at_once(monkeypatch):
+    """Whole groups, in one piece each, however the batches cut them."""
+    import pyarrow as pa
+
+    p, met = suffix_dedup.RepeatParams(), []
+    monkeypatch.setattr(suffix_dedup, "_met", lambda batch, roller, p, f=suffix_dedup._met: (met.append(batch), f(batch, roller, p))[1])
+    names = [x.split()[0] for x in suffix_dedup._CONTEXT.split(", ")]
+
+    def batch(lo):
+        grams = np.arange(lo, lo + 1000) // 3  # three contexts a group; the first two hold one string
+        data = [((b"%07d" % g) * 48)[:335] if i % 3 < 2 else (b"%07d." % i * 42)[:335] for i, g in enumerate(grams.tolist(), lo)]
+        ints = lambda v: pa.array(np.full(1000, v), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(grams), pa.array([False] * 1000), pa.array(np.arange(lo, lo + 1000)), ints(0), ints(136), ints(0), ints(136), pa.array(data, pa.binary())], names=names)
+
+    run, _ = suffix_dedup._compare_groups(p)
+    found = {s for b in run(iter([batch(lo) for lo in range(0, 12000, 1000)])) for s in b.column(0).to_pylist()}
+    assert {i for i in range(12000) if i % 3 < 2} <= found
+    assert sum(b.num_rows for b in met) == 12000 and max(b.nbytes for b in met) < 2 << 20
+    assert len({g for b in met for g in set(b.column(0).to_pylist())}) == sum(len(set(b.column(0).to_pylist())) for b in met)
+
+
 # --- 9 -------------------------------------------------------------------------------------------------------------
 
 
