@@ -170,7 +170,7 @@ def owners(at: np.ndarray, gram: np.ndarray, n: int, p: RepeatParams) -> np.ndar
 
 @dataclass
 class Strings:
-    """The strings of phrases of one text, laid end to end with four ends after each, as arrays by place."""
+    """The strings of phrases of some texts, laid end to end with four ends after each, as arrays by place."""
 
     c: np.ndarray  # letter: hash of the phrase, _END past the end
     h: np.ndarray  # its second hash
@@ -179,6 +179,12 @@ class Strings:
     i: np.ndarray  # place in its string
     stop: np.ndarray  # where the letters of its string end
     sample: np.ndarray  # places 1 and 2 (mod 3), up to two past the end: they carry the names of what follows
+    sid: np.ndarray  # by text: its number
+    begin: np.ndarray  # and its first place
+
+    def text(self, at: np.ndarray) -> np.ndarray:
+        """Of which text the places are; one without strings begins where the next one does."""
+        return np.searchsorted(self.begin, at, side="right") - 1
 
 
 def letters(text: Anchored, other_sums: np.ndarray, size: int, hits: np.ndarray, roller: Roller, other: Roller, p: RepeatParams) -> dict[str, np.ndarray]:
@@ -203,24 +209,32 @@ def letters(text: Anchored, other_sums: np.ndarray, size: int, hits: np.ndarray,
 _PACKED = {"c": "<i8", "h": "<u8", "d": "<u2", "pos": "<i4", "new": "u1", "f": "<i4", "gram": "<i8", "first": "<i4", "n": "<u2"}
 
 
-def strings(packed: dict) -> Strings | None:
-    """From the binaries c, h, d, pos and new of letters()."""
-    c, h, d, a, new = (_ints(packed[k], _PACKED[k]) for k in ("c", "h", "d", "pos", "new"))
+def strings(batch: pa.RecordBatch) -> Strings | None:
+    """From the columns sid, c, h, d, pos and new (binaries of letters()) of some texts."""
+    c, h, d, a, new = (_all_ints(batch.column(k), _PACKED[k])[0] for k in ("c", "h", "d", "pos", "new"))
     if not len(c):
         return None
-    new = new > 0
+    count = _all_ints(batch.column("c"), _PACKED["c"])[1]
+    new = new > 0  # a text's first letter is
     run = np.cumsum(new) - 1
     where = np.arange(len(c)) + 4 * run
     n = len(c) + 4 * (run[-1] + 1)
     begin = where[new]
     own = np.searchsorted(begin, np.arange(n), side="right") - 1
     lengths = np.bincount(run)
-    out = Strings(np.full(n, _END, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.int64), np.full(n, -1, np.int64), np.arange(n) - begin[own], (begin + lengths)[own], np.empty(0, np.int64))
+    texts = np.append(where, n)[np.cumsum(count) - count]
+    out = Strings(np.full(n, _END, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.int64), np.full(n, -1, np.int64), np.arange(n) - begin[own], (begin + lengths)[own], np.empty(0, np.int64), batch.column("sid").to_numpy(), texts)
     out.c[where], out.h[where], out.d[where], out.pos[where] = c, h, d, a
     out.sample = np.flatnonzero((out.i % 3 != 0) & (out.i <= lengths[own] + 1))
     return out
 
 
+def _named(s: Strings, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The places that have names, and these, from the columns places (within a text) and names."""
+    places, count = _all_ints(batch.column("places"), "<i4")
+    return places + np.repeat(s.begin, count), _all_ints(batch.column("names"), "<i8")[0]
+
+
 def _ahead(s: Strings, at: np.ndarray, p: RepeatParams) -> tuple[np.ndarray, np.ndarray]:
     """Where the letters end that a comparison from each place needs: those that settle all strings that start before the next anchor."""
     reach = np.concatenate([[0], np.cumsum(s.d)])
@@ -274,6 +288,27 @@ def _per_text(fn, schema: str):
     return lean(run), schema
 
 
+_LETTERS = 1 << 16  # that are laid out at once, but for a text of more
+
+
+def _per_strings(fn, schema: str):
+    """A function for mapInArrow that gives fn(Strings, RecordBatch) -> RecordBatch, for as many texts together as have some letters."""
+
+    def run(batches):
+        for batch in batches:
+            size = np.cumsum(pc.binary_length(batch.column("new")).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + _LETTERS, side="right")))
+                some = batch.slice(lo, hi - lo)
+                s = strings(some)
+                if s is not None:
+                    yield fn(s, some)
+                lo = hi
+
+    return lean(run), schema
+
+
 def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
 
@@ -286,6 +321,12 @@ def _ints(v, kind) -> np.ndarray:
     return np.frombuffer(v.as_buffer(), kind) if v.is_valid else np.empty(0, kind)
 
 
+def _all_ints(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in all binaries of a column, end to end, and how many each has."""
+    data = np.frombuffer(b"".join(column.to_pylist()), kind)
+    return data, pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // data.itemsize
+
+
 def _packed(df: DataFrame, key: str, place: str, value: str, name: str, kind: str) -> DataFrame:
     """For each key, its (place, value) rows in order of place as two packed arrays of 32 and 64 bits."""
     each = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(place).cast("int").alias("a"), F.col(value).cast(kind).alias("b")))).alias("x"))
@@ -311,32 +352,29 @@ def suffix_names(base: DataFrame, p: RepeatParams) -> tuple[DataFrame, DataFrame
     round, with names of three times the length.
     """
 
-    def triples(row):
-        s = strings(row)
-        if s is None:
-            return None
-        q = s.sample
+    def triples(s, _):
+        q, text = s.sample, s.text(s.sample)
         end, ended = _ahead(s, q, p)
         more = ~ended & (end - q > 9)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(q), row["sid"].as_py())), pa.array(q.astype(np.int32)), *(pa.array(s.c[q + j]) for j in range(3)), pa.array(more)], names=["sid", "q", "c0", "c1", "c2", "more"])
+        return pa.RecordBatch.from_arrays([pa.array(s.sid[text]), pa.array((q - s.begin[text]).astype(np.int32)), *(pa.array(s.c[q + j]) for j in range(3)), pa.array(more)], names=["sid", "q", "c0", "c1", "c2", "more"])
 
     keys = ["c0", "c1", "c2"]
-    rows = _tidy(base.mapInArrow(*_per_text(triples, "sid long, q int, c0 long, c1 long, c2 long, more boolean")))
+    rows = _tidy(base.mapInArrow(*_per_strings(triples, "sid long, q int, c0 long, c1 long, c2 long, more boolean")))
     groups, ranged = _before(rows.groupBy(*keys).agg(F.count("*").alias("k")), keys, "k", "before")
     named = _tidy(rows.join(groups, keys).select("sid", "q", (F.col("before") + 1).alias("name"), "more"), ranged, rows)
     names, reach = _packed(named, "sid", "q", "name", "names", "long"), 3
     while not named.where("more").isEmpty():
 
-        def again(row, reach=reach):
-            s = strings(row)
-            q = _ints(row["places"], "<i4")
+        def again(s, batch, reach=reach):
+            q, names = _named(s, batch)
             end, ended = _ahead(s, q, p)
             open_ = np.flatnonzero(~ended & (end - q > 3 * reach))
-            n = _follow(s, q, _ints(row["names"], "<i8"), reach)[:, open_]
+            n = _follow(s, q, names, reach)[:, open_]
+            text = s.text(q[open_])
             more = ~ended[open_] & (end - q > 9 * reach)[open_]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(open_), row["sid"].as_py())), pa.array(q[open_]), *(pa.array(v) for v in n), pa.array(more)], names=["sid", "q", "c0", "c1", "c2", "more"])
+            return pa.RecordBatch.from_arrays([pa.array(s.sid[text]), pa.array((q[open_] - s.begin[text]).astype(np.int32)), *(pa.array(v) for v in n), pa.array(more)], names=["sid", "q", "c0", "c1", "c2", "more"])
 
-        rows = _tidy(base.join(names, "sid").mapInArrow(*_per_text(again, "sid long, q int, c0 long, c1 long, c2 long, more boolean")))
+        rows = _tidy(base.join(names, "sid").mapInArrow(*_per_strings(again, "sid long, q int, c0 long, c1 long, c2 long, more boolean")))
         groups, ranged = _before(rows.groupBy(*keys).agg(F.count("*").alias("k")), keys, "k", "before")
         start = groups.groupBy("c0").agg(F.min("before").alias("start"))
         fresh = groups.join(start, "c0").select(*keys, (F.col("c0") + F.col("before") - F.col("start")).alias("name"))
@@ -366,10 +404,9 @@ _ORDERED = "k1 long, k2 long, k3 long, k4 long, k5 long, sid long, pos int, ahea
 def _ordered_rows(kind: int, reach: int, p: RepeatParams):
     """Sort keys of the suffixes at places 1 and 2 (kind 0), at 0 and 1 (kind 1) and at 0 and 2 (kind 2), with the letters ahead."""
 
-    def rows(row):
-        s = strings(row)
-        q = _ints(row["places"], "<i4").astype(np.int64)
-        names = _follow(s, q, _ints(row["names"], "<i8"), reach)
+    def rows(s, batch):
+        q, names = _named(s, batch)
+        names = _follow(s, q, names, reach)
         at = q - kind
         ok = np.flatnonzero((s.i[q] >= kind) & (s.pos[at] >= 0))
         at, names = at[ok], names[:, ok]
@@ -382,9 +419,9 @@ def _ordered_rows(kind: int, reach: int, p: RepeatParams):
         ahead = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(letters.tobytes())])
         none = np.zeros(len(at), np.int64)
         keys = {0: [*names, none, none], 1: [s.c[at], *names, none], 2: [s.c[at], s.c[at + 1], *names]}[kind]
-        return pa.RecordBatch.from_arrays([*(pa.array(v) for v in keys), pa.array(np.full(len(at), row["sid"].as_py())), pa.array(s.pos[at].astype(np.int32)), ahead], names=["k1", "k2", "k3", "k4", "k5", "sid", "pos", "ahead"])
+        return pa.RecordBatch.from_arrays([*(pa.array(v) for v in keys), pa.array(s.sid[s.text(at)]), pa.array(s.pos[at].astype(np.int32)), ahead], names=["k1", "k2", "k3", "k4", "k5", "sid", "pos", "ahead"])
 
-    return _per_text(rows, _ORDERED)
+    return _per_strings(rows, _ORDERED)
 
 
 def _shared(data: np.ndarray, lo: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
@@ -539,14 +576,13 @@ def _asked(batch: pa.RecordBatch, row: np.ndarray, within: np.ndarray) -> np.nda
 def _met(batch: pa.RecordBatch, roller: Roller, p: RepeatParams) -> pa.RecordBatch:
     """sid, start and number of runs of asked strings of whole groups that another string of their group equals, byte for byte."""
     x, row, at, within, (h,) = _windows(batch, [roller], p)
-    order = np.lexsort((at, h))
+    order = np.argsort(h)
     hs, ats = h[order], at[order]
     same = np.flatnonzero(hs[1:] == hs[:-1])
-    equal = np.zeros(len(same), bool)
+    equal, whole = np.zeros(len(same), bool), np.lib.stride_tricks.sliding_window_view(x, p.length)
     for lo in range(0, len(same), 1 << 14):
         s = same[lo : lo + (1 << 14)]
-        step = np.arange(p.length)
-        equal[lo : lo + (1 << 14)] = (x[ats[s][:, None] + step] == x[ats[s + 1][:, None] + step]).all(axis=1)
+        equal[lo : lo + (1 << 14)] = (whole[ats[s]] == whole[ats[s + 1]]).all(axis=1)
     hit = np.zeros(len(order), bool)
     hit[order[same[equal]]] = hit[order[same[equal] + 1]] = True
     for s in np.flatnonzero(~equal):  # equal hashes of unequal strings: compare the whole group

@@ -546,6 +546,28 @@ def test_suffix_order(spark):
         assert found.get(a, 0) <= max(shared(a, b) for b in every if b != a) + p.k + 1
 
 
+def test_strings_of_texts_laid_out_together():
+    """Texts of one batch, some without strings, are laid out as each alone."""
+    import pyarrow as pa
+
+    def batch(texts):
+        cols = {"sid": pa.array([7 * k for k, _ in texts], pa.int64())}
+        for c, t in suffix_dedup._PACKED.items():
+            if c in ("c", "h", "d", "pos", "new"):
+                cols[c] = pa.array([np.array([i % 3 == 0 for i in range(n)] if c == "new" else range(k, k + n)).astype(t).tobytes() for k, n in texts], pa.binary())
+        return pa.RecordBatch.from_pydict(cols)
+
+    texts = [(0, 0), (1, 4), (2, 0), (3, 7), (4, 1), (5, 0)]
+    s = suffix_dedup.strings(batch(texts))
+    each = [(k, x) for k, n in texts if (x := suffix_dedup.strings(batch([(k, n)]))) is not None]
+    assert [k for k, _ in each] == [1, 3, 4] and suffix_dedup.strings(batch([(0, 0), (5, 0)])) is None
+    for c in ("c", "h", "d", "pos", "i"):
+        assert getattr(s, c).tolist() == [v for _, x in each for v in getattr(x, c).tolist()]
+    text = s.text(s.sample)
+    assert s.sid[text].tolist() == [7 * k for k, x in each for _ in x.sample]
+    assert (s.sample - s.begin[text]).tolist() == [v for _, x in each for v in x.sample.tolist()]
+
+
 def test_repeats_in_an_empty_table(spark):
     assert suffix_dedup.repeats_digest(docs(spark, [])).count() == 0
 
