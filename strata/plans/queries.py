@@ -12,7 +12,7 @@ from strata.operators import aggregates, align, collections, commits, dataset, d
 from strata.operators.ordinal import with_ordinal
 from strata.plans.objects import BlobObject, MapObject
 from strata.plans.repository import Repository, VersionedDataset
-from strata.runtime import new_path
+from strata.runtime import new_path, row_key, stable
 from strata.sources import csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -869,9 +869,12 @@ def histogram(s, d):
 
 @query("SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, true AS whole FROM documents")
 def chunk_bytes(s, d):
-    """The chunks of a text, in order, are the text: their bytes add up, and their numbers run from 0."""
-    c = hashing.chunks(table(s, d, "documents"), "text", "doc_id").groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"), (F.max("chunk_no") == F.count("*") - 1).alias("whole"))
-    return c
+    """The chunks of a text, in order, are the text: their bytes add up, and their numbers run from 0. A text without bytes has no chunks."""
+    docs = stable(table(s, d, "documents").select("doc_id", "text")).select("doc_id", row_key().alias("_row"), "text")  # a row each, whatever doc_ids repeat
+    none = docs.select("doc_id", "_row", F.lit(None).cast("int").alias("chunk_no"), F.lit(0).cast("long").alias("n_bytes"))
+    c = hashing.chunks(docs, "text", "doc_id", "_row").select(*none.columns).unionByName(none)
+    whole = F.coalesce(F.max("chunk_no") == F.count("chunk_no") - 1, F.lit(True))
+    return c.groupBy("_row", "doc_id").agg(F.sum("n_bytes").alias("n_bytes"), whole.alias("whole")).drop("_row")
 
 
 @query()
