@@ -187,3 +187,34 @@ def test_query_parser():
     for bad in ("", "AND", "(a", "a OR"):
         with pytest.raises(StrataError):
             search.parse(bad)
+
+
+def _copied(n, period):
+    """A list that repeats a stretch of few values, and the same without a tenth of its elements."""
+    import random
+
+    r = random.Random(period)
+    base = [r.choice("abcdef") for _ in range(period)]
+    keep = [r.random() > 0.1 for _ in range(period)]
+    return [base[i % period] for i in range(n)], [base[i % period] for i in range(n) if keep[i % period]]
+
+
+def test_alignment_is_that_of_difflib():
+    from difflib import SequenceMatcher
+
+    for n, period in ((900, 900), (900, 70), (1200, 1), (1000, 400)):
+        a, b = _copied(n, period)
+        for x, y in ((a, b), (["s", *a], ["t", *b[400:], *b[:200], None]), (b, a[::-1])):
+            assert align._steps(x, y) == SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
+
+
+def test_alignment_of_long_lists_takes_no_square():
+    import time
+
+    for period in (800, 40000):
+        a, b = _copied(40000, period)
+        began = time.process_time()
+        ops = align.opcodes(a, b)
+        assert time.process_time() - began < 20
+        assert sum(j - i for _, i, j, _, _ in ops) == len(a) and sum(m - k for _, _, _, k, m in ops) == len(b)
+        assert all(a[i:j] == b[k:m] for t, i, j, k, m in ops if t == "equal")
