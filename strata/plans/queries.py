@@ -769,7 +769,7 @@ def _dataset_repo(s, d) -> Repository:
         ds.put(rows_.select("entry", "payload"))
         dev = ds.fork("dev")
         dev.put(rows_.where("o_orderkey % 5 = 0").select("entry", F.lit("changed").alias("payload")))
-        dev._write(dataset.delete_entries(dev.read(), rows_.where("o_orderkey % 7 = 0").select("entry")))
+        dev.remove(rows_.where("o_orderkey % 7 = 0").select("entry"))
         for n in ("gone", "kept"):
             repo.dataset(n).create()
         repo.dataset("gone").drop()

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from strata.errors import Code, StrataError
-from strata.functions.hashing import NULL_VERSION, bucket_of, bucket_sums, content_hash, version_of
+from strata.functions.hashing import NULL_VERSION, bucket_of, bucket_sums, content_hash, row_sums, version_of
 from strata.functions.text import split_fields
 from strata.operators import commits as graph
 from strata.operators import dataset as ops
@@ -36,7 +36,8 @@ from strata.operators import diff as diff_ops
 from strata.operators import merge as merge_ops
 from strata.operators import rows as row_ops
 from strata.operators import search as search_ops
-from strata.runtime import get_text, put_text
+from strata.plans.edits import ENTRY, edited
+from strata.runtime import filesystem, get_text, put_text, remove
 from strata.sources import csv
 
 COMMITS = "key string, version string, kind string, data string, ctx string, parent1 string, parent2 string, seq long"
@@ -48,6 +49,8 @@ MANIFEST = "bucket int, n long, s1 string, s2 string, bytes long, path string"
 MASTER = "master"
 FINE = 65536  # the most buckets of an object; hash sums are taken at this grain and added up for fewer
 LEAST_ROWS, ROWS_PER_BUCKET, ROWS_PER_FILE = 1024, 1 << 16, 1 << 22
+ROWS_PER_EDIT = 1 << 18  # about as many stored rows go through a task that edits them
+CODEC = "zstd"  # of segments: digests as letters take half the bytes that they take without entropy coding
 
 
 @dataclass
@@ -60,6 +63,10 @@ class Manifest:
     segments: dict
 
 
+def _buckets(rows: int) -> int:
+    return 1 if rows <= LEAST_ROWS else next((b for b in (16, 256, 4096) if rows <= b * ROWS_PER_BUCKET), FINE)
+
+
 class Repository:
     def __init__(self, spark: SparkSession, root: str, most_files: int = 256):
         self.spark, self.root = spark, root.rstrip("/")
@@ -230,7 +237,7 @@ class Repository:
         if self._there(f"{self.root}/objects/{data}/{MANIFEST_FILE}"):
             return data
         old = self.manifest(parent) if parent else None
-        buckets = 1 if total[0] <= LEAST_ROWS else next((b for b in (16, 256, 4096) if total[0] <= b * ROWS_PER_BUCKET), FINE)
+        buckets = _buckets(total[0])
         if old and (json.dumps(old.schema) != json.dumps(json.loads(schema)) or old.keys != keys):
             old = None
         buckets = max(buckets, least)
@@ -250,14 +257,68 @@ class Repository:
             if kept:
                 rows = rows.join(F.broadcast(self.spark.createDataFrame([(b,) for b in fresh], "_bucket int")), "_bucket", "left_semi")  # FINE rows at most
             big = F.floor(F.rand(3) * F.lit(max(1, -(-total[0] // (buckets * ROWS_PER_FILE))))).cast("int")
-            rows.repartition("_bucket", big).write.partitionBy("_bucket").parquet(f"{self.root}/segments/{put}")
+            rows.repartition("_bucket", big).write.partitionBy("_bucket").option("compression", CODEC).parquet(f"{self.root}/segments/{put}")
+        self._write_manifest(data, Manifest(json.loads(schema), keys, buckets, kept), put, {b: sums[b] for b in fresh})
+        return data
+
+    def _write_manifest(self, data: str, kept: Manifest, put: str, fresh: Mapping[int, list[int]]) -> None:
+        """The manifest of segments that are kept and of those that a put has written, with their rows and sums."""
         fs, _ = self._fs(self.root)
         path_of = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         size = lambda b: fs.getContentSummary(path_of(f"{self.root}/segments/{put}/_bucket={b}")).getLength()
-        lines = [{"schema": json.loads(schema), "keys": keys, "buckets": buckets}, *kept.values()]
-        lines += [{"bucket": b, "n": sums[b][0], "s1": str(sums[b][1]), "s2": str(sums[b][2]), "bytes": size(b), "path": f"{put}/_bucket={b}"} for b in fresh]
+        lines = [{"schema": kept.schema, "keys": kept.keys, "buckets": kept.buckets}, *kept.segments.values()]
+        lines += [{"bucket": b, "n": n, "s1": str(s1), "s2": str(s2), "bytes": size(b), "path": f"{put}/_bucket={b}"} for b, (n, s1, s2) in fresh.items()]
         put_text(self.spark, f"{self.root}/objects/{data}/{MANIFEST_FILE}", "\n".join(map(json.dumps, lines)))
-        return data
+
+    def _edit_entries(self, data: str, edits: DataFrame, drop: bool) -> str | None:
+        """The object `data` of entries after edits (entry, payload), or with `drop` without the entries named; None where that can't go bucket by bucket.
+
+        Only the edits are shuffled, and only the segments that they touch are written; sums are taken of what was written.
+        """
+        old = self.manifest(data)
+        schema = StructType.fromDDL(ENTRY)
+        if old.keys != ["entry"] or {f["name"]: f["type"] for f in old.schema["fields"]} != {f.name: "string" for f in schema}:
+            return None
+        fs, at = self._fs(f"{self.root}/segments")
+        root = fs.makeQualified(at).toString()
+        try:
+            filesystem(root)
+        except (ValueError, OSError):  # no store that Arrow reads
+            return None
+        touched = {r[0]: r[1] for r in edits.groupBy(bucket_of(["entry"], FINE)).count().collect()}  # a row per bucket, FINE at most
+        stored = sum(s["n"] for s in old.segments.values())
+        total = stored + (0 if drop else sum(touched.values()))
+        buckets = _buckets(total)
+        if old.segments and buckets > 1 and buckets // 16 <= old.buckets <= buckets * 16:
+            buckets = old.buckets
+        if not touched or (old.segments and old.buckets != buckets) or total > FINE * ROWS_PER_FILE:
+            return None
+        hit = {b % buckets for b in touched}
+        kept = {b: s for b, s in old.segments.items() if b not in hit}
+        put = uuid.uuid4().hex
+        folder = f"{self.root}/segments/{put}"
+        rows = edits.select(bucket_of(["entry"], buckets).alias("_bucket"), "entry", "payload")
+        tasks = max(1, min(len(hit), -(-total // ROWS_PER_EDIT)))
+        columns = ["entry", "hash", "parent", "payload", "version"]  # as _store_frame has them
+        paths = {b: s["path"] for b, s in old.segments.items() if b in hit}
+        edited(rows, root, paths, drop, tasks).select("_bucket", *columns).write.partitionBy("_bucket").option("compression", CODEC).parquet(folder)
+        s1, s2 = row_sums(*map(F.col, columns))
+        back = self.spark.read.schema(StructType([schema[c] for c in columns]).add("_bucket", "integer")).parquet(folder)
+        sums = {r["_bucket"]: [r["n"], int(r["s1"]), int(r["s2"])] for r in back.groupBy("_bucket").agg(F.count("*").alias("n"), s1, s2).collect()}
+        sums_of = lambda s: [s["n"], int(s["s1"]), int(s["s2"])]
+        same = {b for b, v in sums.items() if b in old.segments and sums_of(old.segments[b]) == v}
+        kept |= {b: old.segments[b] for b in same}
+        fresh = {b: v for b, v in sorted(sums.items()) if b not in same}
+        totals = [sum(v[i] for v in [*map(sums_of, kept.values()), *fresh.values()]) for i in range(3)]
+        found = version_of("|".join(["entry", *[f"{c}:string" for c in columns], *map(str, totals)]).encode())
+        if self._there(f"{self.root}/objects/{found}/{MANIFEST_FILE}"):
+            remove(self.spark, folder)
+            return found
+        for b in same:
+            remove(self.spark, f"{folder}/_bucket={b}")
+        about = StructType([schema[c] for c in columns]).jsonValue()
+        self._write_manifest(found, Manifest(about, old.keys, buckets, kept), put, fresh)
+        return found
 
     def _store(self, value: DataFrame | str, keys: list[str] | None, before: str | None = None, least: int = 1) -> tuple[str, str]:
         if isinstance(value, str):
@@ -288,6 +349,16 @@ class Repository:
             self._append("heads", HEADS, [(key, branch, version)])
         return version
 
+    def put_edits(self, key: str, edits: DataFrame, branch: str, drop: bool = False) -> str | None:
+        """A commit of entries put in, or with `drop` taken out, on the branch's head; None, and no commit, where that can't go bucket by bucket."""
+        before = self.head(key, branch)
+        data = self._edit_entries(self.commit(key, before)["data"], edits, drop)
+        if data is None:
+            return None
+        version = self._commit(key, "frame", data, "", [before])
+        self._append("heads", HEADS, [(key, branch, version)])
+        return version
+
     def merge(self, key: str, target: str, value: DataFrame | str | None = None, ref: str | None = None, ref_version: str | None = None, keys: list[str] | None = None, ctx: str = "") -> str:
         """A commit with two parents that moves target only. Without a value, keyed rows are merged from the common ancestor."""
         a = self.head(key, target)
@@ -505,7 +576,6 @@ class VersionedTable:
 
 
 DATASETS = "__DATASET_LIST__"
-ENTRY = "entry string, payload string, hash string, version string, parent string"
 
 
 class VersionedDataset:
@@ -555,6 +625,8 @@ class VersionedDataset:
 
     def put(self, entries: DataFrame) -> str:
         """Entries (entry, payload) put in or given a new version; of a name that is repeated the greatest payload holds."""
+        if dict(entries.dtypes)["entry"] == dict(entries.dtypes)["payload"] == "string" and (version := self.repo.put_edits(self.name, entries.select("entry", "payload"), self.branch)):
+            return version
         old = self.read()
         one = ops.with_hash(entries.groupBy("entry").agg(F.max("payload").alias("payload")))
         before = old.select("entry", F.col("version").alias("parent"))
@@ -594,7 +666,12 @@ class VersionedDataset:
 
     def delete(self, *names: str) -> str:
         """Entries taken out; names that aren't there are left alone."""
-        return self._write(ops.delete_entries(self.read(), self.repo.spark.createDataFrame([(n,) for n in names], "entry string")))
+        return self.remove(self.repo.spark.createDataFrame([(n,) for n in names], "entry string"))
+
+    def remove(self, names: DataFrame) -> str:
+        """As delete, of the names (entry) in a table."""
+        edits = names.select("entry", F.lit(None).cast("string").alias("payload"))
+        return self.repo.put_edits(self.name, edits, self.branch, drop=True) or self._write(ops.delete_entries(self.read(), names))
 
     def load_csv(self, path: str, positions: list[int], with_schema: bool = False, indexed: bool = False) -> int:
         entries, schema, n = csv.load_dataset(self.repo.spark, path, positions, with_schema, indexed)
