@@ -222,8 +222,13 @@ class Repository:
     def lookup(self, data: str, keys: DataFrame) -> DataFrame:
         """The rows of an object whose keys are among those of `keys` (a few rows); only their segments are read."""
         m = self.manifest(data)
+        return self.near(data, keys).join(keys.select(*m.keys).distinct(), m.keys, "left_semi")
+
+    def near(self, data: str, keys: DataFrame) -> DataFrame:
+        """The rows of the segments in which the keys of `keys` lie, if the object has them."""
+        m = self.manifest(data)
         hit = {r[0] for r in keys.select(bucket_of(m.keys, m.buckets)).distinct().limit(m.buckets).collect()}
-        return self._read(m, hit).join(keys.select(*m.keys).distinct(), m.keys, "left_semi")
+        return self._read(m, hit)
 
     def _store_frame(self, df: DataFrame, keys: list[str], parent: str | None, least: int = 1) -> str:
         """Writes the segments that the parent lacks, then the manifest. Equal contents have one digest, however many buckets they lie in."""
@@ -660,9 +665,10 @@ class VersionedDataset:
         return self.read().select("entry", "version")
 
     def select(self, names: list[str], check: bool = True) -> DataFrame:
-        """Entries in the order of names; one that isn't there is an error, or left out without `check`."""
+        """Entries in the order of names; one that isn't there is an error, or left out without `check`. Only their segments are read."""
         wanted = self.repo.spark.createDataFrame(list(enumerate(names)), "pos int, entry string")
-        return ops.select_entries(self.read(), wanted, check)
+        data = self.repo.commit(self.name, self.repo.head(self.name, self.branch))["data"]
+        return ops.select_entries(self.repo.near(data, wanted), wanted, check)
 
     def delete(self, *names: str) -> str:
         """Entries taken out; names that aren't there are left alone."""

@@ -2,6 +2,7 @@
 
 import pytest
 
+from strata.errors import StrataError
 from strata.plans.repository import Repository
 
 
@@ -32,6 +33,16 @@ def repo(spark, tmp_path_factory):
     return r
 
 
+def test_select_reads_the_segments_of_its_names(spark, repo):
+    ds = repo.dataset("d")
+    found = ds.select(["e7", "e12345", "e7"])
+    assert [(r["pos"], r["entry"]) for r in found.collect()] == [(0, "e7"), (1, "e12345"), (2, "e7")]
+    assert 0 < len(found.inputFiles()) < len(ds.read().inputFiles())
+    assert ds.select([]).count() == 0 and ds.select(["zz"], check=False).count() == 0
+    with pytest.raises(StrataError):
+        ds.select(["zz"])
+
+
 def test_put_shuffles_its_entries_alone(spark, repo):
     ds = repo.dataset("d").fork("few")
     size = sum(s["bytes"] for s in repo.manifest(repo.commit("d", repo.head("d", "few"))["data"]).segments.values())
