@@ -50,6 +50,13 @@ def test_put_shuffles_its_entries_alone(spark, repo):
     assert ds.read().count() == 20000 and ds.read().where("parent IS NOT NULL").count() == 100
 
 
+def test_remove_shuffles_its_names_alone(spark, repo):
+    ds = repo.dataset("d").fork("less")
+    size = sum(s["bytes"] for s in repo.manifest(repo.commit("d", repo.head("d", "less"))["data"]).segments.values())
+    assert _shuffled(spark, lambda: ds.remove(_entries(spark, 0, 100).select("entry"))) < size // 10
+    assert sorted(r["lhs_payload"] for r in repo.diff("d", "master", "less").collect()) == sorted(r["payload"] for r in _entries(spark, 0, 100).collect())
+
+
 def test_edits_are_those_of_joins(spark, tmp_path, monkeypatch):
     def build(name, joins):
         with monkeypatch.context() as m:
