@@ -81,3 +81,10 @@ def test_edits_are_those_of_joins(spark, tmp_path, monkeypatch):
             return data, sorted((tuple(x) for x in ds.read().select("entry", "payload", "hash", "version", "parent").collect()), key=repr)
 
     assert build("buckets", False) == build("joins", True)
+
+
+def test_branches_of_an_entry_after_edits(spark, repo):
+    ds = repo.dataset("d").fork("other")
+    size = sum(s["bytes"] for s in repo.manifest(repo.commit("d", repo.head("d", "other"))["data"]).segments.values())
+    assert _shuffled(spark, lambda: ds.delete("e5")) < size // 10
+    assert "other" not in ds.entry_branches("e5") and {"master", "other"} <= set(ds.entry_branches("e6"))
